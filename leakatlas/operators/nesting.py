@@ -1,0 +1,78 @@
+"""Nested records without unbounded groups.
+
+A repository may own a third of all rows, so "one record with all its files"
+cannot be one row. A record is emitted in parts instead: nearly every key has
+a single part, a very large one has as many as its size asks for, and every
+item is in exactly one of them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+DEFAULT_MAX_ITEMS = 10_000
+
+
+def nest(
+    items: DataFrame,
+    keys: Sequence[str],
+    sections: Mapping[str, Column],
+    header: DataFrame | None = None,
+    max_items: int = DEFAULT_MAX_ITEMS,
+) -> DataFrame:
+    """Gather items into arrays per key and section.
+
+    ``items`` has the key columns, ``section`` and the columns that
+    ``sections`` maps to array elements; equal items count once. ``header``
+    has one row per key and then decides which keys are reported.
+
+    Output, one row per key and part: keys, ``part``, ``n_parts``, the header
+    columns and ``n_<section>`` (of the whole key, repeated in every part),
+    and one sorted array per section. A part holds about ``max_items`` items.
+    """
+    if max_items < 1:
+        raise ValueError("max_items must be positive")
+    keys = list(keys)
+    payload = [c for c in items.columns if c not in keys and c != "section"]
+    # This exchange on the whole item is shared by the count and the gathering.
+    distinct = items.select(*keys, "section", *payload).distinct()
+    facts = distinct.groupBy(*keys).agg(
+        F.count("*").alias("_n"),
+        *[F.count_if(F.col("section") == s).alias(f"n_{s}") for s in sections],
+    )
+    header_cols: list[str] = []
+    if header is not None:
+        header_cols = [c for c in header.columns if c not in keys]
+        facts = header.join(facts, keys, "left").fillna(0, ["_n", *[f"n_{s}" for s in sections]])
+    fact_cols = ["n_parts", *header_cols, *[f"n_{s}" for s in sections]]
+    facts = facts.withColumn(
+        "n_parts", F.greatest(F.ceil(F.col("_n") / max_items), F.lit(1).cast("bigint"))
+    ).select(*keys, *fact_cols)
+
+    large = facts.filter("n_parts > 1").select(*keys, F.col("n_parts").alias("_parts"))
+    part = F.pmod(F.xxhash64("section", *payload), F.col("_parts"))
+    placed = distinct.join(large, keys, "left").select(
+        *keys, F.coalesce(part, F.lit(0)).alias("part"), "section", *payload
+    )
+    per_part = facts.select(
+        *keys,
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_parts") - 1)).alias("part"),
+        F.struct(*fact_cols).alias("_facts"),
+    )
+    # The explicit exchange keeps the parts of one key apart.
+    return (
+        placed.unionByName(per_part, allowMissingColumns=True)
+        .repartition(*keys, "part")
+        .groupBy(*keys, "part")
+        .agg(
+            F.first("_facts", ignorenulls=True).alias("_facts"),
+            *[
+                F.array_sort(F.collect_list(F.when(F.col("section") == s, element))).alias(s)
+                for s, element in sections.items()
+            ],
+        )
+        .filter("_facts IS NOT NULL")
+        .select(*keys, "part", "_facts.*", *sections)
+    )

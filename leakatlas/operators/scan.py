@@ -3,11 +3,15 @@
 Nothing in this module shuffles. A scan is one narrow stage: a literal
 prefilter on the whole text, a split into lines, the same prefilter per line,
 and only then the regexes of the rules whose anchors were seen.
+
+Expressions are composed as Spark SQL text: a rule table unfolds to thousands
+of nodes, which the JVM parses in one call. ``text`` arguments are therefore
+column names or SQL expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,193 +28,199 @@ ENV_REFERENCE_PATTERN = (
 # not lowered to them: text holding one cannot be ruled out by ASCII anchors.
 FOLDING_LETTERS = ("\u017f", "\u212a", "\u0130", "\u0131")
 
+RESOLVE_MODES = ("first", "specific", "all")
+SCOPES = ("line", "file")
 
-def env_reference(line: Column | str, pattern: str = ENV_REFERENCE_PATTERN) -> Column:
-    """True where the line reads an environment variable."""
-    return F.rlike(F.col(line) if isinstance(line, str) else line, F.lit(pattern))
 
+def _lit(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def _once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and hand it to ``body`` as a variable.
 
-    A plain alias would be inlined into every place that uses it.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _any(conditions: Iterable[str]) -> str:
+    return "(" + " OR ".join(conditions) + ")"
 
 
-def _any(conditions: Sequence[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
+def _contains_any(text: str, literals: Iterable[str]) -> str:
+    return _any(f"contains({text}, {_lit(a)})" for a in literals)
 
 
-def _rule_may_match(folded: Column, rule: Rule) -> Column:
-    out = F.lit(True)
-    for any_of in rule.anchors:
-        out = out & _any([F.contains(folded, F.lit(a)) for a in any_of])
-    return out
+# --- prefilter --------------------------------------------------------------
 
 
-def may_match(text: Column, rules: Sequence[Rule]) -> Column:
-    """Lossless prefilter: False only where no rule can match ``text``."""
-    if any(not r.anchors for r in rules):
-        return text.isNotNull()
-    odd = _any([F.contains(text, F.lit(ch)) for ch in FOLDING_LETTERS])
-    groups = {r.anchors: r for r in rules}.values()
-    return F.exists(
-        F.array(F.lower(text)), lambda low: _any([_rule_may_match(low, r) for r in groups] + [odd])
+def _shared_tests(low: str, anchor_sets: Iterable[tuple]) -> str:
+    """Disjunction over anchor sets with their common heads factored out."""
+    tails: dict[tuple, set] = {}
+    for anchors in anchor_sets:
+        if not anchors:
+            return "true"
+        tails.setdefault(anchors[0], set()).add(anchors[1:])
+    return _any(
+        f"({_contains_any(low, head)} AND {_shared_tests(low, sorted(rest))})"
+        for head, rest in tails.items()
     )
 
 
-def _candidate_rules(text: Column, rules: Sequence[Rule], prefilter: bool) -> Column:
+def _holds_folding_letter(text: str) -> str:
+    return f"(octet_length({text}) <> char_length({text}) AND {_contains_any(text, FOLDING_LETTERS)})"
+
+
+def _may_match(text: str, rules: Sequence[Rule]) -> str:
+    if any(not r.anchors for r in rules):
+        return f"({text} IS NOT NULL)"
+    heads = list(dict.fromkeys(a for r in rules for a in r.anchors[0]))
+    tests = f"exists(array(lower({text})), low -> {_shared_tests('low', [r.anchors for r in rules])})"
+    passes = f"({tests} OR {_holds_folding_letter(text)})"
+    if all(a.upper() == a for a in heads):
+        # Caseless heads are tested on the text as it is, before lowering it.
+        return f"({_contains_any(text, heads)} AND {passes})"
+    return passes
+
+
+def may_match(text: str, rules: Sequence[Rule]) -> Column:
+    """Lossless prefilter: false only where no rule can match ``text``."""
+    return F.expr(_may_match(text, rules))
+
+
+def _candidate_rules(text: str, rules: Sequence[Rule], prefilter: bool) -> str:
     """Positions in ``rules`` that are worth running on ``text``."""
-    everything = F.array(*[F.lit(i) for i in range(len(rules))])
+    everything = "array(" + ", ".join(str(i) for i in range(len(rules))) + ")"
     if not prefilter:
         return everything
-    odd = _any([F.contains(text, F.lit(ch)) for ch in FOLDING_LETTERS])
-    by_anchor = _once(
-        F.lower(text),
-        lambda low: F.array_compact(
-            F.array(*[F.when(_rule_may_match(low, r), F.lit(i)) for i, r in enumerate(rules)])
-        ),
+    tests = ", ".join(
+        f"CASE WHEN {_shared_tests('low', [r.anchors])} THEN {i} END" for i, r in enumerate(rules)
     )
-    return F.when(odd, everything).otherwise(by_anchor)
+    by_anchor = f"transform(array(lower({text})), low -> array_compact(array({tests})))[0]"
+    return f"CASE WHEN {_holds_folding_letter(text)} THEN {everything} ELSE {by_anchor} END"
 
 
-def _per_rule(index: Column, choices: Sequence[Column]) -> Column:
-    out = F.when(index == 0, choices[0])
-    for i, choice in enumerate(choices[1:], start=1):
-        out = out.when(index == i, choice)
-    return out
+def _per_rule(index: str, choices: Iterable[str]) -> str:
+    whens = " ".join(f"WHEN {i} THEN {choice}" for i, choice in enumerate(choices))
+    return f"CASE {index} {whens} END"
 
 
-def _hits_of(text: Column, rule: Rule, priority: int) -> Column:
-    pattern = F.lit(rule.spark_pattern)
-    keys = F.regexp_extract_all(text, pattern, F.lit(rule.key_group))
-    if rule.value_group == rule.key_group:
-        pairs = F.transform(keys, lambda k: F.struct(k.alias("key"), k.alias("value")))
-    else:
-        # Both calls walk the same matches, so the arrays are aligned.
-        values = F.regexp_extract_all(text, pattern, F.lit(rule.value_group))
-        pairs = F.zip_with(
-            keys,
-            values,
-            lambda k, v: F.struct(k.alias("key"), F.when(v != "", v).otherwise(k).alias("value")),
-        )
-    return F.transform(
-        pairs,
-        lambda p: F.struct(
-            F.lit(rule.rule_id).alias("rule_id"),
-            F.lit(rule.secret_type).alias("secret_type"),
-            F.lit(priority).alias("priority"),
-            p["key"].alias("key_name"),
-            p["value"].alias("value"),
-        ),
-    )
+# --- hits -------------------------------------------------------------------
 
 
 def _priority(rule: Rule, resolve: str) -> int:
     return rule.rule_id if resolve != "specific" else rule.tier * 1_000_000 + rule.rule_id
 
 
+def _hits_of(text: str, rule: Rule, priority: int) -> str:
+    def hit(value: str) -> str:
+        return (
+            f"named_struct('rule_id', {rule.rule_id}, 'secret_type', {_lit(rule.secret_type)}, "
+            f"'priority', {priority}, 'key_name', k, 'value', {value})"
+        )
+
+    def groups(n: int) -> str:
+        return f"regexp_extract_all({text}, {_lit(rule.spark_pattern)}, {n})"
+
+    if rule.value_group == rule.key_group:
+        return f"transform({groups(rule.key_group)}, k -> {hit('k')})"
+    # Both calls walk the same matches, so the arrays are aligned.
+    return (
+        f"zip_with({groups(rule.key_group)}, {groups(rule.value_group)}, "
+        f"(k, v) -> {hit('''if(v <> '', v, k)''')})"
+    )
+
+
+def _rule_hits(text: str, rules: Sequence[Rule], resolve: str, prefilter: bool) -> str:
+    choices = [_hits_of(text, r, _priority(r, resolve)) for r in rules]
+    return f"flatten(transform({_candidate_rules(text, rules, prefilter)}, i -> {_per_rule('i', choices)}))"
+
+
 def rule_hits(
-    text: Column, rules: Sequence[Rule], resolve: str = "first", prefilter: bool = True
+    text: str, rules: Sequence[Rule], resolve: str = "first", prefilter: bool = True
 ) -> Column:
-    """Array of every hit of every rule on ``text``, in rule order."""
-    choices = [_hits_of(text, r, _priority(r, resolve)) for r in rules]
-    return F.flatten(
-        F.transform(_candidate_rules(text, rules, prefilter), lambda i: _per_rule(i, choices))
+    """Array of every hit of every rule on ``text``, in rule order.
+
+    Elements are ``struct(rule_id, secret_type, priority, key_name, value)``.
+    """
+    return F.expr(_rule_hits(text, rules, resolve, prefilter))
+
+
+def _precedence(hits: str) -> str:
+    ranks = f"transform({hits}, x -> x.priority)"
+    covered = f"exists({hits}, y -> y.priority < x.priority AND contains(y.value, x.value))"
+    return (
+        f"CASE WHEN size({hits}) > 1 AND array_min({ranks}) < array_max({ranks}) "
+        f"THEN filter({hits}, x -> NOT {covered}) ELSE {hits} END"
     )
 
 
-def rule_precedence(hits: Column) -> Column:
+def rule_precedence(hits: str) -> Column:
     """Drop a hit whose value lies inside a value that a better rule captured.
 
-    Works on the hit array of one line, so no shuffle is needed. Lines where a
-    single rule fires, nearly all of them, are passed through untouched.
+    ``hits`` is the hit array of one line, so no shuffle is needed. Lines
+    where a single rule fires, nearly all of them, are passed through
+    untouched.
     """
-    better = lambda x: F.exists(
-        hits, lambda y: (y["priority"] < x["priority"]) & F.contains(y["value"], x["value"])
-    )
-    ranks = F.transform(hits, lambda x: x["priority"])
-    contested = (F.size(hits) > 1) & (F.array_min(ranks) < F.array_max(ranks))
-    return F.when(contested, F.filter(hits, lambda x: ~better(x))).otherwise(hits)
+    return F.expr(_precedence(hits))
 
 
-def _numbered_lines(text: Column) -> Column:
-    """``array<struct(line_no, line)>``, 1-based, line ends removed."""
+def env_reference(line: str, pattern: str = ENV_REFERENCE_PATTERN) -> Column:
+    """True where the line reads an environment variable."""
+    return F.expr(f"rlike({line}, {_lit(pattern)})")
 
-    def strip_cr(line: Column) -> Column:
-        return F.when(line.endswith("\r"), F.left(line, F.length(line) - 1)).otherwise(line)
 
+def _numbered_lines(text: str) -> str:
     # A one-character separator takes the JVM's non-regex split path.
-    return F.transform(
-        F.split(text, "\n"),
-        lambda raw, i: F.struct((i + 1).alias("line_no"), strip_cr(raw).alias("line")),
+    return (
+        f"transform(split({text}, '\\n'), (raw, n) -> named_struct('line_no', n + 1, 'line', "
+        f"CASE WHEN endswith(raw, '\\r') THEN left(raw, char_length(raw) - 1) ELSE raw END))"
     )
 
 
-def file_hits(
-    text: Column | str,
+def _file_hits(
+    text: str,
     rules: Sequence[Rule],
-    *,
     resolve: str = "first",
     scope: str = "line",
     prefilter: bool = True,
     max_line_len: int | None = None,
     env_pattern: str = ENV_REFERENCE_PATTERN,
-) -> Column:
-    """All findings of one text as an array of structs, in line and rule order.
-
-    The matched value is hashed here and never leaves the expression.
-    """
-    if resolve not in ("first", "specific", "all"):
+) -> str:
+    if resolve not in RESOLVE_MODES:
         raise ValueError(f"unknown resolve mode {resolve!r}")
-    if scope not in ("line", "file"):
+    if scope not in SCOPES:
         raise ValueError(f"unknown scope {scope!r}")
     if not rules:
         raise ValueError("no enabled rule")
-    text = F.col(text) if isinstance(text, str) else text
-
-    def of_unit(unit: Column) -> Column:
-        line = unit["line"]
-        found = _once(
-            rule_hits(line, rules, resolve, prefilter),
-            lambda h: h if resolve == "all" else rule_precedence(h),
-        )
-        return F.transform(
-            found,
-            lambda h: F.struct(
-                unit["line_no"].alias("line_no"),
-                h["rule_id"].alias("rule_id"),
-                h["secret_type"].alias("secret_type"),
-                h["key_name"].alias("key_name"),
-                F.sha2(h["value"], 256).alias("value_sha256"),
-                F.length(h["value"]).alias("value_len"),
-                env_reference(line, env_pattern).alias("is_env_reference"),
-            ),
-        )
-
-    def worth_scanning(unit: Column) -> Column:
-        keep = may_match(unit["line"], rules) if prefilter else F.lit(True)
-        return keep if max_line_len is None else keep & (F.length(unit["line"]) <= max_line_len)
-
+    hits = _rule_hits("u.line", rules, resolve, prefilter)
+    if resolve != "all":
+        hits = f"transform(array({hits}), hs -> {_precedence('hs')})[0]"
+    finding = (
+        "named_struct('line_no', u.line_no, 'rule_id', h.rule_id, 'secret_type', h.secret_type, "
+        "'key_name', h.key_name, 'value_sha256', sha2(h.value, 256), "
+        f"'value_len', char_length(h.value), 'is_env_reference', rlike(u.line, {_lit(env_pattern)}))"
+    )
+    of_unit = f"transform({hits}, h -> {finding})"
     if scope == "file":
-        return _once(F.struct(F.lit(None).cast("int").alias("line_no"), text.alias("line")), of_unit)
-    return F.flatten(F.transform(F.filter(_numbered_lines(text), worth_scanning), of_unit))
+        unit = f"named_struct('line_no', CAST(NULL AS INT), 'line', {text})"
+        return f"transform(array({unit}), u -> {of_unit})[0]"
+    worth = []
+    if prefilter:
+        worth.append(_may_match("u.line", rules))
+    if max_line_len is not None:
+        worth.append(f"char_length(u.line) <= {int(max_line_len)}")
+    lines = _numbered_lines(text)
+    if worth:
+        lines = f"filter({lines}, u -> {' AND '.join(worth)})"
+    return f"flatten(transform({lines}, u -> {of_unit}))"
 
 
-def oversized_lines(
-    files: DataFrame, max_line_len: int, key_cols: Sequence[str] = DEFAULT_KEYS, text_col: str = "text"
-) -> DataFrame:
-    """Lines a scan with ``max_line_len`` leaves out: keys, ``line_no``, ``line_len``."""
-    return (
-        files.filter(F.length(text_col) > max_line_len)
-        .select(*key_cols, F.inline(_numbered_lines(F.col(text_col))))
-        .select(*key_cols, "line_no", F.length("line").alias("line_len"))
-        .filter(F.col("line_len") > max_line_len)
-    )
+def file_hits(text: str, rules: Sequence[Rule], **options) -> Column:
+    """All findings of one text as an array of structs, in line and rule order.
+
+    NULL where the prefilter rules the whole text out. The matched value is
+    hashed here and never leaves the expression. For the options see
+    :func:`scan_secrets`.
+    """
+    hits = _file_hits(text, rules, **options)
+    if not options.get("prefilter", True):
+        return F.expr(hits)
+    # Not a filter: in a projection the test stays where the text is spread out.
+    return F.expr(f"CASE WHEN {_may_match(text, rules)} THEN {hits} END")
 
 
 def scan_secrets(
@@ -220,7 +230,6 @@ def scan_secrets(
     key_cols: Sequence[str] = DEFAULT_KEYS,
     text_col: str = "text",
     include_disabled: bool = False,
-    prefilter: bool = True,
     **options,
 ) -> DataFrame:
     """Findings of the rule table over the text of every row.
@@ -229,23 +238,35 @@ def scan_secrets(
     ``line_no`` (NULL for ``scope="file"``), ``rule_id``, ``secret_type``,
     ``key_name``, ``value_sha256``, ``value_len`` and ``is_env_reference``.
 
-    Options, as for :func:`file_hits`: ``resolve="first"`` lets the earliest
-    rule win on overlapping values, ``"specific"`` ranks provider rules above
-    generic ones, ``"all"`` keeps every hit; ``scope="file"`` matches across
-    lines; ``max_line_len`` (off by default) leaves longer lines to
-    :func:`oversized_lines`.
+    Options: ``resolve="first"`` lets the earliest rule win on overlapping
+    values, ``"specific"`` ranks provider rules above generic ones, ``"all"``
+    keeps every hit; ``scope="file"`` matches across lines;
+    ``prefilter=False`` runs every rule on everything, with equal findings;
+    ``max_line_len`` (off by default) leaves longer lines to
+    :func:`oversized_lines`; ``env_pattern`` replaces the line forms that
+    count as environment reads.
     """
-    active = enabled(rules, include_disabled)
-    text = F.col(text_col)
-    hits = file_hits(text, active, prefilter=prefilter, **options)
-    candidates = files.select(*key_cols, text_col)
-    if prefilter:
-        candidates = candidates.filter(may_match(text, active))
-    return candidates.select(*key_cols, F.posexplode(hits).alias("hit_no", "h")).select(
+    hits = file_hits(text_col, enabled(rules, include_disabled), **options)
+    return files.select(*key_cols, F.posexplode(hits).alias("hit_no", "h")).select(
         *key_cols, "hit_no", "h.*"
     )
 
 
+def oversized_lines(
+    files: DataFrame, max_line_len: int, key_cols: Sequence[str] = DEFAULT_KEYS, text_col: str = "text"
+) -> DataFrame:
+    """Lines a scan with ``max_line_len`` leaves out: keys, ``line_no``, ``line_len``."""
+    return (
+        files.filter(F.length(text_col) > max_line_len)
+        .select(*key_cols, F.inline(F.expr(_numbered_lines(text_col))))
+        .select(*key_cols, "line_no", F.length("line").alias("line_len"))
+        .filter(F.col("line_len") > max_line_len)
+    )
+
+
+# --- whole-text uses of the rules -------------------------------------------
+
+
 def count_matches(
     files: DataFrame,
     rules: Sequence[Rule] | None = None,
@@ -255,16 +276,15 @@ def count_matches(
 ) -> DataFrame:
     """Matches per rule over whole texts, zero counts included."""
     active = enabled(rules, include_disabled)
-    text = F.col(text_col)
-    counts = [F.regexp_count(text, F.lit(r.spark_pattern)) for r in active]
-    per_text = F.transform(
-        _candidate_rules(text, active, True),
-        lambda i: F.struct(i.alias("i"), _per_rule(i, counts).alias("n")),
+    counts = _per_rule(
+        "i", [f"regexp_count({text_col}, {_lit(r.spark_pattern)})" for r in active]
+    )
+    per_text = (
+        f"CASE WHEN {_may_match(text_col, active)} THEN "
+        f"transform({_candidate_rules(text_col, active, True)}, i -> named_struct('i', i, 'n', {counts})) END"
     )
     found = (
-        files.select(text_col)
-        .filter(may_match(text, active))
-        .select(F.explode(per_text).alias("c"))
+        files.select(F.explode(F.expr(per_text)).alias("c"))
         .groupBy(F.col("c.i").alias("i"))
         .agg(F.sum("c.n").alias("n"))
     )
@@ -279,24 +299,20 @@ def count_matches(
 
 
 def redact(
-    text: Column | str, rules: Sequence[Rule] | None = None, include_disabled: bool = True
+    text: str, rules: Sequence[Rule] | None = None, include_disabled: bool = True
 ) -> Column:
     """Replace every whole match, key and value, by ``[redacted:<rule_id>]``.
 
     Rules run in order, each on the text the previous one left. Masking only
     the value would leave a line that an earlier rule can match again.
     """
-    c = F.col(text) if isinstance(text, str) else text
     active = enabled(rules, include_disabled)
-
-    def apply(acc: Column, i: Column) -> Column:
-        return _per_rule(
-            i,
-            [
-                F.regexp_replace(acc, F.lit(r.spark_pattern), F.lit(f"[redacted:{r.rule_id}]"))
-                for r in active
-            ],
-        )
-
-    masked = F.aggregate(_candidate_rules(c, active, True), c, apply)
-    return F.when(may_match(c, active), masked).otherwise(c)
+    replaced = _per_rule(
+        "i",
+        [
+            f"regexp_replace(acc, {_lit(r.spark_pattern)}, {_lit(f'[redacted:{r.rule_id}]')})"
+            for r in active
+        ],
+    )
+    masked = f"aggregate({_candidate_rules(text, active, True)}, {text}, (acc, i) -> {replaced})"
+    return F.expr(f"CASE WHEN {_may_match(text, active)} THEN {masked} ELSE {text} END")

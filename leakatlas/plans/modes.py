@@ -15,7 +15,7 @@ from ..functions.urls import clean_file_name, ext_allowed
 from ..operators import paths, repos as repo_ops
 from ..operators.eligibility import should_scan_repo
 from ..operators.nesting import DEFAULT_MAX_ITEMS, nest
-from ..operators.scan import file_hits, may_match
+from ..operators.scan import file_hits
 from ..operators.summaries import quiet_filter
 from ..rules import Rule, enabled
 
@@ -82,8 +82,7 @@ def scan_items(
     Output: keys, ``section`` (``files``, ``findings`` or ``env_refs``),
     ``hit_no`` and the finding columns, NULL on ``files`` items.
     """
-    text = F.col(text_col)
-    hits = F.when(may_match(text, rules), file_hits(text, rules, **options))
+    hits = file_hits(text_col, rules, **options)
     return _explode_items(files.select(*keys, hits.alias("_hits")), keys)
 
 
@@ -214,10 +213,8 @@ def whole_repo_mode(
     own_tree = tree.join(eligible.select("repo_url"), "repo_url", "left_semi")
     kept = paths.cap_files(paths.interesting_path(own_tree), max_files)
 
-    text = F.col("content")
     found = (
-        blobs.filter(may_match(text, active))
-        .select("sha", file_hits(text, active, **scan_options).alias("_hits"))
+        blobs.select("sha", file_hits("content", active, **scan_options).alias("_hits"))
         .filter(F.size("_hits") > 0)
         .dropDuplicates(["sha"])  # copies of one blob have equal hits
     )

@@ -159,41 +159,45 @@ PROVIDER_RULES = (7, 8, 9, 10, 13, 17, 18, 19, 20, 21, 22, 26, 27, 28, 29)
 GENERIC_RULES = (11, 12, 23, 25)
 
 # Own tuning data, one entry per shipped rule: literals every match contains,
-# the rarest first so that the test fails early.
-_XML = ("<add",)
-_PEM = ("-----begin",)
+# from common to telling. Rules that share their first sets share the tests, so
+# text without an assignment, or without "key", is ruled out for all of them.
+_SET = ("=", ":")
+_XML = ("=",), ("<add",)
+_PEM = ("-----",), ("-----begin",), ("key",)
+_KEY = _SET, ("key",)
+_TOKEN = _SET, ("token",)
 _ANCHORS: tuple[Anchors, ...] = (
-    (_XML, ("pass",)),
-    (_XML, ("passwd",)),
-    (_XML, ("usuario",)),
-    (_XML, ("sshostkey",)),
-    (("_public_key",),),
-    (("_private_key",),),
-    (("_password", "_passwd", "_pwd"),),
-    (("akia",), ("aws",)),
-    (("aws",), ("secret",)),
-    (("ghp_",), ("token",)),
-    (("gho_",), ("token",)),
-    (("apikey", "api_key", "api-key"),),
-    (("token",),),
-    (("eyj",), ("token",)),
-    (_PEM, ("private",)),
-    (_PEM, ("private",)),
-    (_PEM, ("public",)),
-    (("aiza",), ("google", "gcp")),
-    (("google", "gcp"), ("client",), ("secret",)),
-    (("sk_live_", "sk_test_"), ("stripe",)),
-    (("pk_live_", "pk_test_"), ("stripe",)),
-    (("slack",), ("xox",)),
-    (("discord",), ("token",)),
-    (("secretkey", "secret_key", "secret-key", "access", "app"), ("secret",)),
-    (("://",), ("uri",)),
-    (("credential", "creds"),),
-    (("azure",), ("storage",), ("==",)),
-    (("twilio",),),
-    (("mailgun",), ("key-",)),
-    (("sendgrid",), ("sg.",)),
-    (("example",), ("pattern",)),
+    (*_XML, ("pass",)),
+    (*_XML, ("passwd",)),
+    (*_XML, ("usuario",)),
+    (*_XML, ("sshostkey",)),
+    (*_KEY, ("_public_key",)),
+    (*_KEY, ("_private_key",)),
+    (_SET, ("_passw", "_pwd")),
+    (*_KEY, ("akia",), ("aws",)),
+    (*_KEY, ("aws",), ("secret",)),
+    (*_TOKEN, ("ghp_",)),
+    (*_TOKEN, ("gho_",)),
+    (*_KEY, ("apikey", "api_key", "api-key")),
+    _TOKEN,
+    (*_TOKEN, ("eyj",)),
+    (*_PEM, ("private",)),
+    (*_PEM, ("private",)),
+    (*_PEM, ("public",)),
+    (*_KEY, ("aiza",), ("google", "gcp")),
+    (_SET, ("secret",), ("client",), ("google", "gcp")),
+    (*_KEY, ("sk_live_", "sk_test_"), ("stripe",)),
+    (*_KEY, ("pk_live_", "pk_test_"), ("stripe",)),
+    (*_TOKEN, ("slack",), ("xox",)),
+    (*_TOKEN, ("discord",)),
+    (_SET, ("secret",), ("key", "app")),
+    (_SET, ("://",), ("uri",)),
+    (_SET, ("cred",), ("credential", "creds")),
+    (*_KEY, ("azure",), ("storage",), ("==",)),
+    (_SET, ("key", "token"), ("twilio",)),
+    (*_KEY, ("mailgun",), ("key-",)),
+    (*_KEY, ("sendgrid",), ("sg.",)),
+    (_SET, ("pattern",), ("example",)),
 )
 
 # Rules whose key starts with a free identifier, and the literal tail of that

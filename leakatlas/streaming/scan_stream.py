@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from ..operators.scan import scan_secrets
-from ..rules import Rule
+from ..operators.scan import may_match, scan_secrets
+from ..rules import Rule, enabled
 
 
 def scan_stream(
@@ -28,11 +28,8 @@ def scan_stream(
     any anchor cannot have findings and is dropped before the state store, so
     neither its rows nor its keys are shuffled.
     """
-    from ..operators.scan import may_match
-    from ..rules import enabled
-
     active = enabled(rules, scan_options.get("include_disabled", False))
-    candidates = files.filter(may_match(F.col(text_col), active))
+    candidates = files.filter(may_match(text_col, active))
     fresh = candidates.withWatermark(ts_col, watermark).dropDuplicatesWithinWatermark([sha_col])
     return scan_secrets(
         fresh, rules, key_cols=[*key_cols, sha_col, ts_col], text_col=text_col, **scan_options

@@ -82,14 +82,23 @@ def may_match(text: str, rules: Sequence[Rule]) -> Column:
 
 
 def _candidate_rules(text: str, rules: Sequence[Rule], prefilter: bool) -> str:
-    """Positions in ``rules`` that are worth running on ``text``."""
-    everything = "array(" + ", ".join(str(i) for i in range(len(rules))) + ")"
+    """Positions in ``rules`` that are worth running on ``text``.
+
+    Only asked of text that passed the prefilter, so the anchors are walked as
+    one constant array instead of being unfolded into an expression per rule.
+    """
+    everything = f"sequence(0, {len(rules) - 1})"
     if not prefilter:
         return everything
-    tests = ", ".join(
-        f"CASE WHEN {_shared_tests('low', [r.anchors])} THEN {i} END" for i, r in enumerate(rules)
+
+    def array(parts: Iterable[str]) -> str:
+        return "array(" + ", ".join(parts) + ")"
+
+    table = array(
+        array(array(map(_lit, any_of)) for any_of in r.anchors or (("",),)) for r in rules
     )
-    by_anchor = f"transform(array(lower({text})), low -> array_compact(array({tests})))[0]"
+    seen = f"forall({table}[i], any_of -> exists(any_of, a -> contains(low, a)))"
+    by_anchor = f"transform(array(lower({text})), low -> filter({everything}, i -> {seen}))[0]"
     return f"CASE WHEN {_holds_folding_letter(text)} THEN {everything} ELSE {by_anchor} END"
 
 
@@ -105,28 +114,31 @@ def _priority(rule: Rule, resolve: str) -> int:
     return rule.rule_id if resolve != "specific" else rule.tier * 1_000_000 + rule.rule_id
 
 
-def _hits_of(text: str, rule: Rule, priority: int) -> str:
-    def hit(value: str) -> str:
-        return (
-            f"named_struct('rule_id', {rule.rule_id}, 'secret_type', {_lit(rule.secret_type)}, "
-            f"'priority', {priority}, 'key_name', k, 'value', {value})"
-        )
+def _pairs_of(text: str, rule: Rule) -> str:
+    """Key and value of each match of one rule."""
 
     def groups(n: int) -> str:
         return f"regexp_extract_all({text}, {_lit(rule.spark_pattern)}, {n})"
 
     if rule.value_group == rule.key_group:
-        return f"transform({groups(rule.key_group)}, k -> {hit('k')})"
+        return f"transform({groups(rule.key_group)}, k -> struct(k, k AS v))"
     # Both calls walk the same matches, so the arrays are aligned.
-    return (
-        f"zip_with({groups(rule.key_group)}, {groups(rule.value_group)}, "
-        f"(k, v) -> {hit('''if(v <> '', v, k)''')})"
-    )
+    return f"zip_with({groups(rule.key_group)}, {groups(rule.value_group)}, (k, v) -> struct(k, v))"
 
 
 def _rule_hits(text: str, rules: Sequence[Rule], resolve: str, prefilter: bool) -> str:
-    choices = [_hits_of(text, r, _priority(r, resolve)) for r in rules]
-    return f"flatten(transform({_candidate_rules(text, rules, prefilter)}, i -> {_per_rule('i', choices)}))"
+    pairs = _per_rule("i", [_pairs_of(text, r) for r in rules])
+    facts = ", ".join(
+        f"struct({r.rule_id} AS rule_id, {_lit(r.secret_type)} AS secret_type, {_priority(r, resolve)} AS priority)"
+        for r in rules
+    )
+    # An optional group that took no part comes back empty: the key stands in.
+    hit = (
+        "named_struct('rule_id', r.rule_id, 'secret_type', r.secret_type, 'priority', r.priority, "
+        "'key_name', p.k, 'value', if(p.v <> '', p.v, p.k))"
+    )
+    of_rule = f"transform(array(array({facts})[i]), r -> transform({pairs}, p -> {hit}))[0]"
+    return f"flatten(transform({_candidate_rules(text, rules, prefilter)}, i -> {of_rule}))"
 
 
 def rule_hits(

@@ -36,8 +36,14 @@ def nest(
         raise ValueError("max_items must be positive")
     keys = list(keys)
     payload = [c for c in items.columns if c not in keys and c != "section"]
-    # This exchange on the whole item is shared by the count and the gathering.
-    distinct = items.select(*keys, "section", *payload).distinct()
+    # Counting and gathering share one exchange on the whole item, so what
+    # produces the items, a scan for instance, runs once. As one struct the
+    # item cannot be pruned, nor is an earlier partitioning taken for it.
+    distinct = (
+        items.select(F.struct(*keys, "section", *payload).alias("_item"))
+        .distinct()
+        .select("_item.*")
+    )
     facts = distinct.groupBy(*keys).agg(
         F.count("*").alias("_n"),
         *[F.count_if(F.col("section") == s).alias(f"n_{s}") for s in sections],
@@ -69,7 +75,7 @@ def nest(
         .agg(
             F.first("_facts", ignorenulls=True).alias("_facts"),
             *[
-                F.array_sort(F.collect_list(F.when(F.col("section") == s, element))).alias(s)
+                F.sort_array(F.collect_list(F.when(F.col("section") == s, element))).alias(s)
                 for s, element in sections.items()
             ],
         )

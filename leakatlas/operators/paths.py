@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.domains import all_urls, check_domain, mentions_domain, strip_scheme
 from ..functions.urls import ext_allowed, file_extension
+from ..sources.payloads import decode_content
 from .nesting import DEFAULT_MAX_ITEMS, nest
 from .ranking import top_n_per_key
 
@@ -99,12 +100,15 @@ def cap_files(tree: DataFrame, max_files: int = MAX_FILES, path_col: str = "path
 
 
 def join_tree_blobs(tree: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Tree rows with the content of their blob: ``tree.*, content, decode_status``.
+    """Tree rows with their decoded content: ``tree.*, content, decode_status``.
 
-    ``tree`` should be filtered first; ``blobs`` has one row per sha. A blob
-    that was never landed has ``decode_status`` ``missing_blob``.
+    ``tree`` should be filtered first; ``blobs`` is ``(sha, encoding,
+    content)``, one row per sha. Blobs that no tree row needs are dropped
+    before they are decoded, and each other one is decoded once. A blob that
+    was never landed has ``decode_status`` ``missing_blob``.
     """
-    return tree.join(blobs.select("sha", "content", "decode_status"), "sha", "left").withColumn(
+    needed = blobs.join(tree.select("sha").distinct(), "sha", "left_semi")
+    return tree.join(decode_content(needed), "sha", "left").withColumn(
         "decode_status", F.coalesce("decode_status", F.lit("missing_blob"))
     )
 

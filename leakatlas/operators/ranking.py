@@ -24,7 +24,9 @@ def top_n_per_key(
 
     Small ``n`` is cut before the shuffle by Spark itself. Larger ``n`` is cut
     in two steps: first within ``salts`` slices of each key, then over what is
-    left, so the task of a hot key sorts at most ``salts * n`` rows.
+    left, so the task of a hot key sorts at most ``salts * n`` rows. The
+    explicit exchange matters: rows that already lie together by key would
+    otherwise satisfy the first window, and no slice would move.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     if n > MAP_SIDE_LIMIT:
@@ -32,6 +34,7 @@ def top_n_per_key(
         ws = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = (
             df.withColumn("_salt", salt)
+            .repartition(*keys, "_salt")
             .withColumn("_rn", F.row_number().over(ws))
             .filter(F.col("_rn") <= n)
             .drop("_salt", "_rn")

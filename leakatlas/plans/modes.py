@@ -204,14 +204,18 @@ def whole_repo_mode(
     ``(repo_url, path, sha)``; ``blobs`` is ``(sha, content)``.
 
     Blobs are scanned where they lie, each once however many repositories
-    hold it, and only findings are joined to the tree.
+    hold it, and only findings are joined to the tree: content is never
+    shuffled.
     """
     active = enabled(rules, include_disabled)
     eligible = should_scan_repo(repositories, domain, match).filter("should_scan").drop(
         "should_scan", "reason_class", "reason"
     )
-    own_tree = tree.join(eligible.select("repo_url"), "repo_url", "left_semi")
-    kept = paths.cap_files(paths.interesting_path(own_tree), max_files)
+    # The cap comes first: it bounds every repository before rows meet by key,
+    # and the join then finds them partitioned as it needs them.
+    kept = paths.cap_files(paths.interesting_path(tree), max_files).join(
+        eligible.select("repo_url"), "repo_url", "left_semi"
+    )
 
     found = (
         blobs.select("sha", file_hits("content", active, **scan_options).alias("_hits"))
@@ -222,7 +226,7 @@ def whole_repo_mode(
     return _report(
         items,
         eligible,
-        skipped=paths.skipped_extensions(own_tree),
+        skipped=paths.skipped_extensions(tree),
         sort=sort,
         commit_date=commit_date,
         quiet=quiet,

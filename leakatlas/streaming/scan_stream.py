@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from ..operators.scan import may_match, scan_secrets
+from ..operators.scan import file_hits
 from ..rules import Rule, enabled
 
 
@@ -19,18 +19,25 @@ def scan_stream(
     watermark: str = "1 day",
     key_cols: Sequence[str] = ("repo_url", "path"),
     text_col: str = "text",
+    include_disabled: bool = False,
     **scan_options,
 ) -> DataFrame:
-    """Findings of a stream of files; content seen within the watermark is not scanned again.
+    """Findings of a stream of files; each content is reported once within the watermark.
 
-    The duplicate filter works on files, in front of the scan: one file may
-    have several findings. Only ``(sha, ts)`` is kept as state. Text without
-    any anchor cannot have findings and is dropped before the state store, so
-    neither its rows nor its keys are shuffled.
+    Duplicates are dropped per file, while its findings are still one array:
+    several findings share one sha. The scan itself is row-local and comes
+    first, so what is shuffled and kept as state are the files with findings,
+    without their text. Output as for ``scan_secrets``, keyed by the key
+    columns, sha and time.
     """
-    active = enabled(rules, scan_options.get("include_disabled", False))
-    candidates = files.filter(may_match(text_col, active))
-    fresh = candidates.withWatermark(ts_col, watermark).dropDuplicatesWithinWatermark([sha_col])
-    return scan_secrets(
-        fresh, rules, key_cols=[*key_cols, sha_col, ts_col], text_col=text_col, **scan_options
+    hits = file_hits(text_col, enabled(rules, include_disabled), **scan_options)
+    keys = list(dict.fromkeys([*key_cols, sha_col, ts_col]))
+    fresh = (
+        files.withWatermark(ts_col, watermark)
+        .select(*keys, hits.alias("_hits"))
+        .filter(F.size("_hits") > 0)
+        .dropDuplicatesWithinWatermark([sha_col])
+    )
+    return fresh.select(*keys, F.posexplode("_hits").alias("hit_no", "h")).select(
+        *keys, "hit_no", "h.*"
     )

@@ -641,8 +641,8 @@ BLOBS_SQL = (
 def join_tree_blobs(spark, sf_dir):
     files = relation(spark, sf_dir, "docs")
     landed = spread(files.filter("doc_id % 11 <> 0").select("sha", "text"), "sha").dropDuplicates(["sha"])
-    blobs = payloads.decode_content(
-        landed.select("sha", F.lit("base64").alias("encoding"), F.base64(F.col("text").cast("binary")).alias("content"))
+    blobs = landed.select(
+        "sha", F.lit("base64").alias("encoding"), F.base64(F.col("text").cast("binary")).alias("content")
     )
     tree = paths.interesting_path(files.select("repo_url", "path", "sha"))
     joined = paths.join_tree_blobs(tree, blobs)

@@ -28,6 +28,9 @@ ENV_REFERENCE_PATTERN = (
 # not lowered to them: text holding one cannot be ruled out by ASCII anchors.
 FOLDING_LETTERS = ("\u017f", "\u212a", "\u0130", "\u0131")
 
+# Anchor sets per rule that are tested on a whole text.
+FILE_DEPTH = 2
+
 RESOLVE_MODES = ("first", "specific", "all")
 SCOPES = ("line", "file")
 
@@ -64,11 +67,16 @@ def _holds_folding_letter(text: str) -> str:
     return f"(octet_length({text}) <> char_length({text}) AND {_contains_any(text, FOLDING_LETTERS)})"
 
 
-def _may_match(text: str, rules: Sequence[Rule]) -> str:
+def _may_match(text: str, rules: Sequence[Rule], depth: int | None = None) -> str:
+    """The test of :func:`may_match`; ``depth`` limits it to each rule's first anchors.
+
+    All anchors pay off on a line. On a whole file, which often holds the
+    common ones, they would cost a pass each for little.
+    """
     if any(not r.anchors for r in rules):
         return f"({text} IS NOT NULL)"
     heads = list(dict.fromkeys(a for r in rules for a in r.anchors[0]))
-    tests = f"exists(array(lower({text})), low -> {_shared_tests('low', [r.anchors for r in rules])})"
+    tests = f"exists(array(lower({text})), low -> {_shared_tests('low', [r.anchors[:depth] for r in rules])})"
     passes = f"({tests} OR {_holds_folding_letter(text)})"
     if all(a.upper() == a for a in heads):
         # Caseless heads are tested on the text as it is, before lowering it.
@@ -94,11 +102,24 @@ def _candidate_rules(text: str, rules: Sequence[Rule], prefilter: bool) -> str:
     def array(parts: Iterable[str]) -> str:
         return "array(" + ", ".join(parts) + ")"
 
+    def anchors(sets: Iterable[Iterable[str]]) -> str:
+        # The empty literal is in every text.
+        return array([array(map(_lit, any_of)) for any_of in sets] or [array([_lit("")])])
+
+    groups: dict[tuple, list[int]] = {}
+    for i, r in enumerate(rules):
+        groups.setdefault(r.anchors[:FILE_DEPTH], []).append(i)
     table = array(
-        array(array(map(_lit, any_of)) for any_of in r.anchors or (("",),)) for r in rules
+        "struct({} AS head, {} AS rules)".format(
+            anchors(head),
+            array(f"struct({i} AS i, {anchors(rules[i].anchors[FILE_DEPTH:])} AS tail)" for i in members),
+        )
+        for head, members in groups.items()
     )
-    seen = f"forall({table}[i], any_of -> exists(any_of, a -> contains(low, a)))"
-    by_anchor = f"transform(array(lower({text})), low -> filter({everything}, i -> {seen}))[0]"
+    seen = "forall({}, any_of -> exists(any_of, a -> contains(low, a)))"
+    members = f"transform(filter(g.rules, r -> {seen.format('r.tail')}), r -> r.i)"
+    found = f"flatten(transform(filter({table}, g -> {seen.format('g.head')}), g -> {members}))"
+    by_anchor = f"transform(array(lower({text})), low -> sort_array({found}))[0]"
     return f"CASE WHEN {_holds_folding_letter(text)} THEN {everything} ELSE {by_anchor} END"
 
 
@@ -232,7 +253,7 @@ def file_hits(text: str, rules: Sequence[Rule], **options) -> Column:
     if not options.get("prefilter", True):
         return F.expr(hits)
     # Not a filter: in a projection the test stays where the text is spread out.
-    return F.expr(f"CASE WHEN {_may_match(text, rules)} THEN {hits} END")
+    return F.expr(f"CASE WHEN {_may_match(text, rules, FILE_DEPTH)} THEN {hits} END")
 
 
 def scan_secrets(
@@ -292,7 +313,7 @@ def count_matches(
         "i", [f"regexp_count({text_col}, {_lit(r.spark_pattern)})" for r in active]
     )
     per_text = (
-        f"CASE WHEN {_may_match(text_col, active)} THEN "
+        f"CASE WHEN {_may_match(text_col, active, FILE_DEPTH)} THEN "
         f"transform({_candidate_rules(text_col, active, True)}, i -> named_struct('i', i, 'n', {counts})) END"
     )
     found = (
@@ -327,4 +348,4 @@ def redact(
         ],
     )
     masked = f"aggregate({_candidate_rules(text, active, True)}, {text}, (acc, i) -> {replaced})"
-    return F.expr(f"CASE WHEN {_may_match(text, active)} THEN {masked} ELSE {text} END")
+    return F.expr(f"CASE WHEN {_may_match(text, active, FILE_DEPTH)} THEN {masked} ELSE {text} END")

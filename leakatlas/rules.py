@@ -200,27 +200,56 @@ _ANCHORS: tuple[Anchors, ...] = (
     (_SET, ("pattern",), ("example",)),
 )
 
-# Rules whose key starts with a free identifier, and the literal tail of that
-# key: the part that can also stand in a look-behind, and the rest.
-_IDENT_TAILS: dict[int, tuple[str, str]] = {
-    4: (r"_PUBLIC_KEY", r"(?<=_PUBLIC_KEY)"),
-    5: (r"_PRIVATE_KEY", r"(?<=_PRIVATE_KEY)"),
-    6: (r"_(?:PASSWORD|PASSWD|PWD)", r"(?<=_(?:PASSWORD|PASSWD|PWD))"),
-    11: (r"api[_-]?key", r"(?:(?<=api_?key)|(?<=api)-key)"),
+# Rules whose key starts with a free identifier: the literal tail of that key,
+# the same as a check behind the identifier run, and the run's last character.
+_IDENT_TAILS: dict[int, tuple[str, str, str]] = {
+    4: (r"_PUBLIC_KEY", r"(?<=_PUBLIC_KEY)", "yY"),
+    5: (r"_PRIVATE_KEY", r"(?<=_PRIVATE_KEY)", "yY"),
+    6: (r"_(?:PASSWORD|PASSWD|PWD)", r"(?<=_(?:PASSWORD|PASSWD|PWD))", "dD"),
+    11: (r"api[_-]?key", r"(?:(?<=api_?key)|(?<=api)-key)", "yYiI\u0130\u0131"),
 }
 
 
-def _linear_key(tail: str, tail_check: str) -> str:
+# Letters that a case-insensitive Unicode match takes for an ASCII one.
+_FOLDS = {"s": "\u017f", "k": "\u212a", "i": "\u0130\u0131"}
+_FOLD_ALL = "".join(_FOLDS.values())
+
+
+def _plain(pattern: str) -> str:
+    """Part of a pattern that is matched without the rule's flags, hence fast."""
+    return f"(?-iU:{pattern})"
+
+
+def _linear_key(tail: str, tail_check: str, last_chars: str) -> str:
     """Equivalent of ``IDENT + tail`` without backtracking over the identifier.
 
     The tail is always followed by a separator, so a match exists only where
     an identifier run *ends* with the tail, and it starts at the run's first
     letter. Reading the run possessively and then looking back makes long
-    minified or encoded lines linear instead of quadratic.
+    minified or encoded lines linear instead of quadratic. The cheap tests
+    come first.
     """
-    starts_run = r"(?=[A-Za-z_])(?<![A-Za-z_][0-9]{0,32})"
+    # At a letter, and not inside a run: neither right after a letter nor
+    # after a letter and digits.
+    starts_run = _plain(
+        f"(?=[A-Za-z_{_FOLD_ALL}])(?<![A-Za-z_])(?>(?<![0-9])|(?<![A-Za-z_][0-9]{{1,32}}))"
+    )
     not_bare_tail = rf"(?!{tail}\s*[=:])"
-    return rf"{starts_run}{not_bare_tail}({IDENT}+{tail_check})"
+    run = _plain(
+        f"[A-Za-z_{_FOLD_ALL}][A-Za-z0-9_{_FOLD_ALL}]*+(?<=[{last_chars}])"
+    )
+    return rf"{starts_run}{not_bare_tail}({run}{tail_check})"
+
+
+def _first_chars(key: str, shape: str) -> str:
+    """Look-ahead for the characters a match can start with.
+
+    It fails on most positions at the price of one table lookup.
+    """
+    letters = {alternative[0].lower() for alternative in key.split("|")}
+    chars = "".join(c + c.upper() + _FOLDS.get(c, "") for c in sorted(letters))
+    quotes = "\"'" if shape == "Q" else ""
+    return _plain(f"(?=[{quotes}{chars}])")
 
 
 @dataclass(frozen=True)
@@ -250,6 +279,8 @@ def shipped_rules() -> list[Rule]:
         body = pattern
         if i in _IDENT_TAILS:
             body = pattern.replace(f"({key})", _linear_key(*_IDENT_TAILS[i]), 1)
+        elif shape in "KQ":
+            body = _first_chars(key, shape) + pattern
         rules.append(
             Rule(
                 rule_id=i,

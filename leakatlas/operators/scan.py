@@ -51,15 +51,19 @@ def _contains_any(text: str, literals: Iterable[str]) -> str:
 
 
 def _shared_tests(low: str, anchor_sets: Iterable[tuple]) -> str:
-    """Disjunction over anchor sets with their common heads factored out."""
-    tails: dict[tuple, set] = {}
+    """Disjunction over anchor sets with their common heads factored out.
+
+    The head that most sets share comes first: text that passes mostly passes
+    by it.
+    """
+    tails: dict[tuple, list[tuple]] = {}
     for anchors in anchor_sets:
         if not anchors:
             return "true"
-        tails.setdefault(anchors[0], set()).add(anchors[1:])
+        tails.setdefault(anchors[0], []).append(anchors[1:])
+    by_use = sorted(tails.items(), key=lambda t: -len(t[1]))
     return _any(
-        f"({_contains_any(low, head)} AND {_shared_tests(low, sorted(rest))})"
-        for head, rest in tails.items()
+        f"({_contains_any(low, head)} AND {_shared_tests(low, rest)})" for head, rest in by_use
     )
 
 

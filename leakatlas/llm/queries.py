@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leakatlas.llm import bpe, quality, sharding, toxicity, url_filter, warc
+from leakatlas.llm import bpe, minmax_dedup, quality, sharding, suffix_dedup, toxicity, url_filter, warc
 from leakatlas.llm.registry import query, table
 from leakatlas.llm.shared import shared_folder, stored
 
@@ -67,3 +67,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         page("refers_to").alias("refers_to"),
     )
+
+
+@query("op7_minmax_dedup")
+def op7_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 85)
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document once repeated 400-byte strings are cut."""
+    cut = suffix_dedup.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

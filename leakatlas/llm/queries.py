@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leakatlas.llm import bpe, minmax_dedup, quality, sharding, suffix_dedup, toxicity, url_filter, warc
+from leakatlas.llm import bpe, brown_lm, minmax_dedup, quality, sharding, suffix_dedup, toxicity, url_filter, warc
 from leakatlas.llm.registry import query, table
 from leakatlas.llm.shared import shared_folder, stored
 
@@ -80,3 +80,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document once repeated 400-byte strings are cut."""
     cut = suffix_dedup.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op8_brown_lm")
+def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and class model scores of every document; every seventh by hash is held out."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = brown_lm.score_documents(documents, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leakatlas.llm import bpe, brown_lm, minmax_dedup, quality, sharding, suffix_dedup, toxicity, url_filter, warc
+from leakatlas.llm import bpe, brown_lm, decontaminate, minmax_dedup, quality, sharding, suffix_dedup, toxicity, url_filter, warc
 from leakatlas.llm.registry import query, table
 from leakatlas.llm.shared import shared_folder, stored
 
@@ -88,3 +88,9 @@ def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = brown_lm.score_documents(documents, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+@query("op3_decontaminate")
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of documents that match a benchmark item."""
+    return decontaminate.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))

@@ -170,7 +170,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         .agg(F.min(one).alias("r"), F.least(F.count("*"), F.lit(2)).cast("int").alias("weight"))
         .select("gram", "r.*", (F.col("r.back") - F.col("r.span")).alias("first"), F.col("r.back").alias("last"), "weight")
     )
-    for size in BLOCKS:
+    for size in [b for b in BLOCKS if b == 1 or 2 * b <= length]:  # strings of a block must share bytes
         rows = stored(blocks(documents, requests.select("id", "digest", *[f.split()[0] for f in REQUEST.split(", ")]), size, length), "suffix-blocks")
         one = F.struct("id", "digest", "pos", "back", "span", "first", "last")
         same = rows.groupBy("gram", "block", "core", "hull").agg(F.sum("weight").alias("n"), F.count("*").alias("rows"), F.min(one).alias("r"))

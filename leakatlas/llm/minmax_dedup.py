@@ -5,17 +5,19 @@ hash functions both the least and the greatest value are kept, so that half the
 evaluations give a signature of the same length; minimum and maximum each agree
 with the Jaccard similarity of two sets, and their mean varies less. ROWS values
 make a band; texts that share a band are candidates. At similarity 0.8 a pair
-is missed with probability (1 - 0.8^4)^20, 3e-5; at 0.85 it is 4e-7.
+is missed with probability (1 - 0.8^7)^42, 5e-5; at 0.85 it is 9e-8.
 
 Equal sets are one node from the start. In each bucket a hub is compared with
-all members; then nodes already connected need no comparison, and in every
-bucket that still holds several components further hubs, taken outside its
-largest component, are compared with all members of other components, more of
-them in each round, until each bucket is one component or all its pairs are
-decided. So no pair of a bucket is left out, but a group of n near copies costs
-about n comparisons. A pair goes to the exact comparison of the full sets unless
-sizes exclude it or so few signature values agree that a link is impossible
-but for odds below 1e-8.
+all members: the node whose buckets are the fullest, as the original of many
+copies is. Then nodes already connected need no comparison, and in every bucket
+that still holds several components further hubs, taken outside its largest
+component, are compared with all members of other components, more of them in
+each round, until each bucket is one component or all its pairs are decided. So
+no pair of a bucket is left out, and a group of n near copies of one text costs
+about n comparisons. Two bits of every signature value are compared first: a
+pair goes on to the full sets unless its sizes exclude a link or so few values
+agree that a link has odds below 1e-8; the same pair of several buckets goes on
+from the first only.
 
 Null, empty and wordless texts have no shingles and link with nothing; fewer
 than five words are one shingle. A null id links with nothing. Rows with equal
@@ -25,18 +27,20 @@ ids are one document.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from leakatlas.llm.components import components
 from leakatlas.llm.shared import broadcast_if_small, stored
 from leakatlas.llm.text import FIELD, Fingerprints, byte_values, chunks, mix, utf8, words
 
 SHINGLE = 5
-ROWS, BANDS = 4, 20
+ROWS, BANDS = 7, 42
 PERMUTATIONS = ROWS * BANDS // 2
+PLANE = -(-2 * PERMUTATIONS // 64)  # 64-bit words for one bit of all values
 FIRST_HUBS, HUB_GROWTH = 8, 8
 
 
@@ -67,7 +71,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (n x BANDS) and one byte of every signature value (n x 2 * PERMUTATIONS); zeros for empty sets."""
+    """Band keys (n x BANDS) and two bits of every signature value, packed (n x 2 * PLANE); zeros for empty sets."""
     n = len(at) - 1
     filled = np.flatnonzero(at[1:] > at[:-1])
     out = np.zeros((2 * PERMUTATIONS, n), FIELD)
@@ -84,14 +88,22 @@ def signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
         bands = np.tile(np.arange(1, BANDS + 1, dtype=FIELD)[:, None], (1, n))
         for r in range(ROWS):
             bands = mix(bands * FIELD(31) + out[r * BANDS : (r + 1) * BANDS])
-        marks = (mix(out) & FIELD(255)).astype(np.uint8)
-    return bands.T, marks.T
+        spread = mix(out).T
+        bits = np.zeros((n, 2, 64 * PLANE), np.uint8)
+        for plane in range(2):
+            bits[:, plane, : 2 * PERMUTATIONS] = (spread >> FIELD(plane)) & FIELD(1)
+    return bands.T, np.packbits(bits, axis=2).reshape(n, -1).view(np.int64)
 
 
 def _as_long(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
+def listed(table: np.ndarray) -> pa.Array:
+    """Rows of a table as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1, dtype=np.int32) * table.shape[1]), _as_long(table.reshape(-1)))
+
+
 def _texts(documents: DataFrame, key: str, text: str) -> DataFrame:
     return documents.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("__text"))
 
@@ -104,17 +116,15 @@ def profiles(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
             for batch in chunks(whole, "__text"):
                 values, at = shingle_sets(*utf8(batch.column("__text")))
                 bands, marks = signatures(values, at)
-                n = batch.num_rows
                 with np.errstate(over="ignore"):
                     sums = [np.concatenate([np.zeros(1, FIELD), np.cumsum(mix(values + FIELD(s)))]) for s in (1, 2)]
                     set_a, set_b = (s[at[1:]] - s[at[:-1]] for s in sums)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), _as_long(bands.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(np.diff(at)), _as_long(set_a), _as_long(set_b), lists, pa.array([m.tobytes() for m in marks], pa.binary())],
+                    [batch.column("id"), pa.array(np.diff(at)), _as_long(set_a), _as_long(set_b), listed(bands), listed(marks)],
                     names=["id", "n_shingles", "set_a", "set_b", "bands", "marks"],
                 )
 
-    return _texts(documents, key, text).mapInArrow(run, "id long, n_shingles long, set_a long, set_b long, bands array<long>, marks binary")
+    return _texts(documents, key, text).mapInArrow(run, "id long, n_shingles long, set_a long, set_b long, bands array<long>, marks array<long>")
 
 
 def full_sets(documents: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
@@ -131,10 +141,8 @@ def full_sets(documents: DataFrame, ids: DataFrame, key: str, text: str) -> Data
 
 
 def least_agreement(percent: int) -> int:
-    """The agreeing signature values below which a link at ``percent`` has odds under 1e-8."""
-    from math import comb
-
-    n, p, total = 2 * PERMUTATIONS, percent / 100, 0.0
+    """The values with equal bits below which a link at ``percent`` has odds under 1e-8; other values agree in one case of four."""
+    n, p, total = 2 * PERMUTATIONS, percent / 100 + (1 - percent / 100) / 4, 0.0
     for k in range(n + 1):
         total += comb(n, k) * p**k * (1 - p) ** (n - k)
         if total > 1e-8:
@@ -142,27 +150,27 @@ def least_agreement(percent: int) -> int:
     return n
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, percent: int, key: str, text: str) -> DataFrame:
+def possible(percent: int) -> Column:
+    """Whether u and v (columns nu, nv, mu, mv) may be linked."""
+    differ = sum((F.bit_count((F.col("mu")[i].bitwiseXOR(F.col("mv")[i])).bitwiseOR(F.col("mu")[PLANE + i].bitwiseXOR(F.col("mv")[PLANE + i]))) for i in range(PLANE)), F.lit(0))
+    return (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (2 * PERMUTATIONS - differ >= least_agreement(percent))
+
+
+def confirmed(pairs: DataFrame, documents: DataFrame, percent: int, key: str, text: str) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough."""
-    narrow = nodes.select("id", "n_shingles", "marks")
-    agree = F.size(F.filter(F.sequence(F.lit(1), F.lit(2 * PERMUTATIONS)), lambda i: F.substring("mu", i, 1) == F.substring("mv", i, 1)))
-    likely = (
-        pairs.join(narrow.toDF("u", "nu", "mu"), "u")
-        .join(narrow.toDF("v", "nv", "mv"), "v")
-        .filter((100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (agree >= least_agreement(percent)))
-        .select("u", "v", "nu", "nv")
-    )
-    likely = stored(likely, "minmax-likely")
+    likely = stored(pairs, "minmax-likely")
+    if likely.isEmpty():
+        return likely
     ids = likely.select(F.col("u").alias("id")).union(likely.select(F.col("v").alias("id"))).distinct()
     sets = stored(full_sets(documents, ids, key, text), "minmax-sets")
-    shared = F.size(F.array_intersect("su", "sv"))
-    return (
+    links = (
         likely.join(sets.toDF("v", "sv").hint("shuffle_hash"), "v")
         .join(sets.toDF("u", "su").hint("shuffle_hash"), "u")
-        .withColumn("shared", shared)
+        .withColumn("shared", F.size(F.array_intersect("su", "sv")))
         .filter(100 * F.col("shared") >= percent * (F.size("su") + F.size("sv") - F.col("shared")))
         .select("u", "v")
     )
+    return stored(links, "minmax-links")
 
 
 def near_duplicates(documents: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -173,28 +181,33 @@ def near_duplicates(documents: DataFrame, percent: int = 80, key: str = "doc_id"
         "minmax-nodes",
     )
     member = nodes.select("id", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).filter("n > 1")
-    members = stored(member.join(shared, "bucket").select("bucket", "id", "hub"), "minmax-members")
-    pairs = members.filter("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
-    links = confirmed(pairs, nodes, documents, percent, key, text)
-    roots = stored(components(links), "minmax-roots")
-    members = members.filter("id <> hub").select("bucket", "id")
-    hubs = FIRST_HUBS
+    sizes = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = stored(member.join(sizes, "bucket"), "minmax-members")
+    fullness = members.groupBy("id").agg(F.sum("n").alias("fullness"))
+    first = members.join(fullness, "id").groupBy("bucket").agg(F.max(F.struct("fullness", -F.col("id"))).alias("h")).select("bucket", (-F.col("h.col2")).alias("hub"))
+    members = stored(members.join(first, "bucket").filter("id <> hub").select("bucket", "id", "hub"), "minmax-members")
+    narrow = nodes.select("id", "n_shingles", "marks")
+    pairs = members.select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
+    pairs = pairs.join(narrow.toDF("u", "nu", "mu"), "u").join(narrow.toDF("v", "nv", "mv"), "v").filter(possible(percent)).select("u", "v")
+    roots = stored(components(confirmed(pairs, documents, percent, key, text)), "minmax-roots")
+    members, hubs = members.select("bucket", "id"), FIRST_HUBS
     while True:
         labelled = members.join(roots.toDF("id", "root"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("label"))
         classes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         mixed = classes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("labels")).filter("labels > 1").select("bucket", F.col("top.label").alias("top"), (F.col("n") - F.col("top.n")).alias("others"))
-        unsettled = stored(labelled.join(mixed, "bucket"), "minmax-unsettled")
+        unsettled = stored(labelled.join(mixed, "bucket").join(nodes.select("id", "n_shingles", "marks", "bands"), "id"), "minmax-unsettled")
         if unsettled.isEmpty():
             break
         outside = unsettled.filter("label <> top")
         drawn = F.pmod(F.xxhash64("id", F.lit(hubs)), F.col("others")) < hubs
         sure = outside.groupBy("bucket").agg(F.min("id").alias("id")).withColumn("sure", F.lit(True))
-        chosen = outside.join(sure, ["bucket", "id"], "left").filter(drawn | F.col("sure")).select("bucket", F.col("id").alias("hub"), F.col("label").alias("hub_label"))
+        chosen = outside.join(sure, ["bucket", "id"], "left").filter(drawn | F.col("sure")).select("bucket", F.col("id").alias("u"), F.col("label").alias("lu"), F.col("n_shingles").alias("nu"), F.col("marks").alias("mu"), F.col("bands").alias("bu"))
         chosen = stored(chosen, "minmax-hubs")
-        pairs = unsettled.join(chosen, "bucket").filter("label <> hub_label").select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
-        links = stored(confirmed(pairs, nodes, documents, percent, key, text), "minmax-links")
-        members = stored(unsettled.join(chosen.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id"), "minmax-members")
+        other = unsettled.select("bucket", F.col("id").alias("v"), F.col("label").alias("lv"), F.col("n_shingles").alias("nv"), F.col("marks").alias("mv"), F.col("bands").alias("bv"))
+        earliest = F.element_at(F.filter("bu", lambda x, i: x == F.col("bv")[i]), 1) == F.col("bucket")
+        pairs = other.join(chosen, "bucket").filter((F.col("lu") != F.col("lv")) & possible(percent) & earliest).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        links = confirmed(pairs, documents, percent, key, text)
+        members = stored(unsettled.select("bucket", "id").join(chosen.select("bucket", F.col("u").alias("id")), ["bucket", "id"], "left_anti"), "minmax-members")
         if not links.isEmpty():
             roots = stored(components(roots.toDF("u", "v").union(links)), "minmax-roots")
         hubs *= HUB_GROWTH

@@ -56,12 +56,12 @@ def count_texts(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     feeds = np.flatnonzero(data == 10)
     line_start = np.unique(np.concatenate([at[:-1], feeds + 1]))
     line_start = line_start[line_start < len(data)]
-    ends = np.unique(np.concatenate([at[1:], feeds]))
-    line_end = ends[np.searchsorted(ends, line_start, "left")] if len(line_start) else line_start
+    line_doc = np.searchsorted(at, line_start, "right") - 1
+    next_feed = np.concatenate([feeds, [len(data)]])[np.searchsorted(feeds, line_start, "left")]
+    line_end = np.minimum(next_feed, at[line_doc + 1])
     held = np.concatenate([[0], np.cumsum(solid, dtype=np.int64)])
     with_word = held[line_end] > held[line_start]
-    line_start, line_end = line_start[with_word], line_end[with_word]
-    line_doc = np.searchsorted(at, line_start, "right") - 1
+    line_start, line_end, line_doc = line_start[with_word], line_end[with_word], line_doc[with_word]
     with np.errstate(over="ignore"):
         salt = mix(np.arange(n, dtype=FIELD) + FIELD(1))
         _, first = np.unique(mix(finger.span(line_start, line_end) + salt[line_doc]), return_index=True)

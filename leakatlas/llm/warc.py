@@ -12,8 +12,8 @@ asked for, the reader jumps to the next member by the extra field (foreign
 members without it are inflated and dropped).
 
 Predicates: ``option("types", "response,revisit")``, ``option("where", json)``
-with header names and values, and filters on ``record_type`` and the header
-columns, pushed down (``register`` sets ``spark.sql.python.filterPushdown.enabled``).
+with header names and values, and, with the format ``warc_filtered``, filters on
+``record_type`` and the header columns.
 The user schema selects columns; without ``payload`` in it none is decoded.
 
 Null bodies are empty payloads, null ids have the record id ``page:``, line
@@ -166,14 +166,6 @@ class WarcReader(DataSourceReader):
         for header, value in json.loads(options.get("where", "{}")).items():
             self.wanted.add(header, value if isinstance(value, list) else [value])
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for f in filters:
-            name = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
-            if name in HEADERS and name != "payload_digest":
-                self.wanted.add(HEADERS[name], [f.value] if isinstance(f, EqualTo) else f.value)
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         store, folder = open_folder(self.path)
         found = {i.base_name: i.size for i in store.get_file_info(fs.FileSelector(folder)) if i.is_file}
@@ -215,6 +207,16 @@ class WarcReader(DataSourceReader):
         return out
 
 
+class FilteringReader(WarcReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            name = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
+            if name in HEADERS and name != "payload_digest":
+                self.wanted.add(HEADERS[name], [f.value] if isinstance(f, EqualTo) else f.value)
+            else:
+                yield f
+
+
 def parse_headers(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8", "replace").split("\r\n")
     pairs = (line.partition(":") for line in lines[1:] if ":" in line)
@@ -333,9 +335,25 @@ class WarcSource(DataSource):
         return WarcWriter(dict(self.options), schema)
 
 
+class FilteringWarcSource(WarcSource):
+    """As WarcSource, and filters of the query are pushed into the reader.
+
+    Spark 4.1 keeps the filters of a relation's first scan, so every query needs
+    a ``load`` of its own; ``read_warc`` therefore uses the options instead.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc_filtered"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return FilteringReader(dict(self.options), schema)
+
+
 def register(spark: SparkSession) -> None:
-    """Make the format known to the session and let Spark push filters into Python sources."""
+    """Make both formats known to the session and let Spark push filters into Python sources."""
     spark.dataSource.register(WarcSource)
+    spark.dataSource.register(FilteringWarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 

@@ -19,21 +19,41 @@ SKIP_WORDS = (
 )
 
 
+# Words that hold an earlier word: whoever holds them holds that one first.
+_ROOTS = tuple(w for i, w in enumerate(SKIP_WORDS) if not any(v in w for v in SKIP_WORDS[:i]))
+
+# Report texts.
+LIKELY = "' (likely documentation/report/analysis repo)"
+NAME_CONTAINS = "Repository name contains '"
+OWNER_IS = "Repository owner '"
+OWNER_MATCHES = "' matches domain '"
+SAME_COMPANY = "' (likely same company)"
+DESCRIPTION_CONTAINS = "Repository description contains '"
+TOPIC_IS = "Repository topic '"
+TOPIC_INDICATES = "' indicates it's a "
+TOPIC_END = " repository"
+ARCHIVED = "Repository is archived"
+
+
 def first_skip_word(text: Column, match: str = "substring") -> Column:
     """First skip word, in list order, found in the text; NULL when none is.
 
     ``substring`` finds ``doc`` in ``docker`` and ``old`` in ``cold``;
-    ``token`` compares whole alphanumeric runs.
+    ``token`` compares whole alphanumeric runs. The tests end at the first
+    hit.
     """
-    words = F.array(*[F.lit(w) for w in SKIP_WORDS])
+    low = F.lower(text)
     if match == "substring":
-        bound, test = F.lower(text), lambda t, w: F.contains(t, w)
+        words, test = _ROOTS, lambda w: F.contains(low, F.lit(w))
     elif match == "token":
-        bound, test = F.split(F.lower(text), "[^a-z0-9]+"), lambda t, w: F.array_contains(t, w)
+        tokens = F.split(low, "[^a-z0-9]+")
+        words, test = SKIP_WORDS, lambda w: F.array_contains(tokens, w)
     else:
         raise ValueError(f"unknown match mode {match!r}")
-    found = F.transform(F.array(bound), lambda t: F.get(F.filter(words, lambda w: test(t, w)), F.lit(0)))
-    return F.when(text.isNotNull(), F.get(found, F.lit(0)))
+    found = F.when(text.isNull(), F.lit(None).cast("string"))
+    for w in words:
+        found = found.when(test(w), w)
+    return found
 
 
 def skip_verdict(
@@ -55,7 +75,6 @@ def skip_verdict(
         parts = [F.lit(r) if isinstance(r, str) else r for r in reason]
         return F.struct(F.lit(kind).alias("reason_class"), F.concat(*parts).alias("reason"))
 
-    likely = "' (likely documentation/report/analysis repo)"
     name_word = first_skip_word(name, match)
     description_word = first_skip_word(description, match)
     topic_hits = F.filter(
@@ -70,29 +89,27 @@ def skip_verdict(
     same_company = F.contains(owner_low, domain_label(domain))
     return F.coalesce(
         F.when(
-            name_word.isNotNull(), verdict("name", "Repository name contains '", name_word, likely)
+            name_word.isNotNull(), verdict("name", NAME_CONTAINS, name_word, LIKELY)
         ),
         F.when(
             same_company,
             verdict(
                 "owner",
-                "Repository owner '", owner_low, "' matches domain '", domain,
-                "' (likely same company)",
+                OWNER_IS, owner_low, OWNER_MATCHES, domain, SAME_COMPANY,
             ),
         ),
         F.when(
             description_word.isNotNull(),
-            verdict("description", "Repository description contains '", description_word, likely),
+            verdict("description", DESCRIPTION_CONTAINS, description_word, LIKELY),
         ),
         F.when(
             topic.isNotNull(),
             verdict(
                 "topic",
-                "Repository topic '", topic["topic"], "' indicates it's a ", topic["word"],
-                " repository",
+                TOPIC_IS, topic["topic"], TOPIC_INDICATES, topic["word"], TOPIC_END,
             ),
         ),
-        F.when(is_archived, verdict("archived", "Repository is archived")),
+        F.when(is_archived, verdict("archived", ARCHIVED)),
     )
 
 

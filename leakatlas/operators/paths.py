@@ -9,15 +9,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.domains import all_urls, check_domain, mentions_domain, strip_scheme
 from ..functions.urls import ext_allowed, file_extension
 from ..sources.payloads import decode_content
-from .nesting import DEFAULT_MAX_ITEMS, nest
 from .ranking import top_n_per_key
+from .records import with_header
 
 # What a whole-repository scan keeps and drops.
 INTERESTING_EXT = (
     ".env", ".yaml", ".yml", ".json", ".toml", ".ini", ".cfg", ".conf", ".properties", ".xml",
 )
 DROPPED_EXT = (".html", ".csv", ".md")
-MAX_FILES = 50_000
 
 
 def search_ext(exts: Iterable[str] | None) -> list[str]:
@@ -74,10 +73,8 @@ def skipped_extensions(tree: DataFrame, path_col: str = "path", **lists) -> Data
     )
 
 
-def skipped_files(
-    tree: DataFrame, path_col: str = "path", max_items: int = DEFAULT_MAX_ITEMS, **lists
-) -> DataFrame:
-    """Per repository: file count, skipped count and the set of skipped extensions."""
+def skipped_files(tree: DataFrame, path_col: str = "path", **lists) -> DataFrame:
+    """Per repository a header with file and skipped counts, and an item per skipped extension."""
     keep = is_interesting(path_col, **lists)
     per_ext = tree.groupBy("repo_url", F.when(~keep, file_extension(path_col)).alias("ext")).agg(
         F.count("*").alias("n")
@@ -89,11 +86,13 @@ def skipped_files(
     items = per_ext.filter("ext IS NOT NULL").select(
         "repo_url", F.lit("extensions").alias("section"), "ext"
     )
-    return nest(items, ["repo_url"], {"extensions": F.col("ext")}, header, max_items)
+    return with_header(header, items, ["repo_url"])
 
 
-def cap_files(tree: DataFrame, max_files: int = MAX_FILES, path_col: str = "path") -> DataFrame:
-    """At most ``max_files`` files per repository, by path."""
+def cap_files(tree: DataFrame, max_files: int | None = None, path_col: str = "path") -> DataFrame:
+    """At most ``max_files`` files per repository, by path; all without a limit."""
+    if max_files is None:
+        return tree
     if max_files < 1:
         raise ValueError("max_files must be greater than 0")
     return top_n_per_key(tree, ["repo_url"], [F.col(path_col)], max_files, salt_col=path_col)

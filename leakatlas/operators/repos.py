@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.urls import repo_owner_name
-from .nesting import DEFAULT_MAX_ITEMS, nest
-from .ranking import first_per_key, running_totals
+from .ranking import first_per_key, running_totals, top_n_per_key
+from .records import count_items, distinct_items, with_header
 
-# Page size and result cap of a code search.
+# Page size of a code search, and the results it gives at most.
 PER_PAGE = 100
-MAX_RESULTS = 1_000
+SEARCH_RESULTS = 1_000
 
 
 def dedup_repo(hits: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -31,13 +31,13 @@ def page_stop(
     max_repos: int | None = None,
     keys: Sequence[str] = (),
     per_page: int = PER_PAGE,
-    max_results: int = MAX_RESULTS,
+    max_results: int | None = None,
 ) -> DataFrame:
     """Which landed pages a paging search would have read.
 
     After each page the search ends when the page was not full, when
-    ``max_results`` items of new repositories were kept (same-page repeats
-    count), or when ``max_repos`` repositories are known. ``page_sizes``
+    ``max_results`` items (if given) of new repositories were kept (same-page
+    repeats count), or when ``max_repos`` repositories are known. ``page_sizes``
     (``page, n_items``) adds pages without hits; ``keys`` separates searches.
 
     Output: keys, ``page, n_items, kept, new_repos, total_kept, total_repos,
@@ -57,7 +57,9 @@ def page_stop(
     pages = running_totals(
         pages, keys, "page", {"total_kept": "kept", "total_repos": "new_repos"}
     )
-    stops = (F.col("n_items") < per_page) | (F.col("total_kept") >= max_results)
+    stops = F.col("n_items") < per_page
+    if max_results is not None:
+        stops = stops | (F.col("total_kept") >= _positive("max_results", max_results))
     if max_repos is not None:
         stops = stops | (F.col("total_repos") >= _positive("max_repos", max_repos))
     last = pages.groupBy(*keys).agg(F.min(F.when(stops, F.col("page"))).alias("_last"))
@@ -79,23 +81,25 @@ def limit_repos(
     max_repos: int,
     mode: str = "exact",
     page_sizes: DataFrame | None = None,
-    **page_options,
+    keys: Sequence[str] = (),
+    per_page: int = PER_PAGE,
+    max_results: int | None = None,
 ) -> DataFrame:
-    """Deduplicated repositories up to ``max_repos``, in search order.
+    """Deduplicated repositories up to ``max_repos`` of each search, in search order.
 
     ``exact`` returns exactly that many; ``page`` reproduces the paging
     search, which finishes the page on which the limit is reached and so may
-    return more.
+    return more. ``keys`` separates searches; without it there is one.
     """
-    n = _positive("max_repos", max_repos)
+    n, keys = _positive("max_repos", max_repos), list(keys)
     if mode == "exact":
-        return dedup_repo(hits).orderBy("page", "pos", "repo_url").limit(n)
+        found, order = dedup_repo(hits, keys), [F.col("page"), F.col("pos"), F.col("repo_url")]
+        return top_n_per_key(found, keys, order, n, salt_col="repo_url") if keys else found.orderBy(*order).limit(n)
     if mode != "page":
         raise ValueError(f"unknown limit mode {mode!r}")
-    stop = page_stop(hits, page_sizes, max_repos=n, **page_options)
-    last = stop.filter("is_read").agg(F.max("page").alias("_last"))  # a single row
-    read = hits.crossJoin(F.broadcast(last)).filter(F.col("page") <= F.col("_last")).drop("_last")
-    return dedup_repo(read)
+    stop = page_stop(hits, page_sizes, n, keys, per_page, max_results)
+    read = stop.filter("is_read").select(*keys, "page")
+    return dedup_repo(hits.join(read, [*keys, "page"], "left_semi"), keys)
 
 
 def sort_order(commit_date: str = "file", sort: str = "desc") -> Column:
@@ -117,17 +121,15 @@ def sort_repos(
     The sort is range-partitioned; with ``limit`` Spark keeps only the top
     rows of each task.
     """
-    tie = ["repo_url"] + [c for c in ("part",) if c in repos.columns]
-    out = repos.orderBy(sort_order(commit_date, sort), *tie)
+    out = repos.orderBy(sort_order(commit_date, sort), "repo_url")
     return out if limit is None else out.limit(_positive("limit", limit))
 
 
-def repo_rollup(
-    hits: DataFrame, path: str = "path", keys: Sequence[str] = ("repo_url",), max_items: int = DEFAULT_MAX_ITEMS
-) -> DataFrame:
-    """All files of each repository: keys, ``part, n_parts, n_files, files``."""
-    items = hits.select(*keys, F.lit("files").alias("section"), F.col(path).alias("_item"))
-    return nest(items, keys, {"files": F.col("_item")}, max_items=max_items)
+def repo_rollup(hits: DataFrame, path: str = "path", keys: Sequence[str] = ("repo_url",)) -> DataFrame:
+    """All files of each repository: a header with ``n_files`` and an item ``file`` each."""
+    items = hits.select(*keys, F.lit("files").alias("section"), F.col(path).alias("file"))
+    items = distinct_items(items, keys)
+    return with_header(count_items(items, keys, ["files"]), items, keys)
 
 
 def anti_seen(new: DataFrame, seen: DataFrame, on: str = "repo_url") -> DataFrame:
@@ -143,10 +145,14 @@ def last_commit_per_file(commits: DataFrame) -> DataFrame:
 
 
 def last_commit_per_repo(commits: DataFrame) -> DataFrame:
-    """Also accepts the commits already reduced per file, renamed back."""
     return commits.groupBy("repo_url").agg(F.max("committed_at").alias("last_commit_repo"))
 
 
+def newest_per_repo(file_dates: DataFrame) -> DataFrame:
+    """Repository dates from the dates of all its files, so that commits are read once."""
+    return file_dates.groupBy("repo_url").agg(F.max("last_commit_file").alias("last_commit_repo"))
+
+
 def join_commit_dates(
     repos: DataFrame, repo_dates: DataFrame, file_dates: DataFrame, run_ts: str | Column
 ) -> DataFrame:

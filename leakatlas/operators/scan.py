@@ -19,7 +19,7 @@ from ..rules import Rule, enabled
 
 DEFAULT_KEYS = ("repo_url", "path")
 
-# Line forms that read a secret from the environment.
+# Forms that read a secret from the environment.
 ENV_REFERENCE_PATTERN = (
     r"os\.getenv|os\.environ|process\.env|System\.getenv|getenv\(|ENV\[|\$\{[A-Za-z_]"
 )
@@ -33,6 +33,7 @@ FILE_DEPTH = 2
 
 RESOLVE_MODES = ("first", "specific", "all")
 SCOPES = ("line", "file")
+ENV_UNITS = ("value", "line")
 
 
 def _lit(text: str) -> str:
@@ -143,12 +144,21 @@ def _pairs_of(text: str, rule: Rule) -> str:
     """Key and value of each match of one rule."""
 
     def groups(n: int) -> str:
-        return f"regexp_extract_all({text}, {_lit(rule.spark_pattern)}, {n})"
+        return f"regexp_extract_all({text}, {_lit(rule.scan_pattern)}, {n})"
 
     if rule.value_group == rule.key_group:
         return f"transform({groups(rule.key_group)}, k -> struct(k, k AS v))"
     # Both calls walk the same matches, so the arrays are aligned.
-    return f"zip_with({groups(rule.key_group)}, {groups(rule.value_group)}, (k, v) -> struct(k, v))"
+    pairs = f"zip_with({groups(rule.key_group)}, {groups(rule.value_group)}, (k, v) -> struct(k, v))"
+    return pairs if rule.scan_pattern == rule.spark_pattern else f"filter({pairs}, p -> p.k <> '')"
+
+
+def _matches_of(text: str, rule: Rule) -> str:
+    """How often one rule matches."""
+    if rule.scan_pattern == rule.spark_pattern:
+        return f"regexp_count({text}, {_lit(rule.spark_pattern)})"
+    keys = f"regexp_extract_all({text}, {_lit(rule.scan_pattern)}, {rule.key_group})"
+    return f"size(filter({keys}, k -> k <> ''))"
 
 
 def _rule_hits(text: str, rules: Sequence[Rule], resolve: str, prefilter: bool) -> str:
@@ -214,35 +224,33 @@ def _file_hits(
     resolve: str = "first",
     scope: str = "line",
     prefilter: bool = True,
-    max_line_len: int | None = None,
     env_pattern: str = ENV_REFERENCE_PATTERN,
+    env_by: str = "value",
 ) -> str:
     if resolve not in RESOLVE_MODES:
         raise ValueError(f"unknown resolve mode {resolve!r}")
     if scope not in SCOPES:
         raise ValueError(f"unknown scope {scope!r}")
+    if env_by not in ENV_UNITS:
+        raise ValueError(f"unknown environment unit {env_by!r}")
     if not rules:
         raise ValueError("no enabled rule")
+    env_text = "h.value" if env_by == "value" else "u.line"
     hits = _rule_hits("u.line", rules, resolve, prefilter)
     if resolve != "all":
         hits = f"transform(array({hits}), hs -> {_precedence('hs')})[0]"
     finding = (
         "named_struct('line_no', u.line_no, 'rule_id', h.rule_id, 'secret_type', h.secret_type, "
         "'key_name', h.key_name, 'value_sha256', sha2(h.value, 256), "
-        f"'value_len', char_length(h.value), 'is_env_reference', rlike(u.line, {_lit(env_pattern)}))"
+        f"'value_len', char_length(h.value), 'is_env_reference', rlike({env_text}, {_lit(env_pattern)}))"
     )
     of_unit = f"transform({hits}, h -> {finding})"
     if scope == "file":
         unit = f"named_struct('line_no', CAST(NULL AS INT), 'line', {text})"
         return f"transform(array({unit}), u -> {of_unit})[0]"
-    worth = []
-    if prefilter:
-        worth.append(_may_match("u.line", rules))
-    if max_line_len is not None:
-        worth.append(f"char_length(u.line) <= {int(max_line_len)}")
     lines = _numbered_lines(text)
-    if worth:
-        lines = f"filter({lines}, u -> {' AND '.join(worth)})"
+    if prefilter:
+        lines = f"filter({lines}, u -> {_may_match('u.line', rules)})"
     return f"flatten(transform({lines}, u -> {of_unit}))"
 
 
@@ -279,9 +287,10 @@ def scan_secrets(
     values, ``"specific"`` ranks provider rules above generic ones, ``"all"``
     keeps every hit; ``scope="file"`` matches across lines;
     ``prefilter=False`` runs every rule on everything, with equal findings;
-    ``max_line_len`` (off by default) leaves longer lines to
-    :func:`oversized_lines`; ``env_pattern`` replaces the line forms that
-    count as environment reads.
+    ``env_pattern`` replaces the forms that count as environment reads, and
+    ``env_by`` says where they are looked for: in the captured ``"value"``, or
+    anywhere in the ``"line"``, where one read also covers the secrets beside
+    it.
     """
     hits = file_hits(text_col, enabled(rules, include_disabled), **options)
     return files.select(*key_cols, F.posexplode(hits).alias("hit_no", "h")).select(
@@ -289,18 +298,6 @@ def scan_secrets(
     )
 
 
-def oversized_lines(
-    files: DataFrame, max_line_len: int, key_cols: Sequence[str] = DEFAULT_KEYS, text_col: str = "text"
-) -> DataFrame:
-    """Lines a scan with ``max_line_len`` leaves out: keys, ``line_no``, ``line_len``."""
-    return (
-        files.filter(F.length(text_col) > max_line_len)
-        .select(*key_cols, F.inline(F.expr(_numbered_lines(text_col))))
-        .select(*key_cols, "line_no", F.length("line").alias("line_len"))
-        .filter(F.col("line_len") > max_line_len)
-    )
-
-
 # --- whole-text uses of the rules -------------------------------------------
 
 
@@ -314,7 +311,7 @@ def count_matches(
     """Matches per rule over whole texts, zero counts included."""
     active = enabled(rules, include_disabled)
     counts = _per_rule(
-        "i", [f"regexp_count({text_col}, {_lit(r.spark_pattern)})" for r in active]
+        "i", [_matches_of(text_col, r) for r in active]
     )
     per_text = (
         f"CASE WHEN {_may_match(text_col, active, FILE_DEPTH)} THEN "
@@ -347,7 +344,7 @@ def redact(
     replaced = _per_rule(
         "i",
         [
-            f"regexp_replace(acc, {_lit(r.spark_pattern)}, {_lit(f'[redacted:{r.rule_id}]')})"
+            f"regexp_replace(acc, {_lit(r.spark_pattern)}, {_lit(f'{r.keep}[redacted:{r.rule_id}]')})"
             for r in active
         ],
     )

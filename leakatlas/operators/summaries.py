@@ -13,7 +13,7 @@ def secrets_only(findings: DataFrame) -> DataFrame:
 
 
 def env_references(findings: DataFrame) -> DataFrame:
-    """Findings on lines that only read an environment variable."""
+    """Findings that only read an environment variable."""
     return findings.filter("is_env_reference")
 
 

@@ -19,140 +19,48 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import schemas
 
-MAX_RULES = 2_000  # a rule file is configuration; more than this is a mistake
+MAX_RULES = 2_000  # default bound of a rule file, which is configuration
 
 # An anchor set is an AND of ORs of lower-case literals that any match of the
 # rule must contain. No anchor set means: always try the rule.
 Anchors = tuple[tuple[str, ...], ...]
 
-SHAPES = {
-    "K": r"""({key})\s*[=:]\s*["']?({value})["']?""",
-    "Q": r"""["']?({key})["']?\s*[=:]\s*["']?({value})["']?""",
-    "X": r"""<add[^>]*key\s*=\s*["']([^"']*{key}[^"']*)["'][^>]*value\s*=\s*["']({value})["']""",
-    "P": r"(-----BEGIN\s+({key}\s+)?{value}\s+KEY-----)",
-}
-
 IDENT = "[A-Za-z_][A-Za-z0-9_]*"
 
-# Secret type, shape, key part and value part of the 31 shipped
-# rules. Their order is data, a lower position wins under "first".
-SHIPPED: tuple[tuple[str, str, str, str], ...] = (
-    ("XML Password", "X", r"(?:passwd|password|pass)", r"""[^"']{4,}"""),
-    ("XML Password", "X", r"passwd", r"""[^"']{4,}"""),
-    ("XML Username", "X", r"usuario", r"""[^"']{3,}"""),
-    ("SSH Host Key", "X", r"sshostKey", r"""[^"']{10,}"""),
-    ("Public Key", "K", IDENT + r"_PUBLIC_KEY", r"[A-Za-z0-9_\-/+=]{16,}"),
-    ("Private Key", "K", IDENT + r"_PRIVATE_KEY", r"[A-Za-z0-9_\-/+=]{16,}"),
-    (
-        "Password",
-        "K",
-        IDENT + r"_(?:PASSWORD|PASSWD|PWD)",
-        r"""[A-Za-z0-9!@#$%^&*()_+\-=\[\]{};':"\\|,.<>\/?]{8,}""",
-    ),
-    (
-        "AWS Access Key",
-        "K",
-        r"aws[_-]?access[_-]?key[_-]?id|aws[_-]?secret[_-]?access[_-]?key",
-        r"AKIA[0-9A-Z]{16}",
-    ),
-    (
-        "AWS Secret Key",
-        "K",
-        r"aws[_-]?secret[_-]?access[_-]?key|aws[_-]?secret[_-]?key",
-        r"[A-Za-z0-9/+=]{40,}",
-    ),
-    (
-        "GitHub Token",
-        "K",
-        r"github[_-]?token|gh[_-]?token|ghp[_-]?token",
-        r"ghp_[A-Za-z0-9]{36}",
-    ),
-    ("GitHub OAuth Token", "K", r"github[_-]?oauth[_-]?token|gho[_-]?token", r"gho_[A-Za-z0-9]{36}"),
-    ("API Key", "K", IDENT + r"(?:[Aa]pi[_-]?[Kk]ey|[Aa]pi[Kk]ey)", r"[A-Za-z0-9_\-]{20,}"),
-    (
-        "Access Token",
-        "Q",
-        r"access[_-]?token|auth[_-]?token|bearer[_-]?token|token",
-        r"[A-Za-z0-9_\-\.]{20,}",
-    ),
-    (
-        "JWT Token",
-        "K",
-        r"jwt[_-]?token|json[_-]?web[_-]?token",
-        r"eyJ[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]+",
-    ),
-    ("Private Key", "P", r"RSA", r"PRIVATE"),
-    ("SSH Private Key", "P", r"OPENSSH", r"PRIVATE"),
-    ("Public Key", "P", r"RSA", r"PUBLIC"),
-    (
-        "Google API Key",
-        "K",
-        r"google[_-]?api[_-]?key|gcp[_-]?api[_-]?key",
-        r"AIza[0-9A-Za-z\-_]{35}",
-    ),
-    (
-        "Google Client Secret",
-        "K",
-        r"google[_-]?client[_-]?secret|gcp[_-]?client[_-]?secret",
-        r"[A-Za-z0-9_\-]{24,}",
-    ),
-    (
-        "Stripe Secret Key",
-        "K",
-        r"stripe[_-]?secret[_-]?key|stripe[_-]?api[_-]?key",
-        r"sk_(live|test)_[A-Za-z0-9]{24,}",
-    ),
-    (
-        "Stripe Publishable Key",
-        "K",
-        r"stripe[_-]?publishable[_-]?key",
-        r"pk_(live|test)_[A-Za-z0-9]{24,}",
-    ),
-    (
-        "Slack Token",
-        "K",
-        r"slack[_-]?token|slack[_-]?api[_-]?token",
-        r"xox[baprs]-[A-Za-z0-9\-]{10,}",
-    ),
-    (
-        "Discord Bot Token",
-        "K",
-        r"discord[_-]?bot[_-]?token|discord[_-]?token",
-        r"[A-Za-z0-9\.\-]{59,}",
-    ),
-    (
-        "Secret Key",
-        "Q",
-        r"secret[_-]?key|secret[_-]?access[_-]?key|app[_-]?secret",
-        r"[A-Za-z0-9_\-]{16,}",
-    ),
-    (
-        "Database URI",
-        "K",
-        r"mongodb[_-]?uri|postgres[_-]?uri|mysql[_-]?uri|database[_-]?uri|db[_-]?uri",
-        r"""[a-z]+://[^\s"']+""",
-    ),
-    ("Credentials", "Q", r"credential|creds", r"[A-Za-z0-9_\-]{16,}"),
-    (
-        "Azure Storage Key",
-        "K",
-        r"azure[_-]?storage[_-]?account[_-]?key|azure[_-]?storage[_-]?key",
-        r"[A-Za-z0-9+/=]{86}==",
-    ),
-    (
-        "Twilio API Key",
-        "K",
-        r"twilio[_-]?api[_-]?key|twilio[_-]?auth[_-]?token",
-        r"[A-Za-z0-9]{32}",
-    ),
-    ("Mailgun API Key", "K", r"mailgun[_-]?api[_-]?key", r"key-[A-Za-z0-9]{32}"),
-    (
-        "SendGrid API Key",
-        "K",
-        r"sendgrid[_-]?api[_-]?key",
-        r"SG\.[A-Za-z0-9_\-]{22}\.[A-Za-z0-9_\-]{43}",
-    ),
-    ("Example Pattern", "K", r"example[_-]?pattern", r"[A-Za-z0-9]{10,}"),
+# Secret type and pattern of the 31 shipped rules. Their order is
+# data, a lower position wins under "first".
+SHIPPED: tuple[tuple[str, str], ...] = (
+    ("XML Password", r"""(?i)<add[^>]*key\s*=\s*["']([^"']*(?:passwd|password|pass)[^"']*)["'][^>]*value\s*=\s*["']([^"']{4,})["']"""),
+    ("XML Password", r"""(?i)<add[^>]*key\s*=\s*["']([^"']*passwd[^"']*)["'][^>]*value\s*=\s*["']([^"']{4,})["']"""),
+    ("XML Username", r"""(?i)<add[^>]*key\s*=\s*["']([^"']*usuario[^"']*)["'][^>]*value\s*=\s*["']([^"']{3,})["']"""),
+    ("SSH Host Key", r"""(?i)<add[^>]*key\s*=\s*["']([^"']*sshostKey[^"']*)["'][^>]*value\s*=\s*["']([^"']{10,})["']"""),
+    ("Public Key", r"""(?i)([A-Za-z_][A-Za-z0-9_]*_PUBLIC_KEY)\s*[=:]\s*["']?([A-Za-z0-9_\-/+=]{16,})["']?"""),
+    ("Private Key", r"""(?i)([A-Za-z_][A-Za-z0-9_]*_PRIVATE_KEY)\s*[=:]\s*["']?([A-Za-z0-9_\-/+=]{16,})["']?"""),
+    ("Password", r"""(?i)([A-Za-z_][A-Za-z0-9_]*_(?:PASSWORD|PASSWD|PWD))\s*[=:]\s*["']?([A-Za-z0-9!@#$%^&*()_+\-=\[\]{};':"\\|,.<>\/?]{8,})["']?"""),
+    ("AWS Access Key", r"""(?i)(aws[_-]?access[_-]?key[_-]?id|aws[_-]?secret[_-]?access[_-]?key)\s*[=:]\s*["']?(AKIA[0-9A-Z]{16})["']?"""),
+    ("AWS Secret Key", r"""(?i)(aws[_-]?secret[_-]?access[_-]?key|aws[_-]?secret[_-]?key)\s*[=:]\s*["']?([A-Za-z0-9/+=]{40,})["']?"""),
+    ("GitHub Token", r"""(?i)(github[_-]?token|gh[_-]?token|ghp[_-]?token)\s*[=:]\s*["']?(ghp_[A-Za-z0-9]{36})["']?"""),
+    ("GitHub OAuth Token", r"""(?i)(github[_-]?oauth[_-]?token|gho[_-]?token)\s*[=:]\s*["']?(gho_[A-Za-z0-9]{36})["']?"""),
+    ("API Key", r"""(?i)([A-Za-z_][A-Za-z0-9_]*(?:[Aa]pi[_-]?[Kk]ey|[Aa]pi[Kk]ey))\s*[=:]\s*["']?([A-Za-z0-9_\-]{20,})["']?"""),
+    ("Access Token", r"""(?i)["']?(access[_-]?token|auth[_-]?token|bearer[_-]?token|token)["']?\s*[=:]\s*["']?([A-Za-z0-9_\-\.]{20,})["']?"""),
+    ("JWT Token", r"""(?i)(jwt[_-]?token|json[_-]?web[_-]?token)\s*[=:]\s*["']?(eyJ[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]+)["']?"""),
+    ("Private Key", r"(?i)(-----BEGIN\s+(RSA\s+)?PRIVATE\s+KEY-----)"),
+    ("SSH Private Key", r"(?i)(-----BEGIN\s+(OPENSSH\s+)?PRIVATE\s+KEY-----)"),
+    ("Public Key", r"(?i)(-----BEGIN\s+(RSA\s+)?PUBLIC\s+KEY-----)"),
+    ("Google API Key", r"""(?i)(google[_-]?api[_-]?key|gcp[_-]?api[_-]?key)\s*[=:]\s*["']?(AIza[0-9A-Za-z\-_]{35})["']?"""),
+    ("Google Client Secret", r"""(?i)(google[_-]?client[_-]?secret|gcp[_-]?client[_-]?secret)\s*[=:]\s*["']?([A-Za-z0-9_\-]{24,})["']?"""),
+    ("Stripe Secret Key", r"""(?i)(stripe[_-]?secret[_-]?key|stripe[_-]?api[_-]?key)\s*[=:]\s*["']?(sk_(live|test)_[A-Za-z0-9]{24,})["']?"""),
+    ("Stripe Publishable Key", r"""(?i)(stripe[_-]?publishable[_-]?key)\s*[=:]\s*["']?(pk_(live|test)_[A-Za-z0-9]{24,})["']?"""),
+    ("Slack Token", r"""(?i)(slack[_-]?token|slack[_-]?api[_-]?token)\s*[=:]\s*["']?(xox[baprs]-[A-Za-z0-9\-]{10,})["']?"""),
+    ("Discord Bot Token", r"""(?i)(discord[_-]?bot[_-]?token|discord[_-]?token)\s*[=:]\s*["']?([A-Za-z0-9\.\-]{59,})["']?"""),
+    ("Secret Key", r"""(?i)["']?(secret[_-]?key|secret[_-]?access[_-]?key|app[_-]?secret)["']?\s*[=:]\s*["']?([A-Za-z0-9_\-]{16,})["']?"""),
+    ("Database URI", r"""(?i)(mongodb[_-]?uri|postgres[_-]?uri|mysql[_-]?uri|database[_-]?uri|db[_-]?uri)\s*[=:]\s*["']?([a-z]+://[^\s"']+)["']?"""),
+    ("Credentials", r"""(?i)["']?(credential|creds)["']?\s*[=:]\s*["']?([A-Za-z0-9_\-]{16,})["']?"""),
+    ("Azure Storage Key", r"""(?i)(azure[_-]?storage[_-]?account[_-]?key|azure[_-]?storage[_-]?key)\s*[=:]\s*["']?([A-Za-z0-9+/=]{86}==)["']?"""),
+    ("Twilio API Key", r"""(?i)(twilio[_-]?api[_-]?key|twilio[_-]?auth[_-]?token)\s*[=:]\s*["']?([A-Za-z0-9]{32})["']?"""),
+    ("Mailgun API Key", r"""(?i)(mailgun[_-]?api[_-]?key)\s*[=:]\s*["']?(key-[A-Za-z0-9]{32})["']?"""),
+    ("SendGrid API Key", r"""(?i)(sendgrid[_-]?api[_-]?key)\s*[=:]\s*["']?(SG\.[A-Za-z0-9_\-]{22}\.[A-Za-z0-9_\-]{43})["']?"""),
+    ("Example Pattern", r"""(?i)(example[_-]?pattern)\s*[=:]\s*["']?([A-Za-z0-9]{10,})["']?"""),
 )
 SHIPPED_DISABLED = (12, 30)
 PROVIDER_RULES = (7, 8, 9, 10, 13, 17, 18, 19, 20, 21, 22, 26, 27, 28, 29)
@@ -162,7 +70,7 @@ GENERIC_RULES = (11, 12, 23, 25)
 # from common to telling. Rules that share their first sets share the tests, so
 # text without an assignment, or without "key", is ruled out for all of them.
 _SET = ("=", ":")
-_XML = ("=",), ("<add",)
+_XML = ("=",), ("<add",), ("value",)
 _PEM = ("-----",), ("-----begin",), ("key",)
 _KEY = _SET, ("key",)
 _TOKEN = _SET, ("token",)
@@ -200,6 +108,14 @@ _ANCHORS: tuple[Anchors, ...] = (
     (_SET, ("pattern",), ("example",)),
 )
 
+# Characters a match can begin with, for rules that begin with literal words (and
+# quotes, for those whose key may be quoted).
+_STARTS: dict[int, str] = {
+    7: "a", 8: "a", 9: "g", 10: "g", 12: "abt\"'", 13: "j", 17: "g", 18: "g", 19: "s", 20: "s", 21: "s",
+    22: "d", 23: "as\"'", 24: "dmp", 25: "c\"'", 26: "a", 27: "t", 28: "m", 29: "s", 30: "e",
+}
+_XML_RULES, _HEADER_RULES = (0, 1, 2, 3), (14, 15, 16)
+
 # Rules whose key starts with a free identifier: the literal tail of that key,
 # the same as a check behind the identifier run, and the run's last character.
 _IDENT_TAILS: dict[int, tuple[str, str, str]] = {
@@ -221,35 +137,40 @@ def _plain(pattern: str) -> str:
 
 
 def _linear_key(tail: str, tail_check: str, last_chars: str) -> str:
-    """Equivalent of ``IDENT + tail`` without backtracking over the identifier.
+    """Equivalent of ``(IDENT + tail)`` that reads every identifier once.
 
     The tail is always followed by a separator, so a match exists only where
     an identifier run *ends* with the tail, and it starts at the run's first
-    letter. Reading the run possessively and then looking back makes long
-    minified or encoded lines linear instead of quadratic. The cheap tests
-    come first.
+    letter. A run is entered at its first character only; leading digits,
+    which no identifier starts with, are group 1 and the key is group 2. Then
+    the run is read possessively and looked back at. The cheap tests come
+    first.
     """
-    # At a letter, and not inside a run: neither right after a letter nor
-    # after a letter and digits.
-    starts_run = _plain(
-        f"(?=[A-Za-z_{_FOLD_ALL}])(?<![A-Za-z_])(?>(?<![0-9])|(?<![A-Za-z_][0-9]{{1,32}}))"
-    )
+    word = f"A-Za-z0-9_{_FOLD_ALL}"
+    starts_run = _plain(f"(?=[{word}])(?<![{word}])([0-9]*+)(?=[A-Za-z_{_FOLD_ALL}])")
     not_bare_tail = rf"(?!{tail}\s*[=:])"
-    run = _plain(
-        f"[A-Za-z_{_FOLD_ALL}][A-Za-z0-9_{_FOLD_ALL}]*+(?<=[{last_chars}])"
-    )
+    run = _plain(f"[A-Za-z_{_FOLD_ALL}][{word}]*+(?<=[{last_chars}])")
     return rf"{starts_run}{not_bare_tail}({run}{tail_check})"
 
 
-def _first_chars(key: str, shape: str) -> str:
+def _tag_scan(pattern: str) -> str:
+    """Extraction form of a rule over ``<add ...`` tags.
+
+    Up to the next ``>`` all ``<add`` are alike: if one begins a match, the
+    first does. So what does not match is passed up to there as an empty
+    match. A quoted key without an end is given up at once.
+    """
+    body = pattern.replace("([^\"']*", "((?=[^\"']*+[\"'])[^\"']*", 1)
+    return f"{body}|<add[^>]*+"
+
+
+def _first_chars(chars: str) -> str:
     """Look-ahead for the characters a match can start with.
 
     It fails on most positions at the price of one table lookup.
     """
-    letters = {alternative[0].lower() for alternative in key.split("|")}
-    chars = "".join(c + c.upper() + _FOLDS.get(c, "") for c in sorted(letters))
-    quotes = "\"'" if shape == "Q" else ""
-    return _plain(f"(?=[{quotes}{chars}])")
+    wide = "".join(dict.fromkeys(c + c.upper() + _FOLDS.get(c, "") for c in chars))
+    return _plain(f"(?=[{wide}])")
 
 
 @dataclass(frozen=True)
@@ -270,29 +191,40 @@ class Rule:
     value_group: int = 2
     tier: int = 1
     spark_pattern: str = ""
+    # The same matches for extraction, maybe among empty ones; and what stands
+    # before the key in a match but is not part of it, as a replacement.
+    scan_pattern: str = ""
+    keep: str = ""
 
 
 def shipped_rules() -> list[Rule]:
     rules = []
-    for i, (secret_type, shape, key, value) in enumerate(SHIPPED):
-        pattern = SHAPES[shape].format(key=key, value=value)
-        body = pattern
+    for i, (secret_type, pattern) in enumerate(SHIPPED):
+        body, key_group = pattern.removeprefix("(?i)"), 1
+        scan = None
         if i in _IDENT_TAILS:
-            body = pattern.replace(f"({key})", _linear_key(*_IDENT_TAILS[i]), 1)
-        elif shape in "KQ":
-            body = _first_chars(key, shape) + pattern
+            key, rest = body[1:].split(r")\s*[=:]", 1)
+            body, key_group = _linear_key(*_IDENT_TAILS[i]) + r"\s*[=:]" + rest, 2
+        elif i in _STARTS:
+            body = _first_chars(_STARTS[i]) + body
+        elif i in _XML_RULES:
+            scan = _tag_scan(body)
+        # Unicode case folding and white space, as the rules are meant.
+        flags = "(?iU)"
         rules.append(
             Rule(
                 rule_id=i,
-                pattern="(?i)" + pattern,
+                pattern=pattern,
                 secret_type=secret_type,
-                description=f"{secret_type} assignment" if shape != "P" else f"{secret_type} header",
+                description=f"{secret_type} header" if i in _HEADER_RULES else f"{secret_type} assignment",
                 disabled=i in SHIPPED_DISABLED,
                 anchors=_ANCHORS[i],
-                value_group=1 if shape == "P" else 2,
+                key_group=key_group,
+                value_group=key_group if i in _HEADER_RULES else key_group + 1,
                 tier=0 if i in PROVIDER_RULES else 2 if i in GENERIC_RULES else 1,
-                # Unicode case folding and white space, as the rules are meant.
-                spark_pattern="(?iU)" + body,
+                spark_pattern=flags + body,
+                scan_pattern=flags + (scan or body),
+                keep="$1" if i in _IDENT_TAILS else "",
             )
         )
     return rules
@@ -322,9 +254,11 @@ def translate_pattern(pattern: str) -> str:
             raise ValueError(f"rule pattern uses a class set operation: {pattern!r}")
     body = pattern.replace("(?P<", "(?<")
     head = re.match(r"\(\?([a-z]+)\)", body)
-    if head:
-        return f"(?{head.group(1)}U){body[head.end():]}"
-    return "(?U)" + body
+    flags, body = (head.group(1), body[head.end() :]) if head else ("", body)
+    # Only a line feed ends a line, and "$" is the very end unless lines are asked for.
+    if "m" not in flags and not re.search(r"\(\?[a-z]*m", body):
+        body = re.sub(r"(\\.|\[\^?\]?(?:\\.|[^\]\\])*\])|\$", lambda m: m.group(1) or r"\z", body, flags=re.S)
+    return f"(?{flags}dU){body}"
 
 
 def make_rule(
@@ -347,13 +281,14 @@ def make_rule(
         key_group=min(1, groups),
         value_group=min(2, groups),
         spark_pattern=translate_pattern(pattern),
+        scan_pattern=translate_pattern(pattern),
     )
 
 
-def _from_records(records: Iterable[dict]) -> list[Rule]:
+def _from_records(records: Iterable[dict], max_rules: int = MAX_RULES) -> list[Rule]:
     records = list(records)
-    if len(records) > MAX_RULES:
-        raise ValueError(f"{len(records)} rules; a rule table may hold {MAX_RULES}")
+    if len(records) > max_rules:
+        raise ValueError(f"{len(records)} rules; a rule table may hold {max_rules}")
     by_pattern = {r.pattern: r for r in shipped_rules()}
     out = []
     for i, rec in enumerate(records):
@@ -389,14 +324,14 @@ def rules_from_json(text: str) -> list[Rule]:
     return _from_records(json.loads(text))
 
 
-def load_rules(spark: SparkSession, path: str) -> list[Rule]:
+def load_rules(spark: SparkSession, path: str, max_rules: int = MAX_RULES) -> list[Rule]:
     """Rules from a JSON rule file on any Hadoop path.
 
-    The file is configuration and is read to the driver, at most
-    ``MAX_RULES + 1`` rows of it.
+    The file is configuration and is read to the driver; one with more than
+    ``max_rules`` rules is refused, not cut.
     """
     table = spark.read.schema(schemas.RULE_FILE).option("multiLine", True).json(path)
-    return _from_records(r.asDict() for r in table.limit(MAX_RULES + 1).collect())
+    return _from_records((r.asDict() for r in table.limit(max_rules + 1).collect()), max_rules)
 
 
 def enabled(rules: Sequence[Rule] | None = None, include_disabled: bool = False) -> list[Rule]:

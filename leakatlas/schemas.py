@@ -32,6 +32,8 @@ RULE_FILE = T.StructType(
         T.StructField("secret_type", T.StringType()),
         T.StructField("description", T.StringType()),
         T.StructField("disabled", T.BooleanType()),
+        # Any of each inner list, lower case, is in every match.
+        T.StructField("anchors", T.ArrayType(T.ArrayType(T.StringType()))),
     ]
 )
 

@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 CONF = "spark.checkpoint.dir"
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder; on a
-    cluster the executors could not see it.
-    """
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    """The shared folder named by ``spark.checkpoint.dir``, if it is set; no setting is changed."""
     folder = spark.conf.get(CONF, None) or spark.sparkContext.getConf().get(CONF)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CONF} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="run-")
-    spark.conf.set(CONF, folder)
-    return folder
+    return folder.rstrip("/") if folder else None

@@ -90,6 +90,19 @@ def repo_tree(trees: DataFrame, body: str = "body", keys: Sequence[str] = ("repo
     return blob_only(entries.select(*keys, "e.type", "e.path", "e.sha")).drop("type")
 
 
+def repo_tree_quarantine(trees: DataFrame, body: str = "body", keys: Sequence[str] = ("repo_url",)) -> DataFrame:
+    """What :func:`repo_tree` leaves out: ``(keys, pos, detail)``.
+
+    A payload without a ``tree`` array (``pos`` NULL), or a blob entry without
+    path or sha. Entries of other types are no blobs and no errors.
+    """
+    tree = _parse(body, schemas.TREE)["tree"]
+    bad = trees.filter(tree.isNull()).select(*keys, F.lit(None).cast("int").alias("pos"), F.lit("missing tree").alias("detail"))
+    entries = trees.select(*keys, F.posexplode(tree).alias("pos", "e")).filter("e.type = 'blob'")
+    missing = F.when(F.col("e.path").isNull(), "missing path").when(F.col("e.sha").isNull(), "missing sha")
+    return bad.unionByName(entries.select(*keys, "pos", missing.alias("detail")).filter("detail IS NOT NULL"))
+
+
 def blob_only(entries: DataFrame) -> DataFrame:
     """Tree entries of type blob that carry both a path and a sha."""
     return entries.filter("type = 'blob' AND path IS NOT NULL AND sha IS NOT NULL")
@@ -180,6 +193,14 @@ def repo_metadata(
     )
 
 
+def repo_metadata_quarantine(infos: DataFrame, body: str = "body", keys: Sequence[str] = ("owner", "name")) -> DataFrame:
+    """Info payloads that :func:`repo_metadata` leaves out: ``(keys, detail)``."""
+    branch = _parse(body, schemas.REPO_INFO)["default_branch"]
+    whole = F.try_parse_json(F.col(body)).isNotNull()
+    detail = F.when(whole, "missing default_branch").otherwise("invalid payload")
+    return infos.filter(branch.isNull()).select(*keys, detail.alias("detail"))
+
+
 def default_branch(metadata: DataFrame, keys: Sequence[str] = ("owner", "name")) -> DataFrame:
     return metadata.select(*keys, "default_branch")
 
@@ -189,6 +210,11 @@ def repo_languages(payloads: DataFrame, body: str = "body", keys: Sequence[str]
     return payloads.select(*keys, F.explode(_parse(body, schemas.LANGUAGES)).alias("lang", "bytes"))
 
 
+def repo_languages_quarantine(payloads: DataFrame, body: str = "body", keys: Sequence[str] = ("repo_url",)) -> DataFrame:
+    """Payloads that are no map of numbers: ``(keys, detail)``. An empty map is not an error."""
+    return payloads.filter(_parse(body, schemas.LANGUAGES).isNull()).select(*keys, F.lit("invalid payload").alias("detail"))
+
+
 def raw_content(files: DataFrame, url: str = "url", text: str = "text", keys: Sequence[str] = ()) -> DataFrame:
     """Landed file bodies keyed by their cleaned URL: ``(keys, file_url, text)``."""
     return files.select(*keys, clean_url(url).alias("file_url"), F.col(text).alias("text"))

@@ -1,23 +1,9 @@
-"""Reading and spreading input tables."""
+"""Reading input tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Give a small input enough partitions to keep every core busy.
-
-    For plain scans. A file with a single row group is read by a single task. Inputs that
-    already fill the cluster, as any large table does, are returned as they
-    are, so that no text is shuffled. The hash of ``cols`` decides the target
-    partition, which makes a retried task reproduce its rows.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots, *cols)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

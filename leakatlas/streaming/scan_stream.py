@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.scan import file_hits
 from ..rules import Rule, enabled
 
 
+def _hits(files: DataFrame, rules, include_disabled: bool, keys: Sequence[str], text_col: str, options: dict) -> DataFrame:
+    hits = file_hits(text_col, enabled(rules, include_disabled), **options)
+    return files.select(*keys, hits.alias("_hits")).filter(F.size("_hits") > 0)
+
+
+def _findings(found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return found.select(*keys, F.posexplode("_hits").alias("hit_no", "h")).select(*keys, "hit_no", "h.*")
+
+
 def scan_stream(
     files: DataFrame,
     rules: Sequence[Rule] | None = None,
@@ -22,22 +32,79 @@ def scan_stream(
     include_disabled: bool = False,
     **scan_options,
 ) -> DataFrame:
-    """Findings of a stream of files; each content is reported once within the watermark.
+    """Findings of a stream of files; each version of a file is reported once within the watermark.
 
-    Duplicates are dropped per file, while its findings are still one array:
-    several findings share one sha. The scan itself is row-local and comes
-    first, so what is shuffled and kept as state are the files with findings,
-    without their text. Output as for ``scan_secrets``, keyed by the key
-    columns, sha and time.
+    A version is ``(key_cols, sha)``: equal content in another repository or
+    path is reported there too. The scan is row-local and comes first, so what
+    is shuffled and kept as state are the keys of files with findings, without
+    their text. Files older than the watermark do not pass the state; use
+    :func:`start_scan` to have them in an output of their own. Output as for
+    ``scan_secrets``, keyed by the key columns, sha and time.
     """
-    hits = file_hits(text_col, enabled(rules, include_disabled), **scan_options)
     keys = list(dict.fromkeys([*key_cols, sha_col, ts_col]))
-    fresh = (
-        files.withWatermark(ts_col, watermark)
-        .select(*keys, hits.alias("_hits"))
-        .filter(F.size("_hits") > 0)
-        .dropDuplicatesWithinWatermark([sha_col])
-    )
-    return fresh.select(*keys, F.posexplode("_hits").alias("hit_no", "h")).select(
-        *keys, "hit_no", "h.*"
-    )
+    found = _hits(files.withWatermark(ts_col, watermark), rules, include_disabled, keys, text_col, scan_options)
+    return _findings(found.dropDuplicatesWithinWatermark([*key_cols, sha_col]), keys)
+
+
+def start_scan(
+    files: DataFrame,
+    folder: str,
+    rules: Sequence[Rule] | None = None,
+    *,
+    sha_col: str = "sha",
+    ts_col: str = "ts",
+    watermark: str = "1 day",
+    key_cols: Sequence[str] = ("repo_url", "path"),
+    text_col: str = "text",
+    include_disabled: bool = False,
+    trigger: dict | None = None,
+    **scan_options,
+) -> StreamingQuery:
+    """Scan a stream into ``folder``/findings, and what comes too late into ``folder``/late.
+
+    The newest event time before each batch, less ``watermark``, divides them.
+    It is kept in ``folder``/newest, so a restarted query goes on from it.
+    Each batch writes under its own number and may be repeated. A version of a
+    file that a batch holds twice is reported once; over batches, versions
+    are dropped that an earlier batch within the watermark has reported.
+    """
+    keys = list(dict.fromkeys([*key_cols, sha_col, ts_col]))
+    version = [*key_cols, sha_col]
+
+    def batch(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        found = _hits(rows, rules, include_disabled, keys, text_col, scan_options).persist()
+        earlier = _before(spark, folder, number)
+        newest = earlier.agg(F.max("newest")).first()[0] if earlier is not None else None
+        limit = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {watermark}")
+        is_late = F.coalesce(F.col(ts_col) < limit, F.lit(False))
+        fresh = found.filter(~is_late).dropDuplicates(version)
+        if earlier is not None:
+            seen = _written(spark, folder, "findings", number, found.schema)
+            seen = seen.filter(F.coalesce(F.col(ts_col) >= limit, F.lit(True))).select(*version).distinct()
+            fresh = fresh.join(seen, version, "left_anti")
+        for part, name in ((fresh, "findings"), (found.filter(is_late), "late")):
+            part.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        rows.agg(F.max(ts_col).alias("newest")).write.mode("overwrite").parquet(f"{folder}/newest/batch={number}")
+        found.unpersist()
+
+    query = files.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/state")
+    return query.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _before(spark: SparkSession, folder: str, number: int) -> DataFrame | None:
+    """The event times of the batches before this one."""
+    if number == 0:
+        return None
+    return spark.read.parquet(f"{folder}/newest").filter(F.col("batch") < number)
+
+
+def _written(spark: SparkSession, folder: str, name: str, number: int, schema: T.StructType) -> DataFrame:
+    batched = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
+    return spark.read.schema(batched).parquet(f"{folder}/{name}").filter(F.col("batch") < number)
+
+
+def read_scan(spark: SparkSession, folder: str, name: str = "findings") -> DataFrame:
+    """What :func:`start_scan` wrote, as ``scan_stream`` gives it; ``name`` is ``findings`` or ``late``."""
+    found = spark.read.parquet(f"{folder}/{name}").drop("batch")
+    return _findings(found, [c for c in found.columns if c != "_hits"])

@@ -240,8 +240,17 @@ BASE_TABLES = {
 }
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Deal a test table, one file of one row group, over all cores.
+
+    Tables of many files are read as they lie: their text is not moved.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= slots else df.repartition(slots, *cols)
+
+
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived relation as a DataFrame, spread over the cores when small."""
+    """A derived relation as a DataFrame."""
     from leakatlas.sources.tables import read_table
 
     frames = {t: read_table(spark, sf_dir, t) for t in BASE_TABLES[name]}

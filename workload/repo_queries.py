@@ -7,12 +7,13 @@ from pyspark.sql import Window, functions as F
 from leakatlas.functions import domains, urls
 from leakatlas.functions.display import fmt_commit_date
 from leakatlas.operators import eligibility, health, paths, repos
-from leakatlas.plans.modes import list_mode
+from leakatlas.operators.ranking import running_totals
+from leakatlas.plans.modes import list_mode, search_front
 from leakatlas.sources import payloads
 from leakatlas.sources.sinks import to_json_lines
-from leakatlas.sources.tables import read_table, spread
+from leakatlas.sources.tables import read_table
 
-from .inputs import cte, relation
+from .inputs import cte, relation, spread
 from .registry import query
 from .scan_queries import KEEP_SQL, TREE_SQL, quote
 
@@ -25,7 +26,7 @@ PATH_SQL = (
     "CASE WHEN contains(c, '/blob/') AND contains(split_part(c, '/blob/', 2), '/') "
     "THEN regexp_replace(split_part(c, '/blob/', 2), '^[^/]*/', '') "
     "WHEN contains(c, 'raw.githubusercontent.com/') AND len(string_split(split_part(c, 'raw.githubusercontent.com/', 2), '/')) > 3 "
-    "THEN array_to_string(list_slice(string_split(split_part(c, 'raw.githubusercontent.com/', 2), '/'), 4, 1000), '/') "
+    "THEN array_to_string(list_slice(string_split(split_part(c, 'raw.githubusercontent.com/', 2), '/'), 4, len(string_split(split_part(c, 'raw.githubusercontent.com/', 2), '/'))), '/') "
     "ELSE split_part(c, '/', -1) END"
 )
 URL_CTES = (
@@ -351,12 +352,11 @@ def interesting_path(spark, sf_dir):
 @query(
     "skipped_files",
     cte("docs")
-    + f", {TREE_SQL} SELECT repo_url, count(*) AS n_files, count_if(NOT keep) AS n_skipped, "
-    "coalesce(string_agg(DISTINCT CASE WHEN NOT keep THEN ext END, ',' ORDER BY CASE WHEN NOT keep THEN ext END), '') AS extensions FROM tree GROUP BY repo_url",
+    + f", {TREE_SQL} SELECT repo_url, 'repository' AS section, count(*) AS n_files, count_if(NOT keep) AS n_skipped, NULL AS ext FROM tree GROUP BY repo_url "
+    "UNION ALL SELECT DISTINCT repo_url, 'extensions', NULL, NULL, ext FROM tree WHERE NOT keep",
 )
 def skipped_files(spark, sf_dir):
-    out = paths.skipped_files(relation(spark, sf_dir, "docs").select("repo_url", "path"))
-    return out.select("repo_url", "n_files", "n_skipped", F.array_join("extensions", ",").alias("extensions"))
+    return paths.skipped_files(relation(spark, sf_dir, "docs").select("repo_url", "path"))
 
 
 @query(
@@ -449,20 +449,17 @@ def _stop_sql(per_page: int, max_results: int, max_repos: int) -> str:
     _stop_sql(100, 1000, 10**9) + "SELECT totals.*, coalesce(page <= last, true) AS is_read FROM totals, stop",
 )
 def page_stop(spark, sf_dir):
-    return repos.page_stop(_hits(spark, sf_dir))
+    return repos.page_stop(_hits(spark, sf_dir), max_results=repos.SEARCH_RESULTS)
 
 
 @query(
     "limit_repos",
     cte("hits")
-    + f", {DEDUP_SQL} SELECT repo_url, page, pos, CAST(row_number() OVER (ORDER BY page, pos, repo_url) AS INTEGER) AS position FROM dedup "
+    + f", {DEDUP_SQL} SELECT repo_url, page, pos, CAST(row_number() OVER (ORDER BY page, pos, repo_url) - 1 AS BIGINT) AS position FROM dedup "
     "ORDER BY page, pos, repo_url LIMIT 20",
 )
 def limit_repos(spark, sf_dir):
-    top = repos.limit_repos(_hits(spark, sf_dir), 20)
-    # Positions of the 20 rows that are left.
-    at = F.row_number().over(Window.orderBy("page", "pos", "repo_url"))
-    return top.select("repo_url", "page", "pos", at.alias("position"))
+    return _emitted(repos.limit_repos(_hits(spark, sf_dir), 20)).select("repo_url", "page", "pos", F.col("at").alias("position"))
 
 
 @query(
@@ -472,17 +469,45 @@ def limit_repos(spark, sf_dir):
     "SELECT repo_url, page, pos FROM dedup",
 )
 def limit_repos_page(spark, sf_dir):
-    return repos.limit_repos(_hits(spark, sf_dir), 20, mode="page").select("repo_url", "page", "pos")
+    found = repos.limit_repos(_hits(spark, sf_dir), 20, mode="page", max_results=repos.SEARCH_RESULTS)
+    return found.select("repo_url", "page", "pos")
+
+
+# Two searches over the same pages, the second without the first repositories.
+SEARCHES_SQL = cte("hits") + ", searches AS (SELECT 'a' AS q, * FROM hits UNION ALL SELECT 'b', * FROM hits WHERE page_id % 3 <> 0)"
+
+
+@query(
+    "limit_repos_keys",
+    SEARCHES_SQL
+    + ", d AS (SELECT * FROM searches QUALIFY row_number() OVER (PARTITION BY q, repo_url ORDER BY page, pos DESC) = 1)"
+    + ", exact AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY q ORDER BY page, pos, repo_url) <= 7)"
+    + ", firsts AS (SELECT q, repo_url, min(page) AS page FROM searches GROUP BY ALL)"
+    + ", sizes AS (SELECT q, page, count(*) AS n FROM searches GROUP BY ALL)"
+    + ", totals AS (SELECT s.q, s.page, n, sum((SELECT count(*) FROM firsts f WHERE f.q = s.q AND f.page = s.page)) OVER (PARTITION BY s.q ORDER BY s.page) AS known FROM sizes s)"
+    + ", stop AS (SELECT q, min(page) AS last FROM totals WHERE n < 60 OR known >= 7 GROUP BY q)"
+    + " SELECT 'exact' AS mode, q, repo_url, page, pos FROM exact UNION ALL "
+    "SELECT 'page', d.q, repo_url, d.page, pos FROM d LEFT JOIN stop ON stop.q = d.q WHERE d.page <= coalesce(last, d.page)",
+)
+def limit_repos_keys(spark, sf_dir):
+    """Limits of several searches at once, in both modes."""
+    hits = _hits(spark, sf_dir)
+    both = hits.withColumn("q", F.lit("a")).unionByName(hits.filter("page_id % 3 <> 0").withColumn("q", F.lit("b")))
+    out = [
+        repos.limit_repos(both, 7, mode=mode, keys=["q"], per_page=60).select(F.lit(mode).alias("mode"), "q", "repo_url", "page", "pos")
+        for mode in ("exact", "page")
+    ]
+    return out[0].unionByName(out[1])
 
 
 @query(
     "repo_rollup",
     cte("hits")
-    + "SELECT repo_url, count(DISTINCT file_url) AS n_files, string_agg(DISTINCT file_url, ', ' ORDER BY file_url) AS files FROM hits GROUP BY repo_url",
+    + "SELECT repo_url, 'repository' AS section, count(DISTINCT file_url) AS n_files, NULL AS file FROM hits GROUP BY repo_url "
+    "UNION ALL SELECT DISTINCT repo_url, 'files', NULL, file_url FROM hits",
 )
 def repo_rollup(spark, sf_dir):
-    out = repos.repo_rollup(_hits(spark, sf_dir), path="file_url")
-    return out.select("repo_url", "n_files", F.array_join("files", ", ").alias("files"))
+    return repos.repo_rollup(_hits(spark, sf_dir), path="file_url")
 
 
 @query(
@@ -507,7 +532,7 @@ def _commits(spark, sf_dir):
 def agg_last_commit(spark, sf_dir):
     commits = _commits(spark, sf_dir)
     per_file = repos.last_commit_per_file(commits)
-    per_repo = repos.last_commit_per_repo(per_file.withColumnRenamed("last_commit_file", "committed_at"))
+    per_repo = repos.newest_per_repo(per_file)
     shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias("last_commit")
     return per_repo.select("repo_url", F.lit("").alias("path"), shown("last_commit_repo")).unionByName(
         per_file.select("repo_url", "path", shown("last_commit_file"))
@@ -525,12 +550,9 @@ DATED_SQL = (
 
 
 def _dated(spark, sf_dir):
-    commits = _commits(spark, sf_dir)
+    per_file = repos.last_commit_per_file(_commits(spark, sf_dir))
     return repos.join_commit_dates(
-        relation(spark, sf_dir, "commit_repos"),
-        repos.last_commit_per_repo(commits),
-        repos.last_commit_per_file(commits),
-        RUN_TS,
+        relation(spark, sf_dir, "commit_repos"), repos.newest_per_repo(per_file), per_file, RUN_TS
     )
 
 
@@ -551,29 +573,38 @@ def join_commit_dates(spark, sf_dir):
     )
 
 
+def _emitted(df):
+    """Rows with their place in the order in which ``df`` emits them."""
+    return df.withColumn("at", F.monotonically_increasing_id())
+
+
 @query(
     "sort_repos",
     DATED_SQL
-    + "SELECT c_custkey, repo_url, strftime(file_at, '%d/%m/%Y %H:%M:%S') || ' UTC' AS file_date FROM dated ORDER BY file_at DESC, repo_url",
+    + "SELECT DISTINCT repo_url, strftime(file_at, '%Y-%m-%d') AS file_date, CAST(dense_rank() OVER (ORDER BY file_at DESC, repo_url) AS BIGINT) AS position "
+    "FROM dated",
 )
 def sort_repos(spark, sf_dir):
-    return repos.sort_repos(_dated(spark, sf_dir)).select(
-        "c_custkey", "repo_url", fmt_commit_date("last_commit_file").alias("file_date")
-    )
+    """Places by the emitted order: rows are numbered as they come, then places counted."""
+    rows = _emitted(repos.sort_repos(_dated(spark, sf_dir)).select("repo_url", "last_commit_file"))
+    first = rows.groupBy("repo_url", "last_commit_file").agg(F.min("at").alias("at"))
+    # Numbers grow with the emitted order; the running count only ranks them.
+    ranked = running_totals(first.withColumn("one", F.lit(1)), [], "at", {"position": "one"}, block=1 << 33)
+    return ranked.select("repo_url", F.date_format("last_commit_file", "yyyy-MM-dd").alias("file_date"), "position")
 
 
 @query(
     "sort_repos_top",
     DATED_SQL
-    + "SELECT repo_url, strftime(repo_at, '%Y-%m-%d') AS repo_date, CAST(row_number() OVER (ORDER BY repo_at, repo_url) AS INTEGER) AS position "
+    + "SELECT repo_url, strftime(repo_at, '%Y-%m-%d') AS repo_date, CAST(row_number() OVER (ORDER BY repo_at, repo_url) - 1 AS BIGINT) AS position "
     "FROM (SELECT DISTINCT repo_url, repo_at FROM dated) ORDER BY repo_at, repo_url LIMIT 50",
 )
 def sort_repos_top(spark, sf_dir):
-    """The 50 repositories with the oldest last commit, with their positions."""
+    """The 50 repositories with the oldest last commit, with the places at which they are emitted."""
     distinct = _dated(spark, sf_dir).select("repo_url", "last_commit_repo").distinct()
     top = repos.sort_repos(distinct, commit_date="Repo", sort="ASC", limit=50)
-    at = F.row_number().over(Window.orderBy("last_commit_repo", "repo_url"))
-    return top.select("repo_url", F.date_format("last_commit_repo", "yyyy-MM-dd").alias("repo_date"), at.alias("position"))
+    # The limited rows are one partition, in order.
+    return _emitted(top).select("repo_url", F.date_format("last_commit_repo", "yyyy-MM-dd").alias("repo_date"), F.col("at").alias("position"))
 
 
 SHARE_SQL = (
@@ -657,9 +688,11 @@ LIST_SQL = (
     + f", h AS (SELECT *, {LIST_FACTS.format('VARCHAR')} AS day, regexp_replace(split_part(file_url, '?', 1), '.*/', '') AS fname FROM hits)"
     + ", facts AS (SELECT repo_url, min(repo_name) AS repo_name, min(owner_url) AS owner_url, max(day) AS day FROM h GROUP BY repo_url)"
     + f", kept AS (SELECT DISTINCT repo_url, fname, file_url FROM h WHERE {EXT_SQL.format('fname')} NOT IN ('.html'))"
-    + ", l AS (SELECT f.repo_url, repo_name, owner_url, day, count(file_url) AS n_files, "
-    "coalesce(string_agg(fname || '|' || file_url, ',' ORDER BY fname, file_url), '') AS files FROM facts f LEFT JOIN kept k ON k.repo_url = f.repo_url GROUP BY ALL) "
+    + ", heads AS (SELECT f.repo_url, 'repository' AS section, repo_name, owner_url, day, count(file_url) AS n_files FROM facts f LEFT JOIN kept k ON k.repo_url = f.repo_url GROUP BY ALL)"
+    + ", l AS (SELECT repo_url, section, repo_name, owner_url, day, n_files, NULL AS name, NULL AS url FROM heads "
+    "UNION ALL SELECT repo_url, 'files', NULL, NULL, day, NULL, fname, file_url FROM kept JOIN facts USING (repo_url)) "
 )
+LIST_COLS = ("repo_url", "section", "repo_name", "owner_url", "n_files", "name", "url")
 
 
 def _list(spark, sf_dir, **options):
@@ -670,45 +703,67 @@ def _list(spark, sf_dir, **options):
     )
 
 
-@query(
-    "list_mode",
-    LIST_SQL + "SELECT repo_url, repo_name, owner_url, day AS last_commit, n_files, files FROM l",
-)
+def _day(column):
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias("last_commit")
+
+
+@query("list_mode", LIST_SQL + f"SELECT {', '.join(LIST_COLS)}, day AS last_commit FROM l")
 def list_repositories(spark, sf_dir):
-    return _list(spark, sf_dir).select(
-        "repo_url",
-        "repo_name",
-        "owner_url",
-        F.date_format("last_commit_file", "yyyy-MM-dd HH:mm:ss").alias("last_commit"),
-        "n_files",
-        F.array_join(F.transform("files", lambda f: F.concat_ws("|", f["name"], f["url"])), ",").alias("files"),
-    )
+    return _list(spark, sf_dir).select(*LIST_COLS, _day("last_commit_file"))
 
 
 @query(
     "list_mode_limited",
-    LIST_SQL + "SELECT repo_url, day AS last_commit, n_files FROM l ORDER BY day, repo_url LIMIT 25",
+    LIST_SQL
+    + f"SELECT {', '.join(LIST_COLS)}, day AS last_commit FROM l WHERE repo_url IN (SELECT repo_url FROM facts ORDER BY day, repo_url LIMIT 25)",
 )
 def list_repositories_limited(spark, sf_dir):
-    return _list(spark, sf_dir, sort="asc", commit_date="repo", max_repos=25).select(
-        "repo_url", F.date_format("last_commit_repo", "yyyy-MM-dd HH:mm:ss").alias("last_commit"), "n_files"
-    )
+    return _list(spark, sf_dir, sort="asc", commit_date="repo", max_repos=25).select(*LIST_COLS, _day("last_commit_repo"))
 
 
 @query(
     "sink_list_json",
-    LIST_SQL
-    + "SELECT repo_url, repo_name, CAST(n_files AS VARCHAR) AS n_files, "
-    "CASE WHEN n_files > 0 THEN split_part(split_part(files, ',', 1), '|', 1) END AS first_file FROM l",
+    LIST_SQL + "SELECT repo_url, section, repo_name, CAST(n_files AS VARCHAR) AS n_files, name AS file FROM l",
 )
 def sink_list_json(spark, sf_dir):
     """Fields read back from the JSON lines of the list."""
     lines = to_json_lines(_list(spark, sf_dir))
     return lines.select(
         F.get_json_object("json", "$.repo_url").alias("repo_url"),
+        F.get_json_object("json", "$.section").alias("section"),
         F.get_json_object("json", "$.repo_name").alias("repo_name"),
         F.get_json_object("json", "$.n_files").alias("n_files"),
-        F.get_json_object("json", "$.files[0].name").alias("first_file"),
+        F.get_json_object("json", "$.name").alias("file"),
+    )
+
+
+# Search hits of commit repositories, with metadata under owner "c".
+FRONT_HITS = (
+    "SELECT repo_url, path, CAST(c_custkey // 100 + 1 AS INT) AS page, CAST(c_custkey % 100 AS INT) AS pos FROM commit_repos"
+)
+
+
+@query(
+    "search_front",
+    DATED_SQL
+    + f", fh AS ({FRONT_HITS}), first AS (SELECT * FROM fh QUALIFY row_number() OVER (PARTITION BY repo_url ORDER BY page, pos DESC) = 1)"
+    + ", top AS (SELECT * FROM first ORDER BY page, pos, repo_url LIMIT 200)"
+    + f" SELECT top.repo_url, top.path, 'c' AS owner, split_part(top.repo_url, '/', -1) AS name, strftime(coalesce(rd.t, TIMESTAMP '{RUN_TS}'), '%Y-%m-%d') AS repo_date, "
+    f"strftime(coalesce(fd.t, TIMESTAMP '{RUN_TS}'), '%Y-%m-%d') AS file_date, CASE WHEN p_partkey % 20 <> 0 THEN 'main' END AS default_branch, "
+    "rd.t IS NULL OR fd.t IS NULL AS date_missing FROM top LEFT JOIN rd USING (repo_url) LEFT JOIN fd ON fd.repo_url = top.repo_url AND fd.path = top.path "
+    "LEFT JOIN part ON CAST(p_partkey AS VARCHAR) = split_part(top.repo_url, '/', -1)",
+)
+def search_front_query(spark, sf_dir):
+    """What every mode reads: deduplicated and limited hits with dates and metadata."""
+    hits = relation(spark, sf_dir, "commit_repos").select(
+        "repo_url", "path", F.expr("int(c_custkey div 100 + 1)").alias("page"), F.expr("int(c_custkey % 100)").alias("pos")
+    )
+    per_file = repos.last_commit_per_file(_commits(spark, sf_dir))
+    metadata = _parts_metadata(spark, sf_dir).select(F.lit("c").alias("owner"), F.col("p_partkey").cast("string").alias("name"), "default_branch")
+    front = search_front(hits, repos.newest_per_repo(per_file), per_file, metadata, RUN_TS, max_repos=200)
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return front.select(
+        "repo_url", "path", "owner", "name", shown("last_commit_repo").alias("repo_date"), shown("last_commit_file").alias("file_date"), "default_branch", "date_missing"
     )
 
 
@@ -773,6 +828,23 @@ def src_repo_tree(spark, sf_dir):
     return payloads.repo_tree(trees)
 
 
+@query(
+    "src_repo_tree_quarantine",
+    "SELECT doc_id, CAST(CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 1 END AS INTEGER) AS pos, "
+    "CASE WHEN doc_id % 5 = 0 THEN 'missing tree' WHEN doc_id % 5 = 1 THEN 'missing path' ELSE 'missing sha' END AS detail FROM documents WHERE doc_id % 5 < 3",
+)
+def src_repo_tree_quarantine(spark, sf_dir):
+    """Trees of two entries, some without a tree, a path or a sha."""
+    kind = F.col("doc_id") % 5
+    second = F.struct(
+        F.lit("blob").alias("type"), F.when(kind != 1, F.col("source")).alias("path"), F.when(kind != 2, F.col("lang")).alias("sha")
+    )
+    first = F.struct(F.lit("tree").alias("type"), F.lit(None).cast("string").alias("path"), F.lit("x").alias("sha"))
+    body = F.when(kind == 0, '{"message": "Not Found"}').otherwise(F.to_json(F.struct(F.array(first, second).alias("tree"))))
+    trees = read_table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
+    return payloads.repo_tree_quarantine(trees, keys=["doc_id"])
+
+
 BLOB_KIND = "CASE WHEN doc_id % 97 = 1 THEN 'junk' WHEN doc_id % 101 = 1 THEN 'bytes' WHEN doc_id % 103 = 1 THEN 'gone' WHEN doc_id % 3 = 0 THEN 'plain' ELSE 'b64' END"
 
 
@@ -825,9 +897,8 @@ def src_commit_date(spark, sf_dir):
     return dates.select("o_orderkey", "outcome", F.date_format("committed_at", "yyyy-MM-dd HH:mm:ss").alias("committed_at"))
 
 
-def _parts_metadata(spark, sf_dir):
-    part = read_table(spark, sf_dir, "part")
-    infos = part.select(
+def _parts_infos(spark, sf_dir):
+    return read_table(spark, sf_dir, "part").select(
         "p_partkey",
         F.to_json(
             F.struct(
@@ -837,6 +908,10 @@ def _parts_metadata(spark, sf_dir):
             )
         ).alias("body"),
     )
+
+
+def _parts_metadata(spark, sf_dir):
+    part, infos = read_table(spark, sf_dir, "part"), _parts_infos(spark, sf_dir)
     names = F.concat(F.lit('{"names": ["'), F.lower("p_type"), F.lit('", 5, null, "'), F.col("p_brand"), F.lit('"]}'))
     topics = part.filter("p_partkey % 7 <> 0").select(
         "p_partkey", F.when(F.col("p_partkey") % 30 == 1, "{bad").otherwise(names).alias("body")
@@ -855,6 +930,26 @@ def src_repo_metadata(spark, sf_dir):
     return _parts_metadata(spark, sf_dir).withColumn("topics", F.array_join("topics", ","))
 
 
+@query(
+    "src_repo_metadata_quarantine",
+    "SELECT p_partkey, CASE WHEN p_partkey % 60 = 0 THEN 'invalid payload' ELSE 'missing default_branch' END AS detail FROM part WHERE p_partkey % 20 = 0",
+)
+def src_repo_metadata_quarantine(spark, sf_dir):
+    infos = _parts_infos(spark, sf_dir).withColumn("body", F.when(F.col("p_partkey") % 60 == 0, "{bad").otherwise(F.col("body")))
+    return payloads.repo_metadata_quarantine(infos, keys=["p_partkey"])
+
+
+@query(
+    "src_repo_languages_quarantine",
+    "SELECT doc_id, 'invalid payload' AS detail FROM documents WHERE doc_id % 4 < 2",
+)
+def src_repo_languages_quarantine(spark, sf_dir):
+    kind = F.col("doc_id") % 4
+    body = F.when(kind == 0, "not json").when(kind == 1, '{"C": "many"}').when(kind == 2, "{}").otherwise('{"C": 5}')
+    maps = read_table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
+    return payloads.repo_languages_quarantine(maps, keys=["doc_id"])
+
+
 @query("src_default_branch", "SELECT p_partkey, 'main' AS default_branch FROM part WHERE p_partkey % 20 <> 0")
 def src_default_branch(spark, sf_dir):
     return payloads.default_branch(_parts_metadata(spark, sf_dir), keys=["p_partkey"])

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import functions as F
 
 from leakatlas.functions.display import finding_label, fmt_commit_date
 from leakatlas.operators import repos, scan, summaries
 from leakatlas.plans.modes import single_file_mode, whole_repo_mode
-from leakatlas.rules import rules_table, shipped_rules
+from leakatlas.rules import load_rules, rules_table, shipped_rules
 from leakatlas.sources.sinks import to_json_lines
-from leakatlas.sources.tables import spread
+from leakatlas.sources.tables import read_table
 
-from .inputs import cte, relation
+from .inputs import cte, relation, spread
 from .registry import query
 
 ENV_SQL = scan.ENV_REFERENCE_PATTERN
@@ -24,7 +27,7 @@ def quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def hits_ctes(source: str, include_disabled: bool, resolve: str = "first") -> str:
+def hits_ctes(source: str, include_disabled: bool, resolve: str = "first", env_by: str = "value") -> str:
     """CTEs ``raw_hits`` and ``findings`` over a relation with repo_url, path, text."""
     rules = [r for r in shipped_rules() if include_disabled or not r.disabled]
     branches = []
@@ -34,7 +37,7 @@ def hits_ctes(source: str, include_disabled: bool, resolve: str = "first") -> st
         branches.append(
             f"SELECT repo_url, path, line_no, line, {r.rule_id} AS rule_id, {quote(r.secret_type)} AS secret_type, "
             f"{tier} AS prio, unnest(regexp_extract_all(line, {p}, 1)) AS key_name, "
-            f"unnest(regexp_extract_all(line, {p}, {r.value_group})) AS v FROM numbered WHERE regexp_matches(line, {p})"
+            f"unnest(regexp_extract_all(line, {p}, {1 if r.value_group == r.key_group else 2})) AS v FROM numbered WHERE regexp_matches(line, {p})"
         )
     covered = (
         "SELECT 1 FROM raw_hits y WHERE y.repo_url = x.repo_url AND y.path = x.path AND y.line_no = x.line_no "
@@ -50,7 +53,7 @@ def hits_ctes(source: str, include_disabled: bool, resolve: str = "first") -> st
     {' UNION ALL '.join(branches)}))
 , findings AS MATERIALIZED (SELECT repo_url, path, line_no, rule_id, secret_type, key_name,
     sha256(value) AS value_sha256, CAST(length(value) AS INTEGER) AS value_len,
-    regexp_matches(line, {quote(ENV_SQL)}) AS is_env_reference, value FROM raw_hits x{keep})
+    regexp_matches({env_by}, {quote(ENV_SQL)}) AS is_env_reference, value FROM raw_hits x{keep})
 """
 
 
@@ -111,6 +114,35 @@ def env_reference(spark, sf_dir):
     return found.select("repo_url", "path", "line_no", "key_name", "secret_type")
 
 
+@query(
+    "env_reference_lines",
+    cte("configs")
+    + hits_ctes("configs", False, env_by="line")
+    + "SELECT repo_url, path, line_no, key_name, secret_type, is_env_reference FROM findings",
+)
+def env_reference_lines(spark, sf_dir):
+    """The reading in which a line that reads the environment holds no secret."""
+    found = scan.scan_secrets(configs(spark, sf_dir), env_by="line")
+    return found.select("repo_url", "path", "line_no", "key_name", "secret_type", "is_env_reference")
+
+
+# A line with a read of the environment and a secret beside it, from documents.
+BOTH_KINDS = "concat('url=${{HOST}} db_password=', substr({0}, 1, 12), ' other_password = os.getenv(', doc_id, 'ABCD)')"
+
+
+@query(
+    "env_reference_mixed",
+    f"WITH mixed AS (SELECT source AS repo_url, CAST(doc_id AS VARCHAR) AS path, {BOTH_KINDS.format('sha256(text)')} AS text FROM documents)"
+    + hits_ctes("mixed", False)
+    + "SELECT repo_url, path, line_no, key_name, value_sha256, is_env_reference FROM findings",
+)
+def env_reference_mixed(spark, sf_dir):
+    files = read_table(spark, sf_dir, "documents").select(
+        F.col("source").alias("repo_url"), F.col("doc_id").cast("string").alias("path"), F.expr(BOTH_KINDS.format("sha2(text, 256)")).alias("text")
+    )
+    return scan.scan_secrets(files).select("repo_url", "path", "line_no", "key_name", "value_sha256", "is_env_reference")
+
+
 @query(
     "finding_label",
     CONFIG_FINDINGS
@@ -139,28 +171,35 @@ def count_matches_configs(spark, sf_dir):
     return scan.count_matches(configs(spark, sf_dir), include_disabled=True)
 
 
+OWN_RULES = os.path.join(os.path.dirname(__file__), "own_rules.json")
+
+
 def _rule_values() -> str:
-    return ", ".join(
-        f"({r.rule_id}, {quote(r.pattern)}, {quote(r.secret_type)}, {str(r.disabled).lower()})"
-        for r in shipped_rules()
-    )
+    shipped = [(r.rule_id, r.pattern, r.secret_type, r.disabled) for r in shipped_rules()]
+    with open(OWN_RULES, encoding="utf-8") as f:
+        own = [(1000 + i, r["pattern"], r["secret_type"], bool(r.get("disabled"))) for i, r in enumerate(json.load(f))]
+    return ", ".join(f"({i}, {quote(p)}, {quote(t)}, {str(d).lower()})" for i, p, t, d in shipped + own)
 
 
 @query(
     "src_rules",
     CONFIG_ALL
-    + f", r(rule_id, pattern, secret_type, disabled) AS (VALUES {_rule_values()}) "
-    "SELECT r.rule_id, r.pattern, r.secret_type, r.disabled, count(f.rule_id) AS n_hits "
-    "FROM r LEFT JOIN findings f ON f.rule_id = r.rule_id GROUP BY ALL",
+    + f", r(rule_id, pattern, secret_type, disabled) AS (VALUES {_rule_values()})"
+    + ", doc_lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)"
+    + ", own AS (SELECT r.rule_id, CAST(sum(len(regexp_extract_all(line, pattern))) AS BIGINT) AS n FROM doc_lines, r WHERE r.rule_id >= 1000 AND regexp_matches(line, pattern) GROUP BY r.rule_id)"
+    + ", hits AS (SELECT rule_id, count(*) AS n FROM findings GROUP BY rule_id UNION ALL FROM own)"
+    + " SELECT r.rule_id, r.pattern, r.secret_type, r.disabled, coalesce(n, 0) AS n_hits FROM r LEFT JOIN hits USING (rule_id)",
 )
 def src_rules(spark, sf_dir):
-    """The rule table with the number of hits of each rule."""
+    """Both rule tables, the shipped one and one read from a rule file, with the number of hits of each rule."""
     found = scan.scan_secrets(configs(spark, sf_dir), include_disabled=True, resolve="all")
-    counts = found.groupBy("rule_id").agg(F.count("*").alias("n"))
-    return (
-        rules_table(spark)
-        .join(counts, "rule_id", "left")
-        .select("rule_id", "pattern", "secret_type", "disabled", F.coalesce("n", F.lit(0)).alias("n_hits"))
+    own = load_rules(spark, "file://" + OWN_RULES)
+    in_docs = scan.scan_secrets(docs(spark, sf_dir), own, include_disabled=True, resolve="all")
+    hits = found.select("rule_id").union(in_docs.select(F.col("rule_id") + 1000))
+    counts = hits.groupBy("rule_id").agg(F.count("*").alias("n"))
+    rules = rules_table(spark).union(rules_table(spark, own).withColumn("rule_id", F.col("rule_id") + 1000))
+    return rules.join(counts, "rule_id", "left").select(
+        "rule_id", "pattern", "secret_type", "disabled", F.coalesce("n", F.lit(0)).alias("n_hits")
     )
 
 
@@ -268,86 +307,89 @@ def _config_languages(files):
     return files.select("repo_url", F.substring("path", 6, 1).alias("lang"), (F.col("k") % 100 + 1).alias("bytes"))
 
 
-SINGLE_CTES = (
-    cte("configs")
-    + ", matched AS (SELECT * FROM configs WHERE contains(lower(text), 'c.example.com'))"
-    + hits_ctes("matched", False)
-    + f", facts AS ({CONFIG_REPOS_SQL})"
-    + ", langs AS (SELECT repo_url, string_agg(lang || ':' || CAST(pct AS VARCHAR), ',' ORDER BY pct DESC, lang) AS languages FROM "
-    "(SELECT repo_url, lang, round(b * 100 / sum(b) OVER (PARTITION BY repo_url), 2) AS pct FROM "
-    "(SELECT repo_url, substr(path, 6, 1) AS lang, CAST(sum(k % 100 + 1) AS DOUBLE) AS b FROM configs GROUP BY ALL)) GROUP BY repo_url)"
-    + ", fl AS (SELECT repo_url, count(*) AS n_files, string_agg(path, ',' ORDER BY path) AS files FROM matched GROUP BY repo_url)"
-    + ", fi AS (SELECT repo_url, count_if(NOT is_env_reference) AS n_secrets, count_if(is_env_reference) AS n_env_refs, "
-    "string_agg(CASE WHEN NOT is_env_reference THEN concat(path, ':', line_no, ':', rule_id, ':', key_name) END, ',' "
-    "ORDER BY path, line_no, key_name, secret_type, rule_id, value_sha256) AS findings FROM findings GROUP BY repo_url)"
-    + ", report AS (SELECT fl.repo_url, strftime(last_day, '%d/%m/%Y') || ' 00:00:00 UTC' AS last_commit_repo, "
-    "strftime(first_day, '%d/%m/%Y') || ' 00:00:00 UTC' AS last_commit_file, n_files, files, "
-    "coalesce(n_secrets, 0) AS n_secrets, coalesce(n_env_refs, 0) AS n_env_refs, coalesce(fi.findings, '') AS findings, languages "
-    "FROM fl JOIN facts USING (repo_url) LEFT JOIN fi USING (repo_url) LEFT JOIN langs USING (repo_url)) "
-)
+REPORT_COLS = ("repo_url", "section", "n_files", "n_secrets", "n_env_refs", "status", "path", "line_no", "key_name", "secret_type", "rule_id", "value_sha256", "value_len")
+STATUS_SQL = STATUS.removesuffix(" AS status")
 
 
-def _flat_findings(col: str):
-    return F.array_join(
-        F.transform(col, lambda f: F.concat_ws(":", f["path"], f["line_no"], f["rule_id"], f["key_name"])), ","
+def report_sql(header: str, files: str, extra: str = "", quiet: bool = False) -> str:
+    """Header and item rows; ``header`` has repo_url and the wanted facts, ``files`` repo_url and path."""
+    return (
+        f", counts AS (SELECT repo_url, count(*) AS n_files FROM {files} GROUP BY repo_url)"
+        + ", sums AS (SELECT repo_url, count_if(NOT is_env_reference) AS s, count_if(is_env_reference) AS e FROM findings GROUP BY repo_url)"
+        + f", heads AS (SELECT h.repo_url, coalesce(n_files, 0) AS n_files, coalesce(s, 0) AS n_secrets, coalesce(e, 0) AS n_env_refs "
+        f"FROM {header} h LEFT JOIN counts USING (repo_url) LEFT JOIN sums USING (repo_url){' WHERE coalesce(s, 0) > 0' if quiet else ''})"
+        + ", report AS (SELECT repo_url, 'repository' AS section, n_files, n_secrets, n_env_refs, "
+        + STATUS_SQL
+        + " AS status, NULL AS path, NULL AS line_no, NULL AS key_name, NULL AS secret_type, NULL AS rule_id, NULL AS value_sha256, NULL AS value_len, "
+        "NULL AS label, CAST(NULL AS DOUBLE) AS amount FROM heads "
+        f"UNION ALL SELECT repo_url, 'files', NULL, NULL, NULL, NULL, path, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM {files} SEMI JOIN heads USING (repo_url) "
+        "UNION ALL SELECT repo_url, CASE WHEN is_env_reference THEN 'env_refs' ELSE 'findings' END, NULL, NULL, NULL, NULL, path, line_no, key_name, secret_type, rule_id, "
+        f"value_sha256, value_len, NULL, NULL FROM findings SEMI JOIN heads USING (repo_url) {extra}) "
     )
 
 
-def _flat_report(report, *more):
-    return report.select(
-        "repo_url",
-        fmt_commit_date("last_commit_repo").alias("last_commit_repo"),
-        fmt_commit_date("last_commit_file").alias("last_commit_file"),
-        "n_files",
-        F.array_join("files", ",").alias("files"),
-        "n_secrets",
-        "n_env_refs",
-        _flat_findings("findings").alias("findings"),
-        *more,
+LANGS_SQL = (
+    ", langs AS (SELECT repo_url, lang, round(b * 100 / sum(b) OVER (PARTITION BY repo_url), 2) AS pct FROM "
+    "(SELECT repo_url, substr(path, 6, 1) AS lang, CAST(sum(k % 100 + 1) AS DOUBLE) AS b FROM configs GROUP BY ALL))"
+)
+LANG_ITEMS = "UNION ALL SELECT repo_url, 'languages', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, lang, pct FROM langs SEMI JOIN heads USING (repo_url)"
+
+
+def single_sql(quiet: bool = False, limit: int | None = None) -> str:
+    top = f" ORDER BY first_day DESC, repo_url LIMIT {limit}" if limit else ""
+    return (
+        cte("configs")
+        + f", facts AS (SELECT * FROM ({CONFIG_REPOS_SQL}){top})"
+        + ", matched AS (SELECT configs.* FROM configs SEMI JOIN facts USING (repo_url) WHERE contains(lower(text), 'c.example.com'))"
+        + hits_ctes("matched", False)
+        + LANGS_SQL
+        + ", found AS (SELECT * FROM facts SEMI JOIN matched USING (repo_url))"
+        + report_sql("found", "matched", LANG_ITEMS, quiet)
     )
 
 
 def _single_report(spark, sf_dir, **options):
     files = configs(spark, sf_dir)
-    return single_file_mode(
+    report = single_file_mode(
         files.select("repo_url", "path", "text"), _config_repos(files), "c.example.com", languages=_config_languages(files), **options
     )
+    return report.withColumns({"label": F.col("lang"), "amount": F.col("pct")})
 
 
-def _language_list():
-    return F.array_join(
-        F.transform("languages", lambda x: F.concat_ws(":", x["lang"], x["pct"].cast("string"))), ","
-    ).alias("languages")
+SHOWN = f"SELECT {', '.join(REPORT_COLS)}, label, amount FROM report"
 
 
-@query("scan_single_file_mode", SINGLE_CTES + f"SELECT *, {STATUS} FROM report WHERE n_secrets > 0")
+@query("scan_single_file_mode", single_sql(quiet=True) + SHOWN)
 def scan_single_file_mode(spark, sf_dir):
-    report = _single_report(spark, sf_dir, quiet=True)
-    return _flat_report(report, "status", _language_list())
+    return _single_report(spark, sf_dir, quiet=True).select(*REPORT_COLS, "label", "amount")
 
 
-@query("repo_report", SINGLE_CTES + f"SELECT *, {STATUS} FROM report")
+@query("scan_single_file_limited", single_sql(limit=7) + SHOWN)
+def scan_single_file_limited(spark, sf_dir):
+    """Only the seven repositories that the report would show first."""
+    return _single_report(spark, sf_dir, max_repos=7).select(*REPORT_COLS, "label", "amount")
+
+
+@query(
+    "repo_report",
+    single_sql()
+    + f"SELECT {', '.join('r.' + c for c in REPORT_COLS)}, label, amount, strftime(last_day, '%d/%m/%Y') || ' 00:00:00 UTC' AS last_commit FROM report r JOIN facts USING (repo_url)",
+)
 def repo_report(spark, sf_dir):
     report = _single_report(spark, sf_dir, commit_date="repo", sort="asc")
-    return _flat_report(report, "status", _language_list())
+    return report.select(*REPORT_COLS, "label", "amount", fmt_commit_date("last_commit_repo").alias("last_commit"))
 
 
 @query(
     "sink_report",
-    SINGLE_CTES
-    + f"SELECT repo_url, CAST(n_files AS VARCHAR) AS n_files, CAST(n_secrets AS VARCHAR) AS n_secrets, {STATUS}, "
-    "split_part(files, ',', 1) AS first_file FROM report",
+    single_sql()
+    + "SELECT repo_url, section, CAST(n_files AS VARCHAR) AS n_files, CAST(n_secrets AS VARCHAR) AS n_secrets, status, path, key_name FROM report",
 )
 def sink_report(spark, sf_dir):
     """Fields read back from the JSON lines of the report."""
     lines = to_json_lines(_single_report(spark, sf_dir))
-    return lines.select(
-        F.get_json_object("json", "$.repo_url").alias("repo_url"),
-        F.get_json_object("json", "$.n_files").alias("n_files"),
-        F.get_json_object("json", "$.n_secrets").alias("n_secrets"),
-        F.get_json_object("json", "$.status").alias("status"),
-        F.get_json_object("json", "$.files[0]").alias("first_file"),
-    )
+    names = ("repo_url", "section", "n_files", "n_secrets", "status", "path", "key_name")
+    return lines.select(*[F.get_json_object("json", f"$.{c}").alias(c) for c in names])
 
 
 # Whole-repository mode: documents are the trees and blobs, parts the metadata.
@@ -366,24 +408,24 @@ TREE_SQL = (
 )
 
 
-@query(
-    "scan_whole_repo_mode",
-    cte("docs")
-    + f", facts AS ({WHOLE_REPOS_SQL}), {TREE_SQL}"
-    + ", eligible AS (SELECT repo_url, last_id FROM facts WHERE last_id % 5 <> 0)"
-    + ", kept AS (SELECT tree.* FROM tree JOIN eligible USING (repo_url) WHERE keep "
-    "QUALIFY row_number() OVER (PARTITION BY repo_url ORDER BY path) <= 40)"
-    + hits_ctes("kept", True)
-    + ", skipped AS (SELECT repo_url, string_agg(ext || '=' || CAST(n AS VARCHAR), ',' ORDER BY ext) AS skipped FROM "
-    "(SELECT repo_url, ext, count(*) AS n FROM tree WHERE NOT keep GROUP BY ALL) GROUP BY repo_url)"
-    + ", fl AS (SELECT repo_url, count(*) AS n_files FROM kept GROUP BY repo_url)"
-    + ", fi AS (SELECT repo_url, count(*) AS n_secrets, string_agg(concat(path, ':', line_no, ':', rule_id, ':', key_name), ',' "
-    "ORDER BY path, line_no, key_name, secret_type, rule_id, value_sha256) AS findings FROM findings GROUP BY repo_url) "
-    + "SELECT e.repo_url, coalesce(n_files, 0) AS n_files, coalesce(n_secrets, 0) AS n_secrets, coalesce(fi.findings, '') AS findings, "
-    f"coalesce(skipped, '') AS skipped, {STATUS} FROM eligible e LEFT JOIN fl USING (repo_url) LEFT JOIN fi USING (repo_url) "
-    "LEFT JOIN skipped USING (repo_url)",
+SKIP_ITEMS = (
+    "UNION ALL SELECT repo_url, 'skipped_exts', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, ext, CAST(count(*) AS DOUBLE) "
+    "FROM tree SEMI JOIN heads USING (repo_url) WHERE NOT keep GROUP BY repo_url, ext"
 )
-def scan_whole_repo_mode(spark, sf_dir):
+
+
+def whole_sql(kept: str = "keep") -> str:
+    return (
+        cte("docs")
+        + f", facts AS ({WHOLE_REPOS_SQL}), {TREE_SQL}"
+        + ", eligible AS (SELECT repo_url, last_id FROM facts WHERE last_id % 5 <> 0)"
+        + f", kept AS (SELECT tree.* FROM tree SEMI JOIN eligible USING (repo_url) WHERE {kept})"
+        + hits_ctes("kept", True)
+        + report_sql("eligible", "kept", SKIP_ITEMS)
+    )
+
+
+def _whole_report(spark, sf_dir, **options):
     files = relation(spark, sf_dir, "docs")
     facts = repos.with_owner_name(
         files.groupBy("repo_url").agg(F.max("doc_id").alias("last_id"))
@@ -399,19 +441,18 @@ def scan_whole_repo_mode(spark, sf_dir):
     )
     blobs = spread(files.select("sha", F.col("text").alias("content")), "sha")
     report = whole_repo_mode(
-        facts,
-        files.select("repo_url", "path", "sha"),
-        blobs,
-        "acme.com",
-        include_disabled=True,
-        max_files=40,
-        commit_date="repo",
-    )
-    return report.select(
-        "repo_url",
-        "n_files",
-        "n_secrets",
-        _flat_findings("findings").alias("findings"),
-        F.array_join(F.transform("skipped_exts", lambda x: F.concat_ws("=", x["ext"], x["n_files"].cast("string"))), ",").alias("skipped"),
-        "status",
+        facts, files.select("repo_url", "path", "sha"), blobs, "acme.com", include_disabled=True, commit_date="repo", **options
     )
+    return report.withColumns({"label": F.col("ext"), "amount": F.col("n_of_ext").cast("double")})
+
+
+@query("scan_whole_repo_mode", whole_sql() + SHOWN)
+def scan_whole_repo_mode(spark, sf_dir):
+    return _whole_report(spark, sf_dir).select(*REPORT_COLS, "label", "amount")
+
+
+@query("scan_whole_repo_ext", whole_sql("keep AND ext IN ('.env', '.yaml')") + SHOWN)
+def scan_whole_repo_ext(spark, sf_dir):
+    """Only files of two extensions, and only blobs that they name."""
+    report = _whole_report(spark, sf_dir, include_ext=["env", ".YAML"], prune_blobs=True)
+    return report.select(*REPORT_COLS, "label", "amount")

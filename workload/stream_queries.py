@@ -1,26 +1,45 @@
-"""Streaming query; it has no SQL counterpart."""
+"""The scan on a stream."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from leakatlas.sources.checkpoints import checkpoint_folder
-from leakatlas.streaming.scan_stream import scan_stream as scan_files
+from leakatlas.streaming.scan_stream import read_scan, start_scan
 
 from .registry import query
+from .scan_queries import hits_ctes
 
+COLUMNS = ("repo_url", "path", "sha", "line_no", "rule_id", "secret_type", "key_name", "value_sha256", "value_len")
+STREAM_SQL = (
+    "WITH arriving AS (SELECT source AS repo_url, CAST(doc_id AS VARCHAR) AS path, any_value(text) AS text FROM documents GROUP BY source, doc_id, text)"
+    + hits_ctes("arriving", True)
+    + "SELECT f.repo_url, f.path, sha256(a.text) AS sha, line_no, rule_id, secret_type, key_name, value_sha256, value_len "
+    "FROM findings f JOIN arriving a USING (repo_url, path)"
+)
 
-@query("scan_stream")
+
+def stream_folder(spark) -> str:
+    """A new folder of the shared one; only a session without that setting, on one machine, gets a temporary one."""
+    root = checkpoint_folder(spark)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="run-stream-")
+    return f"{root}/scan_stream-{uuid.uuid4().hex}"
+
+
+@query("scan_stream", STREAM_SQL)
 def scan_stream(spark, sf_dir):
-    """Documents read as a stream, content seen before dropped, findings appended to a table."""
-    folder = f"{checkpoint_folder(spark)}/scan_stream-{uuid.uuid4().hex}"
+    """Documents read as a stream, findings appended to a table, each version of a file once."""
+    folder = stream_folder(spark)
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     arriving = (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf_dir)
+        .parquet(f"{sf_dir}/documents.parque[t]")  # a pattern, as the table may be a file or a folder
         .select(
             F.col("source").alias("repo_url"),
             F.col("doc_id").cast("string").alias("path"),
@@ -29,15 +48,5 @@ def scan_stream(spark, sf_dir):
             F.timestamp_seconds(F.col("doc_id")).alias("ts"),
         )
     )
-    found = scan_files(arriving, include_disabled=True)
-    run = (
-        found.writeStream.format("parquet")
-        .option("path", f"{folder}/findings")
-        .option("checkpointLocation", f"{folder}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
-    return spark.read.schema(found.schema).parquet(f"{folder}/findings").select(
-        "line_no", "rule_id", "secret_type", "key_name", "value_sha256", "value_len"
-    )
+    start_scan(arriving, folder, include_disabled=True).awaitTermination()
+    return read_scan(spark, folder).select(*COLUMNS)

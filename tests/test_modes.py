@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from goldens import A
 from leakatlas import list_mode, single_file_mode, whole_repo_mode
 from leakatlas.operators.scan import scan_secrets
-from leakatlas.streaming.scan_stream import scan_stream
+from leakatlas.streaming.scan_stream import read_scan, scan_stream, start_scan
 from test_scan import plan_of
 
 D = datetime.datetime
@@ -32,21 +32,29 @@ def files(spark):
     )
 
 
+def section(rows, name, repo=None):
+    return [r for r in rows if r.section == name and repo in (None, r.repo_url)]
+
+
 def test_single_file_mode(spark):
     langs = spark.createDataFrame([("A", "C#", 9978), ("A", "Dockerfile", 22)], "repo_url string, lang string, bytes long")
-    report = single_file_mode(files(spark), facts(spark, "ABC"), "example.com", languages=langs)
-    rows = report.collect()
-    assert [r.repo_url for r in rows] == ["B", "A"]  # newest file first; C has no matching file
-    b, a = rows
-    assert (b.status, b.n_secrets, b.files, b.languages) == ("No secrets detected", 0, ["b.py"], [])
-    assert (a.status, a.n_secrets, a.files) == ("Secrets Found", 1, [".env", "src/config.json"])
-    assert [(f.path, f.line_no, f.key_name, f.secret_type) for f in a.findings] == [("src/config.json", 2, "db_password", "Password")]
-    assert [(f.path, f.key_name) for f in a.env_refs] == [(".env", "DB_PASSWORD")]
-    assert [(x.lang, x.pct) for x in a.languages] == [("C#", 99.78), ("Dockerfile", 0.22)]
+    rows = single_file_mode(files(spark), facts(spark, "ABC"), "example.com", languages=langs).collect()
+    b, a = section(rows, "repository")  # newest file first; C has no matching file
+    assert (b.repo_url, b.status, b.n_secrets, b.n_files) == ("B", "No secrets detected", 0, 1)
+    assert (a.repo_url, a.status, a.n_secrets, a.n_files) == ("A", "Secrets Found", 1, 2)
+    assert [r.path for r in section(rows, "files")] == ["b.py", ".env", "src/config.json"]
+    assert [(f.path, f.line_no, f.key_name, f.secret_type) for f in section(rows, "findings")] == [("src/config.json", 2, "db_password", "Password")]
+    assert [(f.path, f.key_name) for f in section(rows, "env_refs")] == [(".env", "DB_PASSWORD")]
+    assert [(x.lang, x.pct) for x in section(rows, "languages")] == [("C#", 99.78), ("Dockerfile", 0.22)]
+    # A repository's rows stand together, its header first.
+    assert [r.repo_url for r in rows] == ["B"] * 2 + ["A"] * 7
+    assert rows[0].section == rows[2].section == "repository"
     quiet = single_file_mode(files(spark), facts(spark, "ABC"), "example.com", quiet=True)
-    assert [r.repo_url for r in quiet.collect()] == ["A"]
+    assert {r.repo_url for r in quiet.collect()} == {"A"}
     only_py = single_file_mode(files(spark), facts(spark, "ABC"), "example.com", include_ext=[".py"], sort="asc")
-    assert [r.repo_url for r in only_py.collect()] == ["B"]
+    assert {r.repo_url for r in only_py.collect()} == {"B"}
+    one = single_file_mode(files(spark), facts(spark, "ABC"), "example.com", max_repos=2)
+    assert {r.repo_url for r in one.collect()} == {"B"}  # B and C come first, C has no file
 
 
 def test_reports_never_hold_the_value(spark):
@@ -54,16 +62,18 @@ def test_reports_never_hold_the_value(spark):
     assert A(10) not in text and "db_password" in text
 
 
-def test_large_report_is_split_and_whole(spark):
-    many = spark.range(300).select(
+def test_shape_does_not_depend_on_size(spark):
+    """A repository of 30,000 items is a header and 30,000 rows."""
+    many = spark.range(15_000).select(
         F.lit("A").alias("repo_url"),
-        F.format_string("f%03d", "id").alias("path"),
+        F.format_string("f%05d", "id").alias("path"),
         F.concat(F.lit("example.com\ndb_password="), F.sha2(F.col("id").cast("string"), 256)).alias("text"),
     )
-    rows = single_file_mode(many, facts(spark, "A"), "example.com", quiet=True, max_items=100).collect()
-    assert len(rows) == 6 and {r.n_secrets for r in rows} == {300} and [r.part for r in rows] == list(range(6))
-    assert sorted(p for r in rows for p in r.files) == [f"f{i:03d}" for i in range(300)]
-    assert sum(len(r.findings) for r in rows) == 300
+    report = single_file_mode(many, facts(spark, "A"), "example.com", quiet=True)
+    counts = {r.section: r["count"] for r in report.groupBy("section").count().collect()}
+    assert counts == {"repository": 1, "files": 15_000, "findings": 15_000}
+    header = report.filter("section = 'repository'").collect()[0]
+    assert (header.n_files, header.n_secrets) == (15_000, 15_000)
 
 
 def whole_inputs(spark):
@@ -101,15 +111,31 @@ def whole_inputs(spark):
 
 
 def test_whole_repo_mode(spark):
-    report = whole_repo_mode(*whole_inputs(spark), "acme.com").collect()
-    assert [r.repo_url for r in report] == ["u/pay"]
-    r = report[0]
-    assert r.files == ["a/.env", "b/.env", "c/app.yml", "z.json"]
+    rows = whole_repo_mode(*whole_inputs(spark), "acme.com").collect()
+    assert {r.repo_url for r in rows} == {"u/pay"}
+    (r,) = section(rows, "repository")
     assert (r.n_files, r.n_secrets, r.n_env_refs) == (4, 4, 1)
-    assert [(f.path, f.line_no) for f in r.findings] == [("a/.env", 1), ("a/.env", 2), ("b/.env", 1), ("b/.env", 2)]
-    assert [(e.ext, e.n_files) for e in r.skipped_exts] == [(".md", 1), (".rs", 1)]
-    capped = whole_repo_mode(*whole_inputs(spark), "acme.com", max_files=1).collect()[0]
-    assert capped.files == ["a/.env"] and capped.n_secrets == 2
+    assert [f.path for f in section(rows, "files")] == ["a/.env", "b/.env", "c/app.yml", "z.json"]
+    assert [(f.path, f.line_no) for f in section(rows, "findings")] == [("a/.env", 1), ("a/.env", 2), ("b/.env", 1), ("b/.env", 2)]
+    assert [(e.ext, e.n_of_ext) for e in section(rows, "skipped_exts")] == [(".md", 1), (".rs", 1)]
+    capped = whole_repo_mode(*whole_inputs(spark), "acme.com", max_files=1).collect()
+    (r,) = section(capped, "repository")
+    assert (r.n_files, r.n_wanted, r.capped, r.n_secrets) == (1, 4, True, 2)
+    assert [f.path for f in section(capped, "files")] == ["a/.env"]
+    yml = whole_repo_mode(*whole_inputs(spark), "acme.com", include_ext=["YML"], prune_blobs=True).collect()
+    assert [f.path for f in section(yml, "files")] == ["c/app.yml"] and len(section(yml, "env_refs")) == 1
+    assert whole_repo_mode(*whole_inputs(spark), "acme.com", max_repos=1, sort="asc").count() == len(rows)
+
+
+def test_reports_scan_once(spark):
+    """The final plan runs the rules in one place, although items are counted and listed."""
+    for report in (
+        whole_repo_mode(*whole_inputs(spark), "acme.com"),
+        single_file_mode(files(spark), facts(spark, "ABC"), "example.com"),
+    ):
+        report.collect()
+        plan = plan_of(report).split("Initial Plan")[0]
+        assert sum("posexplode" in line for line in plan.split("\n") if "Generate" in line) == 1
 
 
 def test_whole_repo_mode_does_not_shuffle_content(spark):
@@ -133,22 +159,33 @@ def hits(spark):
 
 def test_list_mode(spark):
     rows = list_mode(hits(spark)).collect()
-    assert [(r.repo_url, [f.name for f in r.files]) for r in rows] == [("B", ["c.html"]), ("A", ["a.env", "b.py"])]
+    assert [(r.repo_url, r.name) for r in rows] == [("B", None), ("B", "c.html"), ("A", None), ("A", "a.env"), ("A", "b.py")]
     rows = list_mode(hits(spark), commit_date="repo", exclude_ext=["html"]).collect()
-    assert [(r.repo_url, r.n_files) for r in rows] == [("A", 2), ("B", 0)]
+    assert [(r.repo_url, r.n_files) for r in section(rows, "repository")] == [("A", 2), ("B", 0)]
     rows = list_mode(hits(spark), include_ext=["py"], max_repos=1, sort="asc").collect()
-    assert [(r.repo_url, [f.name for f in r.files]) for r in rows] == [("A", ["b.py"])]
+    assert [(r.repo_url, r.name) for r in rows] == [("A", None), ("A", "b.py")]
     with pytest.raises(ValueError):
         list_mode(hits(spark), max_repos=0)
 
 
-def test_stream_equals_batch_over_distinct_files(spark, tmp_path):
-    schema = "repo_url string, path string, text string, sha string, ts timestamp"
-    batch = files(spark).union(files(spark)).select(
-        "*", F.sha2("text", 256).alias("sha"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts")
-    )
-    batch.repartition(3).write.parquet(str(tmp_path / "in"))
-    found = scan_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+def arriving(spark, folder, day):
+    both = files(spark).union(files(spark)).unionByName(files(spark).withColumn("repo_url", F.lit("fork")))
+    ts = F.lit(f"2024-01-{day:02d} 00:00:00").cast("timestamp")
+    both.select("*", F.sha2("text", 256).alias("sha"), ts.alias("ts")).repartition(3).write.mode("append").parquet(folder)
+
+
+STREAM_SCHEMA = "repo_url string, path string, text string, sha string, ts timestamp"
+VERSION = ["repo_url", "path", "sha"]
+
+
+def wanted(spark):
+    once = files(spark).unionByName(files(spark).withColumn("repo_url", F.lit("fork"))).withColumn("sha", F.sha2("text", 256)).distinct()
+    return scan_secrets(once, key_cols=VERSION)
+
+
+def test_stream_reports_each_version_once(spark, tmp_path):
+    arriving(spark, str(tmp_path / "in"), 1)
+    found = scan_stream(spark.readStream.schema(STREAM_SCHEMA).parquet(str(tmp_path / "in")))
     run = (
         found.writeStream.format("parquet")
         .option("path", str(tmp_path / "out"))
@@ -157,14 +194,31 @@ def test_stream_equals_batch_over_distinct_files(spark, tmp_path):
         .start()
     )
     run.awaitTermination()
-    cols = ["line_no", "rule_id", "key_name", "value_sha256"]
-    got = spark.read.schema(found.schema).parquet(str(tmp_path / "out")).select(*cols)
-    once = batch.select("text", "sha").distinct()
-    want = scan_secrets(once, key_cols=["sha"]).select(*cols)
+    want = wanted(spark)
+    got = spark.read.schema(found.schema).parquet(str(tmp_path / "out")).select(*want.columns)
     assert got.count() == want.count() > 0
     assert got.exceptAll(want).count() == 0
 
 
+def test_late_files_have_an_output_of_their_own(spark, tmp_path):
+    folder, source = str(tmp_path / "scan"), str(tmp_path / "in")
+
+    def run():
+        start_scan(spark.readStream.schema(STREAM_SCHEMA).parquet(source), folder, watermark="1 day").awaitTermination()
+        return [read_scan(spark, folder, name) for name in ("findings", "late")]
+
+    want = wanted(spark)
+    arriving(spark, source, 20)
+    first, late = run()
+    assert first.select(*want.columns).exceptAll(want).count() == 0 and first.count() == want.count() and late.count() == 0
+    arriving(spark, source, 20)  # the same versions again
+    again, late = run()
+    assert again.count() == want.count() and late.count() == 0
+    arriving(spark, source, 5)  # older than the watermark
+    again, late = run()
+    assert again.count() == want.count() and late.select(VERSION).distinct().count() == want.select(VERSION).distinct().count()
+
+
 def test_cap_moves_slices_of_a_hot_repository(spark):
     """The first cut of a large cap is spread by salt even if the input lies by repository."""
     from leakatlas.operators import paths

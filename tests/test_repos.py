@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from leakatlas.operators import eligibility, health, nesting, paths, ranking, repos
+from leakatlas.operators import eligibility, health, paths, ranking, records, repos
 from test_scan import plan_of
 
 
@@ -39,7 +39,8 @@ def test_page_stop_rules(spark):
     short = hits(spark, page_rows([100, 100, 40, 100], [100, 100, 40, 100]))
     assert read_pages(repos.page_stop(short)) == [1, 2, 3]
     full = hits(spark, page_rows([100] * 12, [100] * 12))
-    assert read_pages(repos.page_stop(full)) == list(range(1, 11))  # 1,000 kept
+    assert read_pages(repos.page_stop(full)) == list(range(1, 13))
+    assert read_pages(repos.page_stop(full, max_results=1_000)) == list(range(1, 11))
     assert read_pages(repos.page_stop(full, max_repos=150)) == [1, 2]
     # Only kept rows count towards the cap: repeats of a known repository do not.
     dull = hits(spark, page_rows([100] * 12, [50] * 12))
@@ -97,7 +98,7 @@ def test_top_n_two_steps(spark):
         paths.cap_files(df, 0)
 
 
-def test_nest_splits_large_keys_and_keeps_every_item(spark):
+def test_records_keep_every_item(spark):
     items = spark.range(5000).select(
         F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("r"), F.col("id") % 100)).alias("repo_url"),
         F.lit("files").alias("section"),
@@ -106,34 +107,44 @@ def test_nest_splits_large_keys_and_keeps_every_item(spark):
     items = items.unionByName(items.limit(100))  # repeats count once
     header = items.select("repo_url").distinct().withColumn("mark", F.lit("m"))
     header = header.unionByName(spark.createDataFrame([("empty", "m")], header.schema))
-    out = nesting.nest(items, ["repo_url"], {"files": F.col("path")}, header, max_items=200)
-    rows = out.collect()
-    hot = [r for r in rows if r.repo_url == "hot"]
-    assert len(hot) == 13 and {r.part for r in hot} == set(range(13))
-    assert {(r.n_parts, r.n_files, r.mark) for r in hot} == {(13, 2500, "m")}
-    assert max(len(r.files) for r in hot) < 300
-    assert all(r.files == sorted(r.files) for r in rows)
-    assert [(r.n_files, r.files, r.n_parts) for r in rows if r.repo_url == "empty"] == [(0, [], 1)]
-    flat = out.select("repo_url", F.explode("files").alias("path"))
+    once = records.distinct_items(items, ["repo_url"])
+    facts = header.join(records.count_items(once, ["repo_url"], ["files"]), "repo_url", "left").fillna(0)
+    out = records.with_header(facts, once, ["repo_url"])
+    heads = {r.repo_url: r.n_files for r in out.filter("section = 'repository'").collect()}
+    assert heads["hot"] == 2500 and heads["empty"] == 0 and len(heads) == 52
+    got = out.filter("section = 'files'").select("repo_url", "path")
     want = items.select("repo_url", "path").distinct()
-    assert flat.count() == want.count() and flat.exceptAll(want).count() == 0
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
-def test_nest_reports_header_keys_only(spark):
-    items = spark.createDataFrame([("a", "files", "x"), ("b", "files", "y")], "repo_url string, section string, path string")
+def test_records_of_header_keys_only(spark):
+    items = spark.createDataFrame([("a", "files", "x"), ("b", "files", "y"), (None, "files", "z")], "repo_url string, section string, path string")
     header = spark.createDataFrame([("a", 1)], "repo_url string, v int")
-    rows = nesting.nest(items, ["repo_url"], {"files": F.col("path")}, header, max_items=1).collect()
-    assert [(r.repo_url, r.v, r.files) for r in rows] == [("a", 1, ["x"])]
+    rows = records.with_header(header, records.distinct_items(items, ["repo_url"]), ["repo_url"], ["v"]).collect()
+    assert sorted((r.section, r.repo_url, r.v, r.path) for r in rows if r.path) == [("files", "a", 1, "x")] and len(rows) == 2
 
 
-def test_nest_runs_its_input_once(spark):
+def test_records_run_their_input_once(spark):
     items = spark.range(100).select(F.lit("r").alias("repo_url"), F.lit("files").alias("section"), F.col("id").cast("string").alias("path"))
-    out = nesting.nest(items.repartition(4, "path"), ["repo_url"], {"files": F.col("path")}, max_items=7)
+    once = records.distinct_items(items.repartition(4, "path"), ["repo_url"])
+    out = records.with_header(records.count_items(once, ["repo_url"], ["files"]), once, ["repo_url"])
     out.collect()
     plan = plan_of(out).split("Initial Plan")[0]
     assert plan.count("Range (") == 1 and "ReusedExchange" in plan
 
 
+def test_limits_of_several_searches(spark):
+    rows = [(q, f"{q}{p}-{i}", p, i) for q, n in (("a", 4), ("b", 2)) for p in range(1, n + 1) for i in range(100)]
+    df = spark.createDataFrame(rows, "q string, repo_url string, page int, pos int")
+    exact = {r.q: r["count"] for r in repos.limit_repos(df, 150, keys=["q"]).groupBy("q").count().collect()}
+    assert exact == {"a": 150, "b": 150}
+    pages = {(r.q, r.page) for r in repos.limit_repos(df, 250, mode="page", keys=["q"]).collect()}
+    assert pages == {("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2)}
+    assert {r.page for r in repos.limit_repos(df, 10_000, mode="page", keys=["q"], max_results=200).collect()} == {1, 2}
+    with pytest.raises(TypeError):
+        repos.limit_repos(df, 5, pages=3)
+
+
 def test_sort_repos(spark):
     d = datetime.datetime
     df = spark.createDataFrame(

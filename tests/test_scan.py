@@ -75,6 +75,14 @@ def test_env_references_are_marked(spark):
     assert [r.is_env_reference for r in rows] == [True, True, False]
 
 
+def test_a_read_does_not_hide_the_secret_beside_it(spark):
+    df = lines_df(spark, ["url=${HOST} db_password=" + A(9)])
+    assert [r.is_env_reference for r in scan.scan_secrets(df).collect()] == [False]
+    assert [r.is_env_reference for r in scan.scan_secrets(df, env_by="line").collect()] == [True]
+    with pytest.raises(ValueError):
+        scan.scan_secrets(df, env_by="word")
+
+
 def test_linear_patterns_equal_plain_ones(spark):
     """The rewritten identifier rules find exactly what the plain text finds."""
     rng = random.Random(7)
@@ -93,28 +101,47 @@ def test_linear_patterns_equal_plain_ones(spark):
             + rng.choice(["=", " : ", "=\"", "", "-="]) + rng.choice([A(7), A(24), A(33)])
             + rng.choice(["", " ", '"', "'x_", "="]) + rng.choice(parts)
         )
+    # Tags, most of them broken somewhere.
+    tags = ["<add ", "key=", "key = ", '"', "'", "dbpass", "passwd", "usuario", "sshostKey", " value=", ' value="', A(12), ">", " ", "=", "/>", "x"]
+    for _ in range(6000):
+        lines.append("".join(rng.choice(tags) for _ in range(rng.randint(4, 24))))
+    for word in ("dbpass", "passwd", "usuario", "sshostKey"):
+        lines += [f"<add {'<add ' * i}x='y' key=\"a{word}b\" q value='{A(12)}' /> <add key='{word}' value='{A(11)}'" for i in range(40)]
     df = spark.createDataFrame([(t,) for t in lines], "t string")
     for rule in shipped_rules():
-        if rule.rule_id not in (4, 5, 6, 11):
+        if rule.rule_id not in (0, 1, 2, 3, 4, 5, 6, 11):
             continue
         plain = F.lit(rule.pattern.replace("(?i)", "(?iU)", 1))
-        linear = F.lit(rule.spark_pattern)
-        groups = [
-            (F.regexp_extract_all("t", plain, F.lit(g)), F.regexp_extract_all("t", linear, F.lit(g)))
-            for g in (0, 1, 2)
-        ]
-        differs = groups[0][0] != groups[0][1]
-        for a, b in groups[1:]:
-            differs = differs | (a != b)
-        res = df.select(F.size(groups[0][0]).alias("n"), differs.alias("d"), "t")
-        assert res.filter("n > 0").count() > 100, rule.rule_id
+
+        def found(pattern, group):
+            return F.filter(F.regexp_extract_all("t", F.lit(pattern), F.lit(group)), lambda x: x != "")  # noqa: B023
+
+        key, value = (F.regexp_extract_all("t", plain, F.lit(g)) for g in (1, 2))
+        differs = (key != found(rule.scan_pattern, rule.key_group)) | (value != found(rule.scan_pattern, rule.value_group))
+        masked = F.regexp_replace("t", plain, F.lit("[x]")) != F.regexp_replace("t", F.lit(rule.spark_pattern), F.lit(rule.keep + "[x]"))
+        res = df.select(F.size(key).alias("n"), (differs | masked).alias("d"), "t")
+        assert res.filter("n > 0").count() > 20, rule.rule_id
         assert res.filter("d").limit(3).collect() == []
 
 
-def test_long_identifier_lines_stay_fast(spark):
-    run = ("a1" * 500_000) + "_key "
-    df = lines_df(spark, [run + "db_password=" + A(12)])
-    assert hit_sets(scan.scan_secrets(df)) == {"f000": [6]}
+def seconds(spark, text, **options):
+    import time
+
+    df = lines_df(spark, [text]).cache()
+    df.count()
+    start = time.perf_counter()
+    found = hit_sets(scan.scan_secrets(df, include_disabled=True, **options))
+    return time.perf_counter() - start, found
+
+
+@pytest.mark.parametrize("scope", ["line", "file"])
+@pytest.mark.parametrize("unit", ["a1", "a" + "1" * 33, '<add key="pass" ', "<add ", "api", "key="])
+def test_long_lines_stay_fast(spark, scope, unit):
+    """A megabyte in one line, with a secret at its end."""
+    text = unit * (1_000_000 // len(unit)) + " db_password=" + A(12)
+    seconds(spark, "warm db_password=" + A(12), scope=scope)
+    took, found = seconds(spark, text, scope=scope)
+    assert found == {"f000": [6]} and took < 5
 
 
 def test_prefilter_is_lossless_on_folding_letters(spark):
@@ -163,13 +190,6 @@ def test_count_matches(spark):
     assert counts == want
 
 
-def test_oversized_lines_are_reported(spark):
-    df = lines_df(spark, ["short\n" + "x" * 50 + " db_password=" + A(20)])
-    assert scan.scan_secrets(df, max_line_len=40).count() == 0
-    rows = scan.oversized_lines(df, 40).collect()
-    assert [(r.line_no, r.line_len) for r in rows] == [(2, 83)]
-
-
 def test_user_rules(spark):
     rules = rules_from_json(
         '[{"pattern": "(?i)(badge)#(\\\\d+)", "secret_type": "Badge", "description": "d"},'
@@ -181,6 +201,13 @@ def test_user_rules(spark):
     assert sorted((r.rule_id, r.key_name, r.value_len) for r in both) == [(0, "BADGE", 4), (1, "hush", 4)]
 
 
+def test_user_rules_know_only_line_feeds(spark):
+    rules = [make_rule(0, "(x)=.(y)", "t"), make_rule(1, "(secret): (tail)$", "t"), make_rule(2, r"(cost)[$](\$)", "t"), make_rule(3, "(?m)^(row)(s)$", "t")]
+    texts = ["x=\u2028y", "x=\ry", "secret: tail\x85", "secret: tail\u2028", "secret: tail", "cost$$"]
+    assert hit_sets(scan.scan_secrets(lines_df(spark, texts), rules)) == {"f000": [0], "f001": [0], "f004": [1], "f005": [2]}
+    assert hit_sets(scan.scan_secrets(lines_df(spark, ["a\nrows\nb"]), rules, scope="file")) == {"f000": [3]}
+
+
 @pytest.mark.parametrize("pattern", ["(?U)a", "(?iU)(a)", "[a-z&&b]", "[a~~b]"])
 def test_foreign_dialect_is_rejected(pattern):
     with pytest.raises(ValueError):

@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from leakatlas.llm.text import chunks, worker_cache
 
-CACHED_WORDS = 200_000
+CACHED_WORDS = 250_000  # a generation of a cache; there are two of each
 WORD_END = "</w>"
 # The white space of the tokenizer's normalizer and its split pattern.
-WHITE = "[" + "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]"
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + WHITE[1:-1] + r"\p{L}\p{N}]+"
+WHITE = "".join(map(chr, (*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 32)))
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + WHITE + r"\p{L}\p{N}]+"
 
 
 def byte_characters() -> list[str]:
@@ -50,6 +50,24 @@ def load_vocabulary(path: str) -> dict:
     return {"vocab": model["vocab"], "merges": merges, "special": special}
 
 
+class Cache:
+    """What was found lately: when one generation is full it becomes the old one, and what is asked again moves on."""
+
+    def __init__(self, size: int):
+        self.size, self.ids, self.texts = size, {}, {}
+        self.old: tuple[dict, dict] = ({}, {})
+
+    def turn(self) -> None:
+        if len(self.ids) > self.size:
+            self.old, self.ids, self.texts = (self.ids, self.texts), {}, {}
+
+    def put(self, word: str, make) -> tuple[str, str]:
+        """The pair of ``word``, which the young generation lacks."""
+        pair = (self.old[0][word], self.old[1][word]) if word in self.old[0] else make(word)
+        self.ids[word], self.texts[word] = pair
+        return pair
+
+
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
@@ -89,9 +107,8 @@ class Codec:
         self.offsets = [0]
         for name in names:
             self.offsets.append(self.offsets[-1] + len(name))
-        self.cache: dict[str, tuple[str, str]] = {}
+        self.words, self.parts = Cache(CACHED_WORDS), Cache(CACHED_WORDS)
         self.pieces = regex.compile(PIECES)
-        self.white = regex.compile(WHITE + "+")
         self.marked = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def compatible(self, a: int, b: int) -> bool:
@@ -160,32 +177,40 @@ class Codec:
         """Composed, lower-cased, cut at white space; no piece of the pattern holds white space."""
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        text = self.white.sub(" ", text)
-        return text.replace("\u03a3", "\u03c3").lower().split(" ")
+        for c in WHITE[:5] if text.isascii() else WHITE[:-1]:
+            if c in text:
+                text = text.replace(c, " ")
+        return list(filter(None, text.replace("\u03a3", "\u03c3").lower().split(" ")))
 
-    def word(self, word: str) -> tuple[str, str]:
-        ids = [i for piece in self.pieces.findall(word) for i in self.encode_word(piece)]
+    def piece(self, piece: str) -> tuple[str, str]:
+        ids = self.encode_word(piece)
         return " ".join(map(str, ids)), self.decode(ids)
 
+    def word(self, word: str) -> tuple[str, str]:
+        found = self.pieces.findall(word)
+        self.parts.turn()
+        for p in found:
+            if p not in self.parts.ids:
+                self.parts.put(p, self.piece)
+        return " ".join([self.parts.ids[p] for p in found]), " ".join([self.parts.texts[p] for p in found])
+
     def encode_decode(self, text: str) -> tuple[str, str]:
         """Decimal ids joined by spaces, and the decoded text."""
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
         if len(self.table) > 4 * CACHED_WORDS:
             self.table.clear()
-        cache, ids, names = self.cache, [], []
+        ids, names = [], []
         for part, special in self.segments(text):
             if special >= 0:
-                found = [(str(special), self.decode([special]))]
-            else:
-                found = []
-                for w in self.normal(part):
-                    pair = cache.get(w)
-                    if pair is None:
-                        pair = cache[w] = self.word(w)
-                    found.append(pair)
-            ids += [a for a, _ in found if a]
-            names += [b for a, b in found if a]
+                ids.append(str(special))
+                names.append(self.decode([special]))
+                continue
+            words = self.normal(part)
+            self.words.turn()
+            for w in set(words).difference(self.words.ids):
+                self.words.put(w, self.word)
+            if words:
+                ids.append(" ".join(map(self.words.ids.__getitem__, words)))
+                names.append(" ".join(map(self.words.texts.__getitem__, words)))
         return " ".join(ids), " ".join(names)
 
     def encode(self, text: str) -> list[int]:

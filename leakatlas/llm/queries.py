@@ -34,7 +34,33 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), "doc_id", F.octet_length("text"), SHARD_BYTES)
 
 
-@query("op6_quality_rules")
+SQL_WORD = r"[^\x20\x09-\x0D]"
+SQL_GRID = ", ".join(f"('{s}', {c})" for s, cutoffs in quality.GRID.items() for c in cutoffs)
+SQL_SHARE = quality.RISK / len(quality.GRID)
+QUALITY_SQL = f"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{SQL_WORD}+') AS ws FROM documents),
+words AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM words WHERE c IS NOT NULL),
+repeats AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM windows, (VALUES (0), (1), (2)) v(d) WHERE n > 1 GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM
+  (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '{SQL_WORD}') GROUP BY doc_id),
+counts AS (SELECT w.doc_id, stratum, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.dup, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines
+  FROM w LEFT JOIN repeats USING (doc_id) LEFT JOIN lines USING (doc_id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+signals AS (SELECT doc_id, stratum, base_failed, unnest([{{'s': 'symbols_per_word', 'v': n_symbols / greatest(n_words, 1)}}, {{'s': 'dup_line_share', 'v': n_dup_lines / greatest(n_lines, 1)}},
+  {{'s': 'repeat_word_share', 'v': n_repeat_words / greatest(n_words, 1)}}], recursive := true) FROM judged),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
+tallies AS (SELECT stratum, g.s, g.c, count(*) AS n, count(*) FILTER (v > c) AS k FROM signals JOIN good USING (doc_id) JOIN (VALUES {SQL_GRID}) g(s, c) ON g.s = signals.s WHERE NOT base_failed GROUP BY ALL),
+tests AS (SELECT *, CASE WHEN k < {SQL_SHARE} * n THEN list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({SQL_SHARE}) + (n - i) * ln(1 - {SQL_SHARE})))) ELSE 1 END AS p FROM tallies),
+cutoffs AS (SELECT stratum, s, min(c) AS cutoff FROM tests WHERE p <= {quality.ERROR} / (SELECT count(*) FROM tests) GROUP BY ALL),
+beyond AS (SELECT doc_id, string_agg(s, ',' ORDER BY CASE s WHEN 'symbols_per_word' THEN 1 WHEN 'dup_line_share' THEN 2 ELSE 3 END) AS rejected_by FROM signals JOIN cutoffs USING (stratum, s) WHERE v > cutoff GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by
+FROM judged LEFT JOIN beyond USING (doc_id)
+"""
+
+
+@query("op6_quality_rules", QUALITY_SQL)
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
@@ -53,7 +79,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(documents, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-@query("op10_warc")
+# Five hexadecimal digits are four of base32.
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - i % 4 * 5 AS INTEGER)) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p
+"""
+
+
+@query("op10_warc", WARC_SQL)
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all pages, written and read back."""
     folder = shared_folder(spark, "warc")

@@ -20,13 +20,14 @@ import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 from leakatlas.llm.text import chunks, worker_cache
 
-CACHED_WORDS = 250_000  # a generation of a cache; there are two of each
+CACHED_WORDS = 100_000  # a generation of a cache; there are two of each
 WORD_END = "</w>"
 # The white space of the tokenizer's normalizer and its split pattern.
 WHITE = "".join(map(chr, (*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 32)))
@@ -231,7 +232,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", with_ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_cache(key, lambda: Codec(shipped.value))
         for whole in batches:
-            for batch in chunks(whole, "__text", 4 << 20):
+            for batch in chunks(whole, "__text"):
                 n, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
                 for value in batch.column("__text").to_pylist():
                     ids, decoded = codec.encode_decode(value or "")
@@ -239,12 +240,13 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", with_ids: bool =
                     ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                     text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                     if with_ids:
-                        all_ids.append([int(i) for i in ids.split()])
+                        all_ids.append(np.array(ids.split(), np.int32))
                         texts.append(decoded)
                 columns = [batch.column(c) for c in kept]
                 made = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 if with_ids:
-                    made += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
+                    ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                    made += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids))), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + made, names=kept + names)
 
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))

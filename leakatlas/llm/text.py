@@ -1,7 +1,7 @@
 """Whole UTF-8 texts as flat numpy arrays: words, rolling fingerprints, bounded chunks.
 
-Everything here runs inside tasks. A record batch is cut into chunks of about a
-megabyte of text; a longer text is a chunk of its own, never a prefix.
+Everything here runs inside tasks. A record batch is cut into chunks of about
+half a megabyte of text; a longer text is a chunk of its own, never a prefix.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 FIELD = np.uint64
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 

@@ -14,10 +14,11 @@ that still holds several components further hubs, taken outside its largest
 component, are compared with all members of other components, more of them in
 each round, until each bucket is one component or all its pairs are decided. So
 no pair of a bucket is left out, and a group of n near copies of one text costs
-about n comparisons. Two bits of every signature value are compared first: a
+about n comparisons. A few bits of every signature value are compared first: a
 pair goes on to the full sets unless its sizes exclude a link or so few values
-agree that a link has odds below 1e-8; the same pair of several buckets goes on
-from the first only.
+agree that a link has odds below ODDS; the same pair of several buckets goes on
+from the first only. Where copies of copies are alike but below the threshold,
+that filter still passes a number of pairs that grows faster than their group.
 
 Null, empty and wordless texts have no shingles and link with nothing; fewer
 than five words are one shingle. A null id links with nothing. Rows with equal
@@ -40,7 +41,9 @@ from leakatlas.llm.text import FIELD, Fingerprints, byte_values, chunks, mix, ut
 SHINGLE = 5
 ROWS, BANDS = 7, 42
 PERMUTATIONS = ROWS * BANDS // 2
+PLANES = 4  # bits kept of every signature value
 PLANE = -(-2 * PERMUTATIONS // 64)  # 64-bit words for one bit of all values
+ODDS = 1e-6
 FIRST_HUBS, HUB_GROWTH = 8, 8
 
 
@@ -71,7 +74,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (n x BANDS) and two bits of every signature value, packed (n x 2 * PLANE); zeros for empty sets."""
+    """Band keys (n x BANDS) and PLANES bits of every signature value, packed (n x PLANES * PLANE); zeros for empty sets."""
     n = len(at) - 1
     filled = np.flatnonzero(at[1:] > at[:-1])
     out = np.zeros((2 * PERMUTATIONS, n), FIELD)
@@ -89,8 +92,8 @@ def signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
         for r in range(ROWS):
             bands = mix(bands * FIELD(31) + out[r * BANDS : (r + 1) * BANDS])
         spread = mix(out).T
-        bits = np.zeros((n, 2, 64 * PLANE), np.uint8)
-        for plane in range(2):
+        bits = np.zeros((n, PLANES, 64 * PLANE), np.uint8)
+        for plane in range(PLANES):
             bits[:, plane, : 2 * PERMUTATIONS] = (spread >> FIELD(plane)) & FIELD(1)
     return bands.T, np.packbits(bits, axis=2).reshape(n, -1).view(np.int64)
 
@@ -141,18 +144,24 @@ def full_sets(documents: DataFrame, ids: DataFrame, key: str, text: str) -> Data
 
 
 def least_agreement(percent: int) -> int:
-    """The values with equal bits below which a link at ``percent`` has odds under 1e-8; other values agree in one case of four."""
-    n, p, total = 2 * PERMUTATIONS, percent / 100 + (1 - percent / 100) / 4, 0.0
+    """The values with equal bits below which a link at ``percent`` has odds under ODDS; other values agree by chance."""
+    n, p, total = 2 * PERMUTATIONS, percent / 100 + (1 - percent / 100) / 2**PLANES, 0.0
     for k in range(n + 1):
         total += comb(n, k) * p**k * (1 - p) ** (n - k)
-        if total > 1e-8:
+        if total > ODDS:
             return k
     return n
 
 
 def possible(percent: int) -> Column:
     """Whether u and v (columns nu, nv, mu, mv) may be linked."""
-    differ = sum((F.bit_count((F.col("mu")[i].bitwiseXOR(F.col("mv")[i])).bitwiseOR(F.col("mu")[PLANE + i].bitwiseXOR(F.col("mv")[PLANE + i]))) for i in range(PLANE)), F.lit(0))
+    differ = F.lit(0)
+    for i in range(PLANE):
+        other = F.lit(0).cast("long")
+        for plane in range(PLANES):
+            at = plane * PLANE + i
+            other = other.bitwiseOR(F.col("mu")[at].bitwiseXOR(F.col("mv")[at]))
+        differ = differ + F.bit_count(other)
     return (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (2 * PERMUTATIONS - differ >= least_agreement(percent))
 
 
@@ -198,16 +207,17 @@ def near_duplicates(documents: DataFrame, percent: int = 80, key: str = "doc_id"
         unsettled = stored(labelled.join(mixed, "bucket").join(nodes.select("id", "n_shingles", "marks", "bands"), "id"), "minmax-unsettled")
         if unsettled.isEmpty():
             break
-        outside = unsettled.filter("label <> top")
-        drawn = F.pmod(F.xxhash64("id", F.lit(hubs)), F.col("others")) < hubs
-        sure = outside.groupBy("bucket").agg(F.min("id").alias("id")).withColumn("sure", F.lit(True))
-        chosen = outside.join(sure, ["bucket", "id"], "left").filter(drawn | F.col("sure")).select("bucket", F.col("id").alias("u"), F.col("label").alias("lu"), F.col("n_shingles").alias("nu"), F.col("marks").alias("mu"), F.col("bands").alias("bu"))
-        chosen = stored(chosen, "minmax-hubs")
-        other = unsettled.select("bucket", F.col("id").alias("v"), F.col("label").alias("lv"), F.col("n_shingles").alias("nv"), F.col("marks").alias("mv"), F.col("bands").alias("bv"))
+        outside = F.col("label") != F.col("top")
+        sure = unsettled.filter(outside).groupBy("bucket").agg(F.min("id").alias("sure"))
+        drawn = outside & ((F.pmod(F.xxhash64("id", F.lit(hubs)), F.col("others")) < hubs) | (F.col("id") == F.col("sure")))
+        dealt = stored(unsettled.join(sure, "bucket").withColumn("is_hub", drawn), "minmax-dealt")
+        chosen = dealt.filter("is_hub").select("bucket", F.col("id").alias("u"), F.col("label").alias("lu"), F.col("n_shingles").alias("nu"), F.col("marks").alias("mu"), F.col("bands").alias("bu"))
+        other = dealt.select("bucket", F.col("id").alias("v"), F.col("label").alias("lv"), F.col("n_shingles").alias("nv"), F.col("marks").alias("mv"), F.col("bands").alias("bv"), F.col("is_hub").alias("hv"))
         earliest = F.element_at(F.filter("bu", lambda x, i: x == F.col("bv")[i]), 1) == F.col("bucket")
-        pairs = other.join(chosen, "bucket").filter((F.col("lu") != F.col("lv")) & possible(percent) & earliest).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        once = ~F.col("hv") | (F.col("u") < F.col("v"))
+        pairs = other.join(chosen, "bucket").filter((F.col("lu") != F.col("lv")) & once & possible(percent) & earliest).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         links = confirmed(pairs, documents, percent, key, text)
-        members = stored(unsettled.select("bucket", "id").join(chosen.select("bucket", F.col("u").alias("id")), ["bucket", "id"], "left_anti"), "minmax-members")
+        members = stored(dealt.filter("not is_hub").select("bucket", "id"), "minmax-members")
         if not links.isEmpty():
             roots = stored(components(roots.toDF("u", "v").union(links)), "minmax-roots")
         hubs *= HUB_GROWTH

@@ -1,23 +1,25 @@
 """Benchmark decontamination: passages within a few edits of a benchmark item.
 
-1. Windows. Each word begins a window of the size of the items of a length
-   class. A window can hold an item of n bytes with k edits only if at least
-   n - 7 - 8 k of its 8-byte strings are strings of some item; the others are
-   left out. This loses nothing: an edit destroys 8 of them at most.
-2. CGK embedding. A walk over the window repeats or passes each byte by a random
-   bit that depends on step and byte; edits become a few differing steps.
-3. Bit-sampling LSH. BITS steps of a walk, drawn at random below the item's
-   size, make a key; windows and items with an equal key of the same class,
-   walk and draw are candidates. WALKS x DRAWS keys find a passage with 2 % of
-   edits with probability over 0.999 and one with 8 % over 0.95 (tested).
-4. The edit distance of a candidate is computed exactly, around the window; up
+1. Pieces. An item of n bytes that may have k edits is cut into k + 1 pieces of
+   8 bytes and more. k edits leave one piece at least as it is, so every match
+   holds a piece verbatim, wherever in a text or word it begins.
+2. Places. Where a text holds a piece, the item can begin only up to k bytes off
+   the place that the offset of the piece gives. Of the n - 7 strings of 8 bytes
+   of the item at least n - 7 - 8 k must be around there; an edit destroys 8 of
+   them at most. Places that overlap are one stretch of text.
+3. The edit distance of the item to all parts of a stretch is computed exactly; up
    to MAX_EDITS of the item's bytes is a match, with its span.
 
+None of these steps loses a match: recall is 1 at every length and share of edits
+up to MAX_EDITS (tested against brute force). CGK walks with bit sampling, of
+which any number of keys finds a share only, are not used.
+
 A to Z count as a to z; distances are over bytes. Items come in blocks of at most
 BLOCK_BYTES, each of which all documents pass. Items of less than 8 bytes match
 nothing, items under 24 bytes only exactly. Null and empty texts hold nothing.
-Several places of one item are several rows, overlapping ones the first. Rows
-are independent: repeated rows give repeated matches.
+Several places of one item are several rows: from the left, the first end of a
+match or a better one up to 2 k bytes on, then anew behind it. Rows are
+independent: repeated rows give repeated matches.
 """
 
 from __future__ import annotations
@@ -28,12 +30,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from leakatlas.llm.text import FIELD, chunks, mix, utf8, words
+from leakatlas.llm.text import FIELD, chunks, mix, utf8
 
 GRAM = 8
-MAX_EDITS = 0.08
-CLASS_RATIO = 1.1
-WALKS, DRAWS, BITS = 4, 8, 5
+MAX_EDITS = 0.08  # pieces have GRAM bytes and more up to this share
+HELD_PLACES = 1 << 18  # looked at together
 BLOCK_BYTES = 8 << 20
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -52,8 +53,8 @@ def grams(data: np.ndarray) -> np.ndarray:
     return mix(packed)
 
 
-def least_edits(pattern: bytes, text: bytes) -> tuple[int, int]:
-    """The least edit distance of ``pattern`` to any part of ``text``, and where the first such part ends.
+def end_distances(pattern: bytes, text: bytes | memoryview) -> Iterator[int]:
+    """For each byte of ``text`` the least edit distance of ``pattern`` to any part that ends behind it.
 
     Columns of the table are bit vectors of vertical differences.
     """
@@ -63,8 +64,7 @@ def least_edits(pattern: bytes, text: bytes) -> tuple[int, int]:
     for i, c in enumerate(pattern):
         masks[c] = masks.get(c, 0) | 1 << i
     up, down, distance = full, 0, m
-    best, end = m, 0
-    for j, c in enumerate(text, 1):
+    for c in text:
         equal = masks.get(c, 0)
         vertical = equal | down
         horizontal = (((equal & up) + up) ^ up) | equal
@@ -73,132 +73,132 @@ def least_edits(pattern: bytes, text: bytes) -> tuple[int, int]:
             distance += 1
         elif fall & top:
             distance -= 1
-        if distance < best:
-            best, end = distance, j
+        yield distance
         rise, fall = rise << 1 & full, fall << 1 & full
         up, down = fall | ~(vertical | rise) & full, rise & vertical
+
+
+def least_edits(pattern: bytes, text: bytes | memoryview) -> tuple[int, int]:
+    """The least edit distance of ``pattern`` to any part of ``text``, and where the first such part ends."""
+    best, end = len(pattern), 0
+    for j, distance in enumerate(end_distances(pattern, text), 1):
+        if distance < best:
+            best, end = distance, j
     return best, end
 
 
+def places(pattern: bytes, text: bytes, edits: int) -> Iterator[tuple[int, int, int]]:
+    """(begin, end, edits) of the matches in ``text`` from the left; none overlap."""
+    text, base = memoryview(text), 0
+    while len(text) - base >= len(pattern) - edits:
+        best, end, last = edits + 1, 0, len(text)
+        for j, distance in enumerate(end_distances(pattern, text[base:]), base + 1):
+            if distance < best:
+                if best > edits:
+                    last = j + 2 * edits
+                best, end = distance, j
+            if j >= last or not best:
+                break
+        if best > edits:
+            return
+        # No part before ``end`` is as near, so the nearest part of the bytes up to there ends there.
+        _, back = least_edits(pattern[::-1], text[max(base, end - len(pattern) - edits) : end][::-1])
+        yield end - back, end, best
+        base = end
+
+
 class Matcher:
     """All items of a block, ready for search."""
 
-    def __init__(self, items: list[bytes], seed: int = 19):
+    def __init__(self, items: list[bytes]):
         self.items = [FOLD[np.frombuffer(t, np.uint8)].tobytes() for t in items]
-        usable = sorted((len(t), i) for i, t in enumerate(self.items) if len(t) >= GRAM)
-        self.bits = max(16, min(26, int(np.ceil(np.log2(64 * sum(n for n, _ in usable) + 1)))))
-        self.known = np.zeros(1 << self.bits, bool)
-        self.classes: list[tuple[int, int, int, list[int]]] = []  # least size, reach and least hits of a window, items
-        while usable:
-            least = usable[0][0]
-            group = [(n, i) for n, i in usable if n <= max(least, least * CLASS_RATIO)]
-            usable = usable[len(group) :]
-            edits = edits_allowed(group[-1][0])
-            self.classes.append((least, least + edits - GRAM + 1, least - GRAM + 1 - edits * GRAM, [i for _, i in group]))
-        self.own = [np.unique(grams(np.frombuffer(t, np.uint8))) for t in self.items]
-        for own in self.own:
-            self.known[own >> FIELD(64 - self.bits)] = True
-        # What any class asks for at least, over the longest reach: a cheap first test.
-        self.reach, self.need = max((c[1] for c in self.classes), default=0), min((c[2] for c in self.classes), default=0)
-        draw = np.random.default_rng(seed)
-        longest = max((len(t) for t in self.items), default=0)
-        self.moves = draw.integers(0, 2, (WALKS, longest + 1, 256)).astype(np.int8)
-        self.draws = [[[np.sort(draw.integers(0, least, BITS)) for _ in range(DRAWS)] for _ in range(WALKS)] for least, *_ in self.classes]
-        self.keys: list[list[list[tuple[np.ndarray, np.ndarray]]]] = []
-        for c, (least, _, _, group) in enumerate(self.classes):
-            flat = np.frombuffer(b"".join(self.items[i] for i in group), np.uint8)
-            size = np.array([len(self.items[i]) for i in group])
-            start = np.cumsum(size) - size
-            self.keys.append([])
-            for walk in range(WALKS):
-                seen = self.embed(flat, start, start + size, least, walk)
-                made = []
-                for steps in self.draws[c][walk]:
-                    key = self.key(seen, steps, np.arange(len(group)))
-                    order = np.argsort(key, kind="stable")
-                    made.append((key[order], np.array(group)[order]))
-                self.keys[c].append(made)
-
-    def embed(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray, steps: int, walk: int) -> np.ndarray:
-        """The bytes that ``walk`` sees in its first ``steps`` steps, 0 from ``stop`` on: steps x windows."""
-        out = np.zeros((steps, len(start)), np.uint8)
-        place, last = start.astype(np.int64), np.maximum(stop - 1, 0)
-        for j in range(steps):
-            byte = data[np.minimum(place, last)]
-            byte[place >= stop] = 0
-            out[j] = byte
-            place = place + self.moves[walk, j][byte]
-        return out
-
-    @staticmethod
-    def key(seen: np.ndarray, steps: np.ndarray, which: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(which), FIELD)
-        for s in steps:
-            out = (out << FIELD(8)) | seen[s, which]
-        return out
-
-    def windows(self, found: np.ndarray, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Begin and text number of windows that some class admits, and for each class which of them; ``found``: grams."""
-        start, _, doc = words(data, at)
-        hits = np.zeros(len(found) + 1, np.int32)
-        np.cumsum(self.known[found >> FIELD(64 - self.bits)], out=hits[1:])
-        top = len(hits) - 1
-
-        def within(start: np.ndarray, reach: int) -> np.ndarray:
-            return hits[np.minimum(start + reach, top)] - hits[np.minimum(start, top)]
-
-        maybe = np.flatnonzero(within(start, self.reach) >= self.need)
-        start, doc = start[maybe], doc[maybe]
-        fits = [within(start, reach) >= need for _, reach, need, _ in self.classes]
-        chosen = np.flatnonzero(np.logical_or.reduce(fits)) if fits else maybe[:0]
-        return start[chosen], doc[chosen], [np.flatnonzero(f[chosen]) for f in fits]
-
-    def candidates(self, strings: np.ndarray, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Distinct (text, begin of a window, item), ascending."""
-        start, doc, fits = self.windows(strings, data, at)
-        if not len(start):
+        self.size = np.array([len(t) for t in self.items], np.int64)
+        self.edits = np.array([edits_allowed(len(t)) for t in self.items], np.int64)
+        self.own: list[np.ndarray] = []
+        parts = []  # of each item: first and last strings of its pieces, item, offset, length
+        for i, t in enumerate(self.items):
+            own = grams(np.frombuffer(t, np.uint8))
+            self.own.append(np.unique(own))
+            if len(own):
+                cut = len(t) * np.arange(self.edits[i] + 2) // (self.edits[i] + 1)
+                parts.append((own[cut[:-1]], own[cut[1:] - GRAM], np.full(len(cut) - 1, i), cut[:-1], np.diff(cut)))
+        if not parts:
+            parts = [(np.zeros(0, FIELD), np.zeros(0, FIELD), *[np.zeros(0, np.int64)] * 3)]
+        head, tail, item, offset, length = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(head, kind="stable")
+        self.tail, self.item, self.offset, self.length = tail[order], item[order], offset[order], length[order]
+        self.heads, first = np.unique(head[order], return_index=True)
+        self.first = np.append(first, len(head)).astype(np.int64)
+        bits = max(16, min(26, int(np.ceil(np.log2(64 * len(self.heads) + 1)))))
+        self.shift = FIELD(64 - bits)
+        self.marked = np.zeros(1 << bits, bool)
+        self.marked[self.heads >> self.shift] = True
+
+    def pieces(self, strings: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+        """(text, item, begin of the item by the offset of a piece) in columns, for each piece that a text holds."""
+        place = np.flatnonzero(self.marked[strings >> self.shift])
+        if not len(self.heads) or not len(place):
+            return
+        head = np.minimum(np.searchsorted(self.heads, strings[place]), len(self.heads) - 1)
+        same = self.heads[head] == strings[place]
+        place, head = place[same], head[same]
+        ends = np.cumsum(self.first[head + 1] - self.first[head])
+        done = 0
+        while done < len(place):
+            held = ends[done - 1] if done else 0
+            stop = max(done + 1, int(np.searchsorted(ends, held + HELD_PLACES, "right")))
+            n = self.first[head[done:stop] + 1] - self.first[head[done:stop]]
+            which = np.repeat(np.arange(done, stop), n)
+            entry = self.first[head[which]] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            begin = place[which]
+            doc = np.searchsorted(at, begin, "right") - 1
+            whole = begin + self.length[entry] <= at[doc + 1]
+            begin, doc, entry = begin[whole], doc[whole], entry[whole]
+            alike = strings[begin + self.length[entry] - GRAM] == self.tail[entry]
+            entry = entry[alike]
+            yield np.stack([doc[alike], self.item[entry], begin[alike] - self.offset[entry]])
+            done = stop
+
+    def stretches(self, strings: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, low, high): parts of texts that can hold the item, ascending; those of an item do not overlap."""
+        found = list(self.pieces(strings, at))
+        if not found:
             return
-        stop = at[doc + 1]
-        found = []
-        steps = max((self.classes[c][0] for c, f in enumerate(fits) if len(f)), default=0)
-        for walk in range(WALKS):
-            seen = self.embed(data, start, stop, steps, walk)
-            for c, which in enumerate(fits):
-                if not len(which):
-                    continue
-                for d, draw in enumerate(self.draws[c][walk]):
-                    keys, items = self.keys[c][walk][d]
-                    mine = self.key(seen, draw, which)
-                    low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-                    for w in np.flatnonzero(high > low):
-                        found.append(np.stack([np.full(high[w] - low[w], which[w]), items[low[w] : high[w]]], 1))
-        if found:
-            for w, item in np.unique(np.concatenate(found), axis=0):
-                yield int(doc[w]), int(start[w]), int(item)
+        doc, item, start = np.concatenate(found, 1)
+        if not len(doc):
+            return
+        order = np.lexsort((start, item, doc))
+        doc, item, start = doc[order], item[order], start[order]
+        # Begins of the same text and item in a grid of the item's size are looked at together.
+        cell = start // self.size[item]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(cell) != 0)]))
+        last = start[np.append(new[1:], len(start)) - 1]
+        doc, item, start = doc[new], item[new], start[new]
+        size, edits = self.size[item], self.edits[item]
+        low, high = np.maximum(at[doc], start - edits), np.minimum(at[doc + 1], last + size + edits)
+        need = size - GRAM + 1 - edits * GRAM
+        held: tuple[int, int, int, int] | None = None
+        for d, i, a, b, least in zip(*(x.tolist() for x in (doc, item, low, high, need)), strict=True):
+            own, here = self.own[i], strings[a : max(a, b - GRAM + 1)]
+            if (own[np.minimum(np.searchsorted(own, here), len(own) - 1)] == here).sum() < least:
+                continue
+            if held and held[:2] == (d, i) and a <= held[3]:
+                held = (d, i, held[2], max(b, held[3]))
+            else:
+                if held:
+                    yield held
+                held = (d, i, a, b)
+        if held:
+            yield held
 
     def search(self, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, begin, end, edits) of all matches, places within the text."""
         data = FOLD[data]
-        strings = grams(data)
         out: list[tuple[int, int, int, int, int]] = []
-        passed: dict[tuple[int, int], int] = {}
-        for doc, start, item in self.candidates(strings, data, at):
-            pattern = self.items[item]
-            edits = edits_allowed(len(pattern))
-            if start < passed.get((doc, item), -1):
-                continue
-            low, high = max(int(at[doc]), start - edits), min(int(at[doc + 1]), start + len(pattern) + edits)
-            # Nor can this item be here if too few of its own strings are.
-            own, here = self.own[item], strings[low : max(low, high - GRAM + 1)]
-            if (own[np.minimum(np.searchsorted(own, here), len(own) - 1)] == here).sum() < len(pattern) - GRAM + 1 - edits * GRAM:
-                continue
-            part = data[low:high].tobytes()
-            distance, end = least_edits(pattern, part)
-            if distance <= edits:
-                _, back = least_edits(pattern[::-1], part[:end][::-1])
-                begin = end - back
-                passed[doc, item] = low + end
-                out.append((doc, item, low + begin - int(at[doc]), low + end - int(at[doc]), distance))
+        for doc, item, low, high in self.stretches(grams(data), at):
+            shift = low - int(at[doc])
+            for begin, end, edits in places(self.items[item], data[low:high].tobytes(), int(self.edits[item])):
+                out.append((doc, item, shift + begin, shift + end, edits))
         return out
 
 

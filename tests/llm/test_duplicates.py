@@ -201,3 +201,64 @@ def test_blocks_of_items_find_the_same(spark, monkeypatch, docs):
     assert sorted(map(tuple, decontaminate.matches(docs, bench).collect()), key=str) == one
     assert one and decontaminate.matches(docs, bench.limit(0)).count() == 0
     assert decontaminate.matches(docs.filter(F.lit(False)), bench).count() == 0
+
+
+def found_in(items, texts):
+    """(text, item, begin, end, edits) that the matcher finds in texts given as bytes."""
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    return sorted(tuple(map(int, m)) for m in decontaminate.Matcher(items).search(data, at))
+
+
+def plain_ends(a, b):
+    """The least distance of ``a`` to a part of ``b`` that ends behind each byte."""
+    column, out = list(range(len(a) + 1)), []
+    for y in b:
+        diagonal, column[0] = column[0], 0
+        for i, x in enumerate(a, 1):
+            diagonal, column[i] = column[i], min(column[i] + 1, column[i - 1] + 1, diagonal + (x != y))
+        out.append(column[-1])
+    return out
+
+
+def plain_matches(items, texts):
+    out = []
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            edits, base = decontaminate.edits_allowed(len(item)), 0
+            while len(item) >= decontaminate.GRAM:
+                ends = plain_ends(item, text[base:])
+                first = next((j for j, n in enumerate(ends) if n <= edits), None)
+                if first is None:
+                    break
+                near = ends[first : first + 2 * edits + 1]
+                best = min(near)
+                end = base + first + near.index(best) + 1
+                begin = max(b for b in range(base, end + 1) if plain_ends(item, text[b:end] or b" ")[-1] == best)
+                out.append((d, i, begin, end, best))
+                base = end
+    return sorted(out)
+
+
+def test_all_lengths_are_found_at_the_limit():
+    rng = random.Random(21)
+    for size, n in ((24, 60), (100, 60), (390, 60), (1000, 40), (4000, 20)):
+        items = [prose(7000 + size + i, size).encode()[:size] for i in range(n)]
+        edits = decontaminate.edits_allowed(size)
+        texts = [prose(8000 + i, 20).encode() + b" " + edited(rng, t, edits) + b" " + prose(9000 + i, 20).encode() for i, t in enumerate(items)]
+        hits = {(d, i) for d, i, *_ in found_in(items, texts)}
+        assert {(i, i) for i in range(n)} <= hits, size
+
+
+def test_matches_are_those_of_brute_force():
+    rng = random.Random(22)
+    for letters in (b"ab", b"abcdefgh "):
+        items = [bytes(rng.choice(letters) for _ in range(rng.choice((5, 8, 15, 23, 24, 25, 37, 38, 50, 63, 80)))) for _ in range(14)]
+        texts = []
+        for _ in range(12):
+            parts = []
+            for t in rng.sample(items, 3):
+                parts += [bytes(rng.choice(letters) for _ in range(rng.randint(0, 12))), edited(rng, t, rng.randint(0, decontaminate.edits_allowed(len(t)) + 1))]
+            texts.append(b"".join(parts))
+        texts += [b"", items[3] * 3, items[9][1:] + items[9][:-1], b"a" * 60]
+        items += [b"a" * 24, items[3]]
+        assert found_in(items, texts) == plain_matches(items, texts)

@@ -262,3 +262,21 @@ def test_matches_are_those_of_brute_force():
         texts += [b"", items[3] * 3, items[9][1:] + items[9][:-1], b"a" * 60]
         items += [b"a" * 24, items[3]]
         assert found_in(items, texts) == plain_matches(items, texts)
+
+
+def test_matches_begin_inside_words():
+    rng = random.Random(23)
+    items = [prose(7500 + n, n).encode()[:n] for n in (24, 60, 100, 230, 390)]
+    unspaced = ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n)).encode() for n in (20, 60, 130)]
+    texts, want = [], []
+    for i, item in enumerate(items + unspaced):
+        for before, after in ((b'<p class="question-text">', b"</p>"), (b"label:", b""), (b"x" * 200, b"x" * 200)):
+            want.append((len(texts), i, len(before), len(before) + len(item), 0))
+            texts.append(before + item + after)
+    for i, item in enumerate(unspaced, len(items)):
+        other = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(77)).encode()
+        want.append((len(texts), i, len(other), len(other) + len(item), 0))
+        texts.append(other + item + other)
+        texts.append(other + edited(rng, item, decontaminate.edits_allowed(len(item))) + other)
+        assert any(m[:2] == (1, i) for m in found_in(items + unspaced, texts[-2:]))
+    assert set(want) <= set(found_in(items + unspaced, texts))

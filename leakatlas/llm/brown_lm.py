@@ -5,17 +5,22 @@ log10 P(class | class before) + log10 P(word | class). Classes come from
 exchange clustering: a word moves to the class that raises the likelihood of
 the class bigrams most. The rounds are synchronous: Spark sums, for each word,
 how often each class stands before and after it, over the bigrams of all
-training texts; the moves are decided on these sums, in each round for one half
+training texts; the moves are decided on these sums, in each round for a part
 of the words, as moves of neighbours at the same time could undo each other.
 
-The CLASSED most frequent words are clustered. Beginning and end of a text are
-one class, all other words share the rest class, in which each has its own count
+Every word that occurs LEAST times and more is clustered. The SEEDED most frequent
+are clustered first, on the driver, the others as part of the rest; then all
+others join the class that suits them best and all words move, in tasks, against
+the table of class bigrams. A turn that lowers the likelihood is taken back and the
+next ones take half as many words. It ends when a pass over all words moves less
+than FEW of them, or after 2 ROUNDS turns. Beginning and end of a text are one
+class, rarer words share the rest class, in which each has its own count
 and unseen words share one more; so every text has a probability above 0.
 Transitions are smoothed by DELTA.
 
 Counts cover all words of all training texts. Tasks hold the counts of the LOOKUP
-most frequent words (12 bytes each); all other words of a text are counted by a
-join, once per text and word. Words are known by 64-bit fingerprints.
+most frequent words, and of all clustered ones if these are more (about 25 bytes
+each); all other words of a text are counted by a join, once per text and word. Words are known by 64-bit fingerprints.
 
 Null and empty texts are the end token alone. A null id is part of training.
 Repeated rows count each time. Without training texts every word is unseen.
@@ -33,11 +38,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from leakatlas.llm.shared import stored
 from leakatlas.llm.text import FIELD, Fingerprints, byte_values, chunks, utf8, words
 
-CLASSED = 4096
+LEAST = 5
+SEEDED = 4096
 CLASSES = 64
 LOOKUP = 1 << 19
 ROUNDS = 8
+FEW = 0.01
+SPREAD = 64  # tasks over which the neighbours of each seeded word are dealt
 DELTA = 0.5
+HELD_ROWS, HELD_SUMS = 1 << 17, 1 << 14  # bigrams, and sums of words, that a task works on together
 HELD_TOKENS = 1 << 21  # counted in a task before it hands on
 END, REST = 0, 1  # class numbers, and numbers of these two symbols
 
@@ -161,6 +170,148 @@ def exchange(classes: np.ndarray, before: np.ndarray, after: np.ndarray, own: np
     return classes
 
 
+def move_gains(classes: np.ndarray, before: np.ndarray, after: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Words x classes: the likelihood with each word alone in another class, up to a constant for each word.
+
+    ``before`` and ``after``: words x classes, sums of neighbours, a word's own among them.
+    """
+    number = np.arange(len(classes))
+    left, right = before.astype(np.float64), after.astype(np.float64)
+    left[number, classes] -= own
+    right[number, classes] -= own
+    gain = np.zeros(left.shape)
+    # Cells of the row, then of the column, that the word adds to: only those of its neighbours' classes change.
+    for mine, other, cells in ((right, left, table.T), (left, right, table)):
+        word, c = np.nonzero(mine)
+        if not len(word):
+            continue
+        n, home = mine[word, c], classes[word]
+        rest = cells[c].astype(np.float64)
+        rest[np.arange(len(word)), home] -= n
+        inside = np.flatnonzero(c == home)
+        rest[inside] -= other[word[inside]]
+        rest[inside, home[inside]] -= own[word[inside]]
+        rest = np.maximum(rest, 0)
+        added = _plogp(rest + n[:, None]) - _plogp(rest)
+        added[np.arange(len(word)), c] = 0
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        gain[word[first]] += np.add.reduceat(added, first)
+    diagonal = np.tile(np.diagonal(table).astype(np.float64), (len(classes), 1))
+    diagonal[number, classes] -= right[number, classes] + left[number, classes] + own
+    diagonal = np.maximum(diagonal, 0)
+    gain += _plogp(diagonal + right + left + own[:, None]) - _plogp(diagonal)
+    for mine, totals in ((right, table.sum(1)), (left, table.sum(0))):
+        n = mine.sum(1) + own
+        rest = np.tile(totals.astype(np.float64), (len(classes), 1))
+        rest[number, classes] -= n
+        gain -= _plogp(rest + n[:, None]) - _plogp(rest)
+    return gain
+
+
+def _best_moves(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], classes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that move and their new classes; ``rows``: word, slot and sum, all of a word."""
+    w, slot, n = (np.concatenate(x) for x in zip(*rows, strict=True))
+    n_classes = len(table)
+    names, place = np.unique(w, return_inverse=True)
+    width = 2 * n_classes + 1
+    sums = np.bincount(place * width + slot, n, len(names) * width).reshape(-1, width)
+    now = classes[names].astype(np.int64)
+    gain = move_gains(now, sums[:, :n_classes], sums[:, n_classes : 2 * n_classes], sums[:, -1], table)
+    gain[:, END] = -np.inf
+    gain[:, REST] = -np.inf  # a word in the rest joins a class in any case
+    best = gain.argmax(1)
+    at = np.arange(len(names))
+    moves = (best != now) & (gain[at, best] > gain[at, now] + 1e-9)
+    return names[moves], best[moves]
+
+
+class Neighbours:
+    """(w, side, other, n): how often symbol ``other`` stands after (side 1) or before (0) ``w``."""
+
+    def __init__(self, rows: DataFrame, n_classes: int):
+        self.rows, self.n_classes = rows, n_classes
+        self.context = rows.sparkSession.sparkContext
+
+    def sums(self, classes: np.ndarray, chosen: str) -> DataFrame:
+        """(w, slot, n) over the classes of neighbours, in parts: before, after, and last the word itself after itself."""
+        shipped, n_classes = self.context.broadcast(classes.astype(np.uint16)), self.n_classes
+        width = 2 * n_classes + 1
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now = shipped.value
+
+            def out(parts, weights):
+                b = _summed(parts, weights)
+                key = b.column("key").to_numpy()
+                return pa.RecordBatch.from_arrays([pa.array(key // width), pa.array((key % width).astype(np.int32)), b.column("n")], names=["w", "slot", "n"])
+
+            parts, weights, held = [], [], 0
+            for b in batches:
+                w, side, other, n = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("w", "side", "other", "n"))
+                twice = np.flatnonzero((w == other) & (side == 1))
+                parts += [w * width + side * n_classes + now[other], w[twice] * width + width - 1]
+                weights += [n, n[twice]]
+                held += len(w)
+                if held > HELD_ROWS:
+                    yield out(parts, weights)
+                    parts, weights, held = [], [], 0
+            if parts:
+                yield out(parts, weights)
+
+        return self.rows.filter(chosen).select("w", "side", "other", "n").mapInArrow(run, "w long, slot int, n long")
+
+    def table(self, classes: np.ndarray) -> np.ndarray:
+        """Class bigrams."""
+        shipped, n_classes = self.context.broadcast(classes.astype(np.uint16)), self.n_classes
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held = shipped.value, np.zeros(n_classes * n_classes)
+            for b in batches:
+                w, other, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("w", "other", "n"))
+                held += np.bincount(now[w].astype(np.int64) * n_classes + now[other], n, len(held))
+            at = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at].astype(np.int64))], names=["key", "n"])
+
+        got = self.rows.filter("side = 1").select("w", "other", "n").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(n_classes * n_classes)
+        out[got["key"].to_numpy()] = got["n"].to_numpy()
+        shipped.destroy()
+        return out.reshape(n_classes, n_classes)
+
+    def moves(self, classes: np.ndarray, table: np.ndarray, chosen: str) -> tuple[np.ndarray, np.ndarray]:
+        """Words of ``chosen`` that another class suits better, and these classes."""
+        shipped = self.context.broadcast((classes.astype(np.uint16), table))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, cells = shipped.value
+            rows, held = [], 0
+
+            def out():
+                w, c = _best_moves(rows, now, cells)
+                return pa.RecordBatch.from_arrays([pa.array(w), pa.array(c.astype(np.int32))], names=["w", "class"])
+
+            for b in batches:
+                columns = tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("w", "slot", "n"))
+                if not len(columns[0]):
+                    continue
+                rows.append(columns)
+                held += len(columns[0])
+                if held > HELD_SUMS:
+                    # The rows of the last word may go on in the next batch.
+                    cut = int(np.searchsorted(columns[0], columns[0][-1]))
+                    if cut:
+                        tail = tuple(c[cut:] for c in columns)
+                        rows[-1] = tuple(c[:cut] for c in columns)
+                        yield out()
+                        rows, held = [tail], len(tail[0])
+            if rows:
+                yield out()
+
+        got = self.sums(classes, chosen).repartition("w").sortWithinPartitions("w").mapInArrow(run, "w long, class int").toArrow()
+        shipped.destroy()
+        return got["w"].to_numpy(), got["class"].to_numpy()
+
+
 @dataclass
 class Model:
     lookup: Lookup
@@ -172,19 +323,58 @@ class Model:
     types: int
 
 
-def train(texts: DataFrame, classed: int = CLASSED, n_classes: int = CLASSES, lookup_words: int = LOOKUP, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model of the column ``text``, and the counts (key, n) of all its words."""
+def settled(neighbours: Neighbours, classes: np.ndarray, table: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes, and their bigrams, after all words of the rest have joined a class and few words still move."""
+    parts = 2
+    for turn in range(parts):
+        outside = classes == REST
+        outside[REST] = False
+        if not outside.any():
+            break
+        w, c = neighbours.moves(classes, table, f"w >= {SEEDED + 2} and w % {parts} = {turn}")
+        classes[w] = c
+        table = neighbours.table(classes)
+    value, part, moved, turns = likelihood(table), 0, 0, 2 * rounds
+    while turns > 0:
+        turns -= 1
+        w, c = neighbours.moves(classes, table, f"w > {REST} and w % {parts} = {part}")
+        trial = classes.copy()
+        trial[w] = c
+        cells = neighbours.table(trial)
+        if likelihood(cells) < value:
+            parts, part, moved = 2 * parts, 0, 0
+            continue
+        classes, table, value = trial, cells, likelihood(cells)
+        moved += len(w)
+        part += 1
+        if part == parts:
+            if moved < FEW * (len(classes) - 2):
+                break
+            part = moved = 0
+    return classes, table
+
+
+def train(texts: DataFrame, classed: int | None = None, n_classes: int = CLASSES, lookup_words: int = LOOKUP, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """The model of the column ``text``, and the counts (key, n) of all its words.
+
+    ``classed`` clusters up to so many words only, of those that tasks hold.
+    """
     counts = stored(_counted(texts, lambda data, at: word_keys(data, at)[0]), "brown-words")
     n_types, n_words = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     n_texts = texts.count()
     keys, n = most_frequent(counts, lookup_words)
+    if classed is None and (n >= LEAST).sum() < counts.filter(F.col("n") >= LEAST).count():
+        top = counts.filter(F.col("n") >= LEAST).toArrow()
+        keys, n = top["key"].to_numpy(), top["n"].to_numpy()
     order = np.argsort(keys)
     keys, n = keys[order], n[order]
     rank = np.argsort(-n, kind="stable")
-    # As many as are allowed, but words of equal count stand or fall together.
-    limit = min(classed, len(rank))
-    if 0 < limit < len(rank):
-        limit = int((n > n[rank[limit]]).sum())
+    if classed is None:
+        limit = int((n >= LEAST).sum())
+    else:  # words of equal count stand or fall together
+        limit = min(classed, len(rank))
+        if 0 < limit < len(rank):
+            limit = int((n > n[rank[limit]]).sum())
     symbols = np.full(len(keys), REST, np.int64)
     symbols[rank[:limit]] = np.arange(limit) + 2
     lookup = Lookup(keys, n, symbols, limit + 2)
@@ -198,34 +388,30 @@ def train(texts: DataFrame, classed: int = CLASSED, n_classes: int = CLASSES, lo
     size = lookup.n_symbols
     bigrams = _counted(texts, pairs).select(F.expr(f"int(key div {size})").alias("i"), F.expr(f"int(key % {size})").alias("j"), "n")
     sides = F.explode(F.array(F.struct(F.col("i").alias("w"), F.lit(1).alias("side"), F.col("j").alias("other")), F.struct(F.col("j").alias("w"), F.lit(0).alias("side"), F.col("i").alias("other"))))
-    neighbours = stored(bigrams.select(sides.alias("s"), "n").select("s.*", "n").repartition("w"), "brown-neighbours")
-    own = np.zeros(size, np.float64)
-    for row in neighbours.filter("w = other and side = 1").select("w", "n").toArrow().to_pylist():
-        own[row["w"]] = row["n"]
-    # To begin with, words of like frequency are dealt over all classes in turn.
-    classes = np.concatenate([[END, REST], 2 + np.arange(limit) % max(1, n_classes - 2)]).astype(np.int64)
-
-    def sums(now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = np.zeros(2 * size * n_classes)
-            for b in batches:
-                w, side, other, n = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("w", "side", "other", "n"))
-                held += np.bincount((w * 2 + side) * n_classes + now[other], n, len(held))
-            at = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at].astype(np.int64))], names=["key", "n"])
-
-        got = neighbours.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-        table = np.zeros(2 * size * n_classes)
-        table[got["key"].to_numpy()] = got["n"].to_numpy()
-        table = table.reshape(size, 2, n_classes)
-        return table[:, 0], table[:, 1]
-
+    # Symbols are numbered by frequency: the first ones have neighbours enough for many tasks.
+    seeded = min(size, SEEDED + 2)
+    dealt = F.when(F.col("w") < seeded, F.pmod(F.xxhash64("other"), F.lit(SPREAD))).otherwise(0)
+    rows = bigrams.select(sides.alias("s"), "n").select("s.*", "n").repartition("w", dealt).sortWithinPartitions("w", "side")
+    neighbours = Neighbours(stored(rows, "brown-neighbours"), n_classes)
+    # To begin with, seeded words of like frequency are dealt over all classes in turn, the others are in the rest.
+    classes = np.full(size, REST, np.int64)
+    classes[END] = END
+    classes[2:seeded] = 2 + np.arange(seeded - 2) % max(1, n_classes - 2)
+
+    seeds = neighbours
+    if size > seeded:
+        folded = (F.when(F.col(c) < seeded, F.col(c)).otherwise(REST).alias(c) for c in ("w", "other"))
+        few = neighbours.rows.select(*folded, "side", "n").groupBy("w", "side", "other").agg(F.sum("n").alias("n"))
+        seeds = Neighbours(stored(few.repartition("w"), "brown-seeds"), n_classes)
     for turn in range(rounds):
-        before, after = sums(classes)
-        classes = exchange(classes, before, after, own, np.arange(2 + turn % 2, size, 2), n_classes)
-    _, after = sums(classes)
-    table = np.zeros((n_classes, n_classes))
-    np.add.at(table, classes, after)
+        got = seeds.sums(classes, "true").groupBy("w", "slot").agg(F.sum("n").alias("n")).toArrow()
+        sums = np.zeros((seeded, 2 * n_classes + 1))
+        sums[got["w"].to_numpy(), got["slot"].to_numpy()] = got["n"].to_numpy()
+        before, after = sums[:, :n_classes], sums[:, n_classes:-1]
+        classes[:seeded] = exchange(classes[:seeded], before, after, sums[:, -1], np.arange(2 + turn % 2, seeded, 2), n_classes)
+    table = neighbours.table(classes)
+    if size > seeded:
+        classes, table = settled(neighbours, classes, table, rounds)
     transition = np.log10((table + DELTA) / (table.sum(1, keepdims=True) + DELTA * n_classes))
     class_totals = np.bincount(classes[symbols], n, n_classes)
     class_totals[REST] = n_words - class_totals[2:].sum()

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -185,3 +186,38 @@ def test_exchange_raises_the_likelihood():
         values.append(brown_lm.likelihood(np.eye(n_classes)[classes].T @ after))
         classes = brown_lm.exchange(classes, before, after, np.diag(bigrams), np.arange(2 + turn % 2, size, 2), n_classes)
     assert values[-1] > values[0]
+
+
+def test_gains_are_differences_of_the_likelihood():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    size, n_classes = 30, 6
+    bigrams = rng.integers(0, 5, (size, size)) * (rng.random((size, size)) < 0.3)
+    classes = np.concatenate([[0, 1], rng.integers(1, n_classes, size - 2)])
+    one = np.eye(n_classes)[classes]
+    gains = brown_lm.move_gains(classes, bigrams.T @ one, bigrams @ one, np.diag(bigrams), one.T @ bigrams @ one)
+    for w in range(2, size):
+        values = []
+        for c in range(n_classes):
+            moved = np.eye(n_classes)[np.where(np.arange(size) == w, c, classes)]
+            values.append(brown_lm.likelihood(moved.T @ bigrams @ moved))
+        assert gains[w] - gains[w, classes[w]] == pytest.approx(np.array(values) - values[classes[w]])
+
+
+def test_every_word_above_the_least_count_is_clustered(spark, monkeypatch):
+    """Also those beyond the seeded ones and the tasks' own counts; words of two kinds follow each other in turn."""
+    monkeypatch.setattr(brown_lm, "SEEDED", 20)
+    rng = random.Random(9)
+    kinds = [[f"{k}{i}" for i in range(150)] for k in "ab"]
+    texts = [" ".join(rng.choice(kinds[i % 2]) for i in range(40)) for _ in range(250)] + ["rare words here"]
+    model, counts = brown_lm.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4), n_classes=4, lookup_words=50)
+    often = {r.key for r in counts.filter(f"n >= {brown_lm.LEAST}").collect()}
+    own = model.classes[model.lookup.symbols]
+    assert len(often) > 290 and set(model.lookup.words[own > brown_lm.REST].tolist()) == often
+    # Words of a kind end up in one class.
+    data = np.frombuffer(" ".join(w for k in kinds for w in k).encode(), np.uint8)
+    keys, _ = brown_lm.word_keys(data, np.array([0, len(data)]))
+    at, found = model.lookup.find(keys)
+    of_kind = [collections.Counter(own[at[part]][found[part]].tolist()).most_common(1)[0] for part in (slice(0, 150), slice(150, 300))]
+    assert of_kind[0][0] != of_kind[1][0] and min(n for _, n in of_kind) > 140

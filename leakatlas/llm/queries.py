@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leakatlas.llm import bpe, brown_lm, decontaminate, minmax_dedup, quality, sharding, suffix_dedup, toxicity, url_filter, warc
+from leakatlas.llm import bpe, brown_lm, centroids, decontaminate, minmax_dedup, quality, sharding, suffix_dedup, toxicity, url_filter, warc
 from leakatlas.llm.registry import query, table
 from leakatlas.llm.shared import shared_folder, stored
 
@@ -130,3 +130,33 @@ def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of documents that match a benchmark item."""
     return decontaminate.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+CLUSTERS, ROUNDS, DIMS = 40, 5, 64
+
+
+def _cluster_sql() -> str:
+    """The rounds one after another, each by comparing every vector with every centroid."""
+    parts = [
+        f"""kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {DIMS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {DIMS})""",
+        f"""c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR))) - 1 AS INTEGER) AS cluster, v AS c FROM kept
+  WHERE vec_id IS NOT NULL ORDER BY 1 LIMIT {CLUSTERS})""",
+    ]
+    for i in range(ROUNDS + 1):
+        parts.append(f"""far{i} AS (SELECT vec_id, v, cluster, CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance FROM kept, c{i})""")
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, v, cluster, distance FROM far{i} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1)""")
+        if i < ROUNDS:
+            parts.append(f"""sums{i} AS (SELECT cluster, dim, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range({DIMS})) AS dim FROM a{i}) GROUP BY ALL)""")
+            parts.append(f"""m{i} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY dim) AS c FROM sums{i} GROUP BY cluster)""")
+            parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{ROUNDS} JOIN c{ROUNDS} USING (cluster)"""
+
+
+@query("op12_centroid_clustering", _cluster_sql())
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The centroid of every vector after five rounds."""
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"), k=CLUSTERS, rounds=ROUNDS, dims=DIMS)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leakatlas.llm import bpe, brown_lm, centroids, decontaminate, minmax_dedup, quality, sharding, suffix_dedup, toxicity, url_filter, warc
+from leakatlas.llm import bpe, brown_lm, centroids, decontaminate, merkle, minmax_dedup, quality, sharding, suffix_dedup, toxicity, url_filter, warc
 from leakatlas.llm.registry import query, table
 from leakatlas.llm.shared import shared_folder, stored
 
@@ -160,3 +160,44 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The centroid of every vector after five rounds."""
     found = centroids.cluster(table(spark, sf_dir, "embeddings"), k=CLUSTERS, rounds=ROUNDS, dims=DIMS)
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
+
+
+def _manifest_sql(levels: int = 6) -> str:
+    """The manifest by numbering and sorting; ``levels`` of runs are more than the test tables need."""
+    crc = "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1))))"
+    written = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(written(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    folded = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"""d AS MATERIALIZED (SELECT doc_id, coalesce('+' || source, '') AS tree, {leaf('text')} AS node, CASE WHEN xor({crc}, 4294967295) % 5 = 0 THEN {leaf(folded)} ELSE {leaf('text')} END AS f0 FROM documents)""",
+        "n0 AS MATERIALIZED (SELECT tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST) - 1 AS pos, node FROM d)",
+        "w0 AS MATERIALIZED (SELECT doc_id, tree, node AS leaf, f0 AS fold, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST) - 1 AS pos, '' AS proof FROM d)",
+    ]
+
+    def climb(p: str) -> None:
+        for i in range(levels):
+            parts.append(f"{p}c{i} AS (SELECT tree, count(*) AS n FROM {p}n{i} GROUP BY tree)")
+            parts.append(f"{p}r{i} AS MATERIALIZED (SELECT tree, pos // 16 AS pos, list(node ORDER BY pos) AS s, any_value(n) AS n FROM {p}n{i} JOIN {p}c{i} USING (tree) GROUP BY tree, pos // 16)")
+            parts.append(f"{p}n{i + 1} AS MATERIALIZED (SELECT tree, pos, CASE WHEN n = 1 THEN s[1] ELSE sha256(array_to_string(s, '')) END AS node FROM {p}r{i})")
+            left, right = "array_to_string(s[1:w.pos % 16], '')", "array_to_string(s[w.pos % 16 + 2:], '')"
+            parts.append(
+                f"""{p}w{i + 1} AS MATERIALIZED (SELECT doc_id, w.tree, leaf, w.pos // 16 AS pos, CASE WHEN n = 1 THEN fold ELSE sha256({left} || fold || {right}) END AS fold,
+  CASE WHEN n = 1 THEN proof ELSE proof || {left} || {right} END AS proof{', sub' if p else ''} FROM {p}w{i} w JOIN {p}r{i} r ON r.tree = w.tree AND r.pos = w.pos // 16)"""
+            )
+
+    climb("")
+    parts.append(f"un0 AS MATERIALIZED (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, node, tree AS src FROM n{levels})")
+    parts.append(f"uw0 AS MATERIALIZED (SELECT doc_id, '' AS tree, leaf, u.pos AS pos, fold, proof, u.node AS sub FROM w{levels} w JOIN un0 u ON u.src = w.tree)")
+    climb("u")
+    return f"""WITH {", ".join(parts)}
+SELECT doc_id, leaf, sub AS subroot, node AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = node AS verified FROM uw{levels} CROSS JOIN un{levels}"""
+
+
+@query("op13_merkle_manifest", _manifest_sql())
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the manifest, and what a reader finds where A-Z of every fifth text by hash became a-z."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    columns = ["doc_id", "source", "lang", "n_chars"]
+    found = [*[F.col(c) for c in columns], F.translate("text", upper, upper.lower())]
+    made = merkle.manifest(table(spark, sf_dir, "documents"), "doc_id", "source", [*columns, "text"], found, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    return made.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"), "folded_root", "verified")

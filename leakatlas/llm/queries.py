@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leakatlas.llm import bpe, brown_lm, centroids, decontaminate, merkle, minmax_dedup, quality, sharding, suffix_dedup, toxicity, url_filter, warc
+from leakatlas.llm import bpe, brown_lm, centroids, decontaminate, merkle, minmax_dedup, pii, quality, sharding, suffix_dedup, toxicity, url_filter, warc
 from leakatlas.llm.registry import query, table
 from leakatlas.llm.shared import shared_folder, stored
 
@@ -201,3 +201,11 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = [*[F.col(c) for c in columns], F.translate("text", upper, upper.lower())]
     made = merkle.manifest(table(spark, sf_dir, "documents"), "doc_id", "source", [*columns, "text"], found, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
     return made.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query("op11_pii")
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and a digest of the base matches of every document, and all spans."""
+    found = pii.find_identifiers(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.of_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))

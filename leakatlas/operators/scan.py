@@ -103,6 +103,15 @@ def _candidate_rules(text: str, rules: Sequence[Rule], prefilter: bool) -> str:
     everything = f"sequence(0, {len(rules) - 1})"
     if not prefilter:
         return everything
+    always = [i for i, r in enumerate(rules) if not r.anchors]
+    if always and len(always) < len(rules):
+        # Rules that nothing rules out don't drag the others along.
+        some = _may_match(text, [r for r in rules if r.anchors])
+        return f"CASE WHEN {some} THEN {_anchored_rules(text, rules, everything)} ELSE array({', '.join(map(str, always))}) END"
+    return _anchored_rules(text, rules, everything)
+
+
+def _anchored_rules(text: str, rules: Sequence[Rule], everything: str) -> str:
 
     def array(parts: Iterable[str]) -> str:
         return "array(" + ", ".join(parts) + ")"

@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import schemas
+from .patterns import derive_anchors, group_count, tokens
 
 MAX_RULES = 2_000  # default bound of a rule file, which is configuration
 
@@ -233,12 +235,6 @@ def shipped_rules() -> list[Rule]:
 # --- user rules -----------------------------------------------------------
 
 
-def _group_count(pattern: str) -> int:
-    bare = re.sub(r"\\.", "", pattern)
-    bare = re.sub(r"\[\^?\]?[^\]]*\]", "", bare)
-    return len(re.findall(r"\((?!\?)|\(\?P?<(?![=!])", bare))
-
-
 def translate_pattern(pattern: str) -> str:
     """Turn a rule file pattern into the Java dialect, or reject it.
 
@@ -246,19 +242,20 @@ def translate_pattern(pattern: str) -> str:
     operators mean something else than in Java; silently running them would
     change the findings.
     """
-    for flags in re.findall(r"\(\?([a-zA-Z-]+)[:)]", pattern):
-        if "U" in flags:
+    out, lead = [], ""
+    for i, t in enumerate(tokens(pattern)):
+        text = t.text
+        if t.kind in ("flags", "open") and "U" in t.flags:
             raise ValueError(f"rule pattern uses the U flag, which Java reads differently: {pattern!r}")
-    for cls in re.findall(r"\[(?:\\.|[^\]\\])*\]", pattern):
-        if "&&" in cls or "~~" in cls or re.search(r"[^\\\[^]--", cls):
+        if text.startswith("[") and ("&&" in text or "~~" in text or re.search(r"[^\\\[^]--", text)):
             raise ValueError(f"rule pattern uses a class set operation: {pattern!r}")
-    body = pattern.replace("(?P<", "(?<")
-    head = re.match(r"\(\?([a-z]+)\)", body)
-    flags, body = (head.group(1), body[head.end() :]) if head else ("", body)
-    # Only a line feed ends a line, and "$" is the very end unless lines are asked for.
-    if "m" not in flags and not re.search(r"\(\?[a-z]*m", body):
-        body = re.sub(r"(\\.|\[\^?\]?(?:\\.|[^\]\\])*\])|\$", lambda m: m.group(1) or r"\z", body, flags=re.S)
-    return f"(?{flags}dU){body}"
+        if i == 0 and t.kind == "flags" and "-" not in text:
+            lead, text = text[2:-1], ""
+        elif t.kind == "empty" and text == "$" and "m" not in t.flags:
+            # Only a line feed ends a line, and "$" is the very end unless lines are asked for.
+            text = r"\z"
+        out.append(text.replace("(?P<", "(?<", 1) if t.kind == "open" else text)
+    return f"(?{lead}dU){''.join(out)}"
 
 
 def make_rule(
@@ -267,10 +264,11 @@ def make_rule(
     secret_type: str,
     description: str | None = None,
     disabled: bool = False,
-    anchors: Anchors = (),
+    anchors: Anchors | None = None,
 ) -> Rule:
-    """Rule from user configuration; without anchors it skips the prefilter."""
-    groups = _group_count(pattern)
+    """Rule from user configuration; anchors that are not given are derived from the pattern."""
+    groups = group_count(pattern)
+    anchors = derive_anchors(pattern) if anchors is None else anchors
     return Rule(
         rule_id=rule_id,
         pattern=pattern,
@@ -285,12 +283,39 @@ def make_rule(
     )
 
 
+def _roots(clause: tuple[str, ...]) -> set[str]:
+    """Parts of three characters and more that all literals of a set have in common."""
+    first = min(clause, key=len)
+    parts = {first[i:j] for i in range(len(first)) for j in range(i + 3, len(first) + 1)}
+    return {p for p in parts if all(p in other for other in clause)}
+
+
+def shared_first(rules: Sequence[Rule], of: Iterable[int]) -> list[Rule]:
+    """``rules`` with the anchors of those at positions ``of`` arranged to share tests.
+
+    Sets that most rules name come first, and a word that the literals of several
+    rules have in common ("key", say) becomes a set of its own: text without an
+    assignment, or without that word, is ruled out for all of them at once.
+    """
+    out = list(rules)
+    roots = [set().union(*map(_roots, r.anchors)) for r in rules]
+    words = Counter(w for ws in roots for w in ws)
+    for i in of:
+        word = max(roots[i], key=lambda w: (words[w], len(w), w), default=None)
+        if word is not None and words[word] > 1 and (word,) not in out[i].anchors:
+            out[i] = replace(out[i], anchors=((word,), *out[i].anchors))
+    uses = Counter(clause for r in out for clause in r.anchors)
+    for i in of:
+        out[i] = replace(out[i], anchors=tuple(sorted(out[i].anchors, key=lambda c: -uses[c])))
+    return out
+
+
 def _from_records(records: Iterable[dict], max_rules: int = MAX_RULES) -> list[Rule]:
     records = list(records)
     if len(records) > max_rules:
         raise ValueError(f"{len(records)} rules; a rule table may hold {max_rules}")
     by_pattern = {r.pattern: r for r in shipped_rules()}
-    out = []
+    out, derived = [], []
     for i, rec in enumerate(records):
         if rec.get("pattern") is None or rec.get("secret_type") is None:
             raise ValueError(f"rule {i} lacks pattern or secret_type")
@@ -306,6 +331,8 @@ def _from_records(records: Iterable[dict], max_rules: int = MAX_RULES) -> list[R
                 )
             )
         else:
+            if not rec.get("anchors"):
+                derived.append(i)
             out.append(
                 make_rule(
                     i,
@@ -313,10 +340,10 @@ def _from_records(records: Iterable[dict], max_rules: int = MAX_RULES) -> list[R
                     rec["secret_type"],
                     rec.get("description"),
                     bool(rec.get("disabled")),
-                    tuple(tuple(a) for a in rec.get("anchors") or ()),
+                    tuple(tuple(a) for a in rec["anchors"]) if rec.get("anchors") else None,
                 )
             )
-    return out
+    return shared_first(out, derived)
 
 
 def rules_from_json(text: str) -> list[Rule]:

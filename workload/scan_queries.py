@@ -203,6 +203,30 @@ def src_rules(spark, sf_dir):
     )
 
 
+PLAIN_RULES = os.path.join(os.path.dirname(__file__), "plain_rules.json")
+
+
+def _plain_values() -> str:
+    with open(PLAIN_RULES, encoding="utf-8") as f:
+        return ", ".join(f"({i}, {quote(r['pattern'])}, {quote(r['secret_type'])})" for i, r in enumerate(json.load(f)))
+
+
+@query(
+    "src_rules_derived",
+    f"WITH r(rule_id, pattern, secret_type) AS (VALUES {_plain_values()}), doc_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), "
+    "hits AS (SELECT rule_id, doc_id, CAST(len(regexp_extract_all(line, pattern)) AS BIGINT) AS n FROM doc_lines, r WHERE regexp_matches(line, pattern)) "
+    "SELECT rule_id, secret_type, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_hits, count(DISTINCT doc_id) AS n_documents FROM r LEFT JOIN hits USING (rule_id) GROUP BY ALL",
+)
+def src_rules_derived(spark, sf_dir):
+    """Hits of a rule file that names no anchors; one of its rules has no literal to be tested for."""
+    rules = load_rules(spark, "file://" + PLAIN_RULES)
+    found = scan.scan_secrets(docs(spark, sf_dir), rules, include_disabled=True, resolve="all")
+    counts = found.groupBy("rule_id").agg(F.count("*").alias("n"), F.countDistinct("path").alias("d"))
+    return rules_table(spark, rules).join(counts, "rule_id", "left").select(
+        "rule_id", "secret_type", F.coalesce("n", F.lit(0)).alias("n_hits"), F.coalesce("d", F.lit(0)).alias("n_documents")
+    )
+
+
 def _redact_sql(source: str, key: str) -> str:
     out = "text"
     for r in shipped_rules():

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.domains import all_urls, check_domain, mentions_domain, strip_scheme
 from ..functions.urls import ext_allowed, file_extension
+from ..sources.layout import Layout
 from ..sources.payloads import decode_content
 from .ranking import top_n_per_key
 from .records import with_header
@@ -18,6 +19,12 @@ INTERESTING_EXT = (
 )
 DROPPED_EXT = (".html", ".csv", ".md")
 
+# A blob with more paths than HOT_FILES, and than a HOT_PARTS-th of all, is joined apart.
+HOT_FILES = 100_000
+HOT_PARTS = 1_000
+HOT_BYTES = 64 << 20
+HOT_COPIES = 64
+
 
 def search_ext(exts: Iterable[str] | None) -> list[str]:
     """Extension qualifiers of a search: no leading dots, lower case, no empties."""
@@ -112,6 +119,38 @@ def join_tree_blobs(tree: DataFrame, blobs: DataFrame) -> DataFrame:
     )
 
 
+def join_tree_layout(tree: DataFrame | Layout, blobs: Layout) -> DataFrame:
+    """:func:`join_tree_blobs` over blobs laid out by sha: they are read in their buckets and not moved.
+
+    Only the narrow tree rows are dealt out, and not even these if the tree is a
+    layout of as many buckets. A blob that very many paths hold, an empty file,
+    say, would make one bucket of tree rows huge: such rows stay where they are
+    and the blob comes to them. There are fewer than ``HOT_PARTS`` such blobs; they
+    are broadcast if their contents are small, else copied for parts of the rows.
+    """
+    laid_out = isinstance(tree, Layout) and (tree.key, tree.buckets) == (blobs.key, blobs.buckets)
+    rows = tree.table if isinstance(tree, Layout) else tree
+    sizes = rows.filter("sha IS NOT NULL").groupBy("sha").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = [r.sha for r in sizes.filter(F.col("n") > max(HOT_FILES, total // HOT_PARTS)).select("sha").collect()]
+    is_hot = F.coalesce(F.col("sha").isin(hot), F.lit(False))
+
+    cold = rows.filter(~is_hot) if hot else rows
+    needed = decode_content(blobs.matching(cold))  # what no row needs is not decoded
+    joined = (cold if laid_out else blobs.aligned(cold)).hint("merge").join(needed, "sha", "left")
+    if hot:
+        rows = rows.filter(is_hot)
+        wanted = blobs.table.filter(F.col("sha").isin(hot))
+        if (wanted.agg(F.sum(F.octet_length("content"))).first()[0] or 0) <= HOT_BYTES:
+            shared = rows.join(F.broadcast(decode_content(wanted)), "sha", "left")
+        else:
+            part = F.pmod(F.xxhash64(*rows.columns), F.lit(HOT_COPIES)).cast("int")
+            copies = decode_content(wanted).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(HOT_COPIES - 1))))
+            shared = rows.withColumn("_part", part).hint("merge").join(copies, ["sha", "_part"], "left").drop("_part")
+        joined = joined.unionByName(shared)
+    return joined.withColumn("decode_status", F.coalesce("decode_status", F.lit("missing_blob")))
+
+
 def subdomain_inventory(
     files: DataFrame,
     domain: str,

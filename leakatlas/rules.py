@@ -10,6 +10,7 @@ kept in ``NOTICE``.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections import Counter
@@ -367,6 +368,12 @@ def enabled(rules: Sequence[Rule] | None = None, include_disabled: bool = False)
     return [r for r in rules if include_disabled or not r.disabled]
 
 
+def rules_version(rules: Sequence[Rule] | None = None) -> str:
+    """A name that changes whenever an enabled rule, its type or the order of rules does."""
+    facts = [(r.pattern, r.secret_type) for r in enabled(rules)]
+    return hashlib.sha256(json.dumps(facts).encode()).hexdigest()[:16]
+
+
 def rules_table(spark: SparkSession, rules: Sequence[Rule] | None = None) -> DataFrame:
     """The rule table as a DataFrame: ``rule_id`` is the position in the file."""
     rows = [

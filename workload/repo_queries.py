@@ -10,9 +10,12 @@ from leakatlas.operators import eligibility, health, paths, repos
 from leakatlas.operators.ranking import running_totals
 from leakatlas.plans.modes import list_mode, search_front
 from leakatlas.sources import payloads
+from leakatlas.sources.layout import Layout
+from leakatlas.sources.ledger import Ledger
 from leakatlas.sources.sinks import to_json_lines
 from leakatlas.sources.tables import read_table
 
+from .folders import new_folder
 from .inputs import cte, relation, spread
 from .registry import query
 from .scan_queries import KEEP_SQL, TREE_SQL, quote
@@ -519,6 +522,31 @@ def anti_seen(spark, sf_dir):
     return repos.anti_seen(hits, hits.filter("page = 1")).select("page_id", "repo_url")
 
 
+# Three runs that see overlapping parts of the documents, the last all of them.
+RUNS = ("lang = 'en'", "doc_id % 2 = 0", "true")
+RUNS_SQL = (
+    cte("docs")
+    + ", seen AS (SELECT repo_url, sha, min(CASE "
+    + " ".join(f"WHEN {when} THEN {i}" for i, when in enumerate(RUNS))
+    + " END) AS first_run FROM docs GROUP BY repo_url, sha), visits AS ("
+    + " UNION ALL ".join(f"SELECT {i} AS run, repo_url, path, sha FROM docs WHERE {when}" for i, when in enumerate(RUNS))
+    + ") SELECT run, repo_url, path, sha FROM visits JOIN seen USING (repo_url, sha) WHERE run = first_run"
+)
+
+
+@query("anti_seen_runs", RUNS_SQL)
+def anti_seen_runs(spark, sf_dir):
+    """What each of three runs has to scan, given what the ledger holds of the runs before."""
+    files = relation(spark, sf_dir, "docs")
+    ledger = Ledger(spark, new_folder(spark, "ledger"))
+    results = new_folder(spark, "unseen")
+    for run, when in enumerate(RUNS):
+        new = ledger.unseen(files.filter(when))
+        new.select(F.lit(run).alias("run"), "repo_url", "path", "sha").write.mode("append").parquet(results)
+        ledger.record(files.filter(when), f"run-{run}")
+    return spark.read.parquet(results)
+
+
 def _commits(spark, sf_dir):
     return relation(spark, sf_dir, "commits").withColumn("committed_at", F.col("committed_at").cast("timestamp"))
 
@@ -663,20 +691,34 @@ BLOBS_SQL = (
 )
 
 
-@query(
-    "join_tree_blobs",
+JOINED_SQL = (
     cte("docs")
     + f", {TREE_SQL}, {BLOBS_SQL} SELECT repo_url, path, tree.sha, sha256(content) AS content_sha, "
-    "CASE WHEN content IS NULL THEN 'missing_blob' ELSE 'ok' END AS decode_status FROM tree LEFT JOIN blobs ON blobs.sha = tree.sha WHERE keep",
+    "CASE WHEN content IS NULL THEN 'missing_blob' ELSE 'ok' END AS decode_status FROM tree LEFT JOIN blobs ON blobs.sha = tree.sha WHERE keep"
 )
-def join_tree_blobs(spark, sf_dir):
+
+
+def _tree_and_blobs(spark, sf_dir):
     files = relation(spark, sf_dir, "docs")
     landed = spread(files.filter("doc_id % 11 <> 0").select("sha", "text"), "sha").dropDuplicates(["sha"])
     blobs = landed.select(
         "sha", F.lit("base64").alias("encoding"), F.base64(F.col("text").cast("binary")).alias("content")
     )
-    tree = paths.interesting_path(files.select("repo_url", "path", "sha"))
-    joined = paths.join_tree_blobs(tree, blobs)
+    return paths.interesting_path(files.select("repo_url", "path", "sha")), blobs
+
+
+@query("join_tree_blobs", JOINED_SQL)
+def join_tree_blobs(spark, sf_dir):
+    joined = paths.join_tree_blobs(*_tree_and_blobs(spark, sf_dir))
+    return joined.select("repo_url", "path", "sha", F.sha2("content", 256).alias("content_sha"), "decode_status")
+
+
+@query("join_tree_blobs_bucketed", JOINED_SQL)
+def join_tree_blobs_bucketed(spark, sf_dir):
+    """Blobs laid out by sha once; the join then reads them in their buckets."""
+    tree, blobs = _tree_and_blobs(spark, sf_dir)
+    laid_out = Layout.write(blobs, new_folder(spark, "blobs"), 2 * spark.sparkContext.defaultParallelism)
+    joined = paths.join_tree_layout(tree, laid_out)
     return joined.select("repo_url", "path", "sha", F.sha2("content", 256).alias("content_sha"), "decode_status")
 
 

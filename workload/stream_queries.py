@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from leakatlas.sources.checkpoints import checkpoint_folder
 from leakatlas.streaming.scan_stream import read_scan, start_scan
 
+from .folders import new_folder
 from .registry import query
 from .scan_queries import hits_ctes
 
@@ -22,20 +19,10 @@ STREAM_SQL = (
 )
 
 
-def stream_folder(spark) -> str:
-    """A new folder of the shared one; only a session without that setting, on one machine, gets a temporary one."""
-    root = checkpoint_folder(spark)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="run-stream-")
-    return f"{root}/scan_stream-{uuid.uuid4().hex}"
-
-
 @query("scan_stream", STREAM_SQL)
 def scan_stream(spark, sf_dir):
     """Documents read as a stream, findings appended to a table, each version of a file once."""
-    folder = stream_folder(spark)
+    folder = new_folder(spark, "scan_stream")
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     arriving = (
         spark.readStream.schema(schema)

@@ -17,8 +17,11 @@ no pair of a bucket is left out, and a group of n near copies of one text costs
 about n comparisons. A few bits of every signature value are compared first: a
 pair goes on to the full sets unless its sizes exclude a link or so few values
 agree that a link has odds below ODDS; the same pair of several buckets goes on
-from the first only. Where copies of copies are alike but below the threshold,
-that filter still passes a number of pairs that grows faster than their group.
+from the first only. Members of buckets that the first hubs leave mixed get a
+second signature for this test, of 2 x LONG values with one bit each, computed
+for them alone; it tells similarities 0.05 apart. Where copies of copies are
+alike within that distance below the threshold, the pairs that pass still grow
+faster than their group.
 
 Null, empty and wordless texts have no shingles and link with nothing; fewer
 than five words are one shingle. A null id links with nothing. Rows with equal
@@ -28,7 +31,7 @@ ids are one document.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,7 @@ ROWS, BANDS = 7, 42
 PERMUTATIONS = ROWS * BANDS // 2
 PLANES = 4  # bits kept of every signature value
 PLANE = -(-2 * PERMUTATIONS // 64)  # 64-bit words for one bit of all values
+LONG = 1024  # permutations of the long signature, of which one bit a value is kept
 ODDS = 1e-6
 FIRST_HUBS, HUB_GROWTH = 8, 8
 
@@ -107,6 +111,13 @@ def listed(table: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1, dtype=np.int32) * table.shape[1]), _as_long(table.reshape(-1)))
 
 
+def set_prints(values: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    """Two sums over each set that together name it."""
+    with np.errstate(over="ignore"):
+        sums = [np.concatenate([np.zeros(1, FIELD), np.cumsum(mix(values + FIELD(s)))]) for s in (1, 2)]
+        return [_as_long(s[at[1:]] - s[at[:-1]]) for s in sums]
+
+
 def _texts(documents: DataFrame, key: str, text: str) -> DataFrame:
     return documents.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("__text"))
 
@@ -119,11 +130,8 @@ def profiles(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
             for batch in chunks(whole, "__text"):
                 values, at = shingle_sets(*utf8(batch.column("__text")))
                 bands, marks = signatures(values, at)
-                with np.errstate(over="ignore"):
-                    sums = [np.concatenate([np.zeros(1, FIELD), np.cumsum(mix(values + FIELD(s)))]) for s in (1, 2)]
-                    set_a, set_b = (s[at[1:]] - s[at[:-1]] for s in sums)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(np.diff(at)), _as_long(set_a), _as_long(set_b), listed(bands), listed(marks)],
+                    [batch.column("id"), pa.array(np.diff(at)), *set_prints(values, at), listed(bands), listed(marks)],
                     names=["id", "n_shingles", "set_a", "set_b", "bands", "marks"],
                 )
 
@@ -143,26 +151,51 @@ def full_sets(documents: DataFrame, ids: DataFrame, key: str, text: str) -> Data
     return _texts(documents, key, text).join(wanted, "id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
 
 
-def least_agreement(percent: int) -> int:
-    """The values with equal bits below which a link at ``percent`` has odds under ODDS; other values agree by chance."""
-    n, p, total = 2 * PERMUTATIONS, percent / 100 + (1 - percent / 100) / 2**PLANES, 0.0
+def long_marks(documents: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    """id, set_a, set_b and the long signature of the documents whose id is in ``ids``: one bit of each of 2 * LONG values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = mix(np.arange(1, 2 * LONG + 1, dtype=FIELD) * FIELD(0xD1B54A32D192ED03)) | FIELD(1)
+        for whole in batches:
+            for batch in chunks(whole, "__text"):
+                values, at = shingle_sets(*utf8(batch.column("__text")))
+                set_a, set_b = set_prints(values, at)
+                filled = np.flatnonzero(at[1:] > at[:-1])
+                bits = np.zeros((2 * LONG, len(at) - 1), np.uint8)
+                with np.errstate(over="ignore"):
+                    for j in range(LONG if len(filled) else 0):
+                        x = values * seeds[2 * j]
+                        x ^= x >> FIELD(32)
+                        x *= seeds[2 * j + 1]
+                        for k, least in ((j, np.minimum), (LONG + j, np.maximum)):
+                            bits[k, filled] = mix(least.reduceat(x, at[:-1][filled])) & FIELD(1)
+                packed = np.packbits(np.ascontiguousarray(bits.T), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), set_a, set_b, listed(packed)], names=["id", "set_a", "set_b", "marks"])
+
+    wanted = broadcast_if_small(ids, "minmax-wanted", 200_000)
+    return _texts(documents, key, text).join(wanted, "id", "left_semi").mapInArrow(run, "id long, set_a long, set_b long, marks array<long>")
+
+
+def least_agreement(percent: int, n: int, planes: int) -> int:
+    """The values of ``n`` with equal bits below which a link at ``percent`` has odds under ODDS; other values agree by chance."""
+    p, total = percent / 100 + (1 - percent / 100) / 2**planes, 0.0
     for k in range(n + 1):
-        total += comb(n, k) * p**k * (1 - p) ** (n - k)
+        total += exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log(1 - p)) if p < 1 else k == n
         if total > ODDS:
             return k
     return n
 
 
-def possible(percent: int) -> Column:
-    """Whether u and v (columns nu, nv, mu, mv) may be linked."""
-    differ = F.lit(0)
-    for i in range(PLANE):
+def possible(percent: int, n: int = 2 * PERMUTATIONS, planes: int = PLANES) -> Column:
+    """Whether u and v (columns nu, nv, mu, mv) may be linked, by ``planes`` bits of each of ``n`` signature values."""
+    words, differ = -(-n // 64), F.lit(0)
+    for i in range(words):
         other = F.lit(0).cast("long")
-        for plane in range(PLANES):
-            at = plane * PLANE + i
+        for plane in range(planes):
+            at = plane * words + i
             other = other.bitwiseOR(F.col("mu")[at].bitwiseXOR(F.col("mv")[at]))
         differ = differ + F.bit_count(other)
-    return (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (2 * PERMUTATIONS - differ >= least_agreement(percent))
+    return (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (n - differ >= least_agreement(percent, n, planes))
 
 
 def confirmed(pairs: DataFrame, documents: DataFrame, percent: int, key: str, text: str) -> DataFrame:
@@ -199,14 +232,18 @@ def near_duplicates(documents: DataFrame, percent: int = 80, key: str = "doc_id"
     pairs = members.select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
     pairs = pairs.join(narrow.toDF("u", "nu", "mu"), "u").join(narrow.toDF("v", "nv", "mv"), "v").filter(possible(percent)).select("u", "v")
     roots = stored(components(confirmed(pairs, documents, percent, key, text)), "minmax-roots")
-    members, hubs = members.select("bucket", "id"), FIRST_HUBS
+    members, hubs, finer = members.select("bucket", "id"), FIRST_HUBS, None
     while True:
         labelled = members.join(roots.toDF("id", "root"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("label"))
         classes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         mixed = classes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("labels")).filter("labels > 1").select("bucket", F.col("top.label").alias("top"), (F.col("n") - F.col("top.n")).alias("others"))
-        unsettled = stored(labelled.join(mixed, "bucket").join(nodes.select("id", "n_shingles", "marks", "bands"), "id"), "minmax-unsettled")
+        unsettled = stored(labelled.join(mixed, "bucket"), "minmax-unsettled")
         if unsettled.isEmpty():
             break
+        if finer is None:  # members of later rounds are among those of the first
+            long = long_marks(documents, unsettled.select("id").distinct(), key, text).dropDuplicates(["id", "set_a", "set_b"])
+            finer = stored(nodes.select("id", "set_a", "set_b", "n_shingles", "bands").join(long, ["id", "set_a", "set_b"]).drop("set_a", "set_b"), "minmax-finer")
+        unsettled = unsettled.join(finer, "id")
         outside = F.col("label") != F.col("top")
         sure = unsettled.filter(outside).groupBy("bucket").agg(F.min("id").alias("sure"))
         drawn = outside & ((F.pmod(F.xxhash64("id", F.lit(hubs)), F.col("others")) < hubs) | (F.col("id") == F.col("sure")))
@@ -215,7 +252,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, key: str = "doc_id"
         other = dealt.select("bucket", F.col("id").alias("v"), F.col("label").alias("lv"), F.col("n_shingles").alias("nv"), F.col("marks").alias("mv"), F.col("bands").alias("bv"), F.col("is_hub").alias("hv"))
         earliest = F.element_at(F.filter("bu", lambda x, i: x == F.col("bv")[i]), 1) == F.col("bucket")
         once = ~F.col("hv") | (F.col("u") < F.col("v"))
-        pairs = other.join(chosen, "bucket").filter((F.col("lu") != F.col("lv")) & once & possible(percent) & earliest).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        pairs = other.join(chosen, "bucket").filter((F.col("lu") != F.col("lv")) & once & possible(percent, 2 * LONG, 1) & earliest).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         links = confirmed(pairs, documents, percent, key, text)
         members = stored(dealt.filter("not is_hub").select("bucket", "id"), "minmax-members")
         if not links.isEmpty():

@@ -225,40 +225,73 @@ def _best_moves(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], classes:
     return names[moves], best[moves]
 
 
+PACKED = "words binary, sides binary, starts binary, others binary, counts binary"
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """Rows (k, n), k = (2 w + side) * 2**32 + other, in partitions by w and in order of k, as few rows of flat arrays.
+
+    A row holds whole groups of a word and side, or a part of one: the groups' words
+    and sides, where each begins, and their neighbours and counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            of = keys >> 32
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            arrays = [(of[first] >> 1).astype(np.int32), (of[first] & 1).astype(np.int8), first.astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32), n.astype(np.int32 if not len(n) or n.max() < 1 << 31 else np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], names=[c.split()[0] for c in PACKED.split(", ")])
+
+        held, size = [], 0
+        for b in batches:
+            held.append((b.column("k").to_numpy(), b.column("n").to_numpy()))
+            size += b.num_rows
+            if size > HELD_ROWS:
+                yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, size = [], 0
+        if size:
+            yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return rows.mapInArrow(run, PACKED)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """w, side, other and n of the rows of :func:`packed`, one packed row at a time."""
+    for b in batches:
+        for w, side, first, other, n in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            other = np.frombuffer(other, np.int32).astype(np.int64)
+            n = np.frombuffer(n, np.int32 if len(n) == 4 * len(other) else np.int64).astype(np.int64)
+            sizes = np.diff(np.append(np.frombuffer(first, np.int32), len(other)))
+            yield np.repeat(np.frombuffer(w, np.int32).astype(np.int64), sizes), np.repeat(np.frombuffer(side, np.int8).astype(np.int64), sizes), other, n
+
+
 class Neighbours:
-    """(w, side, other, n): how often symbol ``other`` stands after (side 1) or before (0) ``w``."""
+    """How often each symbol stands after (side 1) or before (0) each other one: ``rows`` of :func:`packed`."""
 
     def __init__(self, rows: DataFrame, n_classes: int):
         self.rows, self.n_classes = rows, n_classes
         self.context = rows.sparkSession.sparkContext
 
-    def sums(self, classes: np.ndarray, chosen: str) -> DataFrame:
-        """(w, slot, n) over the classes of neighbours, in parts: before, after, and last the word itself after itself."""
+    def sums(self, classes: np.ndarray, least: int = 0, parts: int = 1, part: int = 0) -> DataFrame:
+        """(w, slot, n) over the classes of neighbours, in parts: before, after, and last the word itself after itself.
+
+        Of words from ``least`` on whose number leaves ``part`` when divided by ``parts``.
+        """
         shipped, n_classes = self.context.broadcast(classes.astype(np.uint16)), self.n_classes
         width = 2 * n_classes + 1
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now = shipped.value
-
-            def out(parts, weights):
-                b = _summed(parts, weights)
-                key = b.column("key").to_numpy()
-                return pa.RecordBatch.from_arrays([pa.array(key // width), pa.array((key % width).astype(np.int32)), b.column("n")], names=["w", "slot", "n"])
-
-            parts, weights, held = [], [], 0
-            for b in batches:
-                w, side, other, n = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("w", "side", "other", "n"))
+            for w, side, other, n in unpacked(batches):
+                if least or parts > 1:
+                    chosen = (w >= least) & (w % parts == part)
+                    w, side, other, n = w[chosen], side[chosen], other[chosen], n[chosen]
                 twice = np.flatnonzero((w == other) & (side == 1))
-                parts += [w * width + side * n_classes + now[other], w[twice] * width + width - 1]
-                weights += [n, n[twice]]
-                held += len(w)
-                if held > HELD_ROWS:
-                    yield out(parts, weights)
-                    parts, weights, held = [], [], 0
-            if parts:
-                yield out(parts, weights)
+                b = _summed([w * width + side * n_classes + now[other], w[twice] * width + width - 1], [n, n[twice]])
+                key = b.column("key").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(key // width), pa.array((key % width).astype(np.int32)), b.column("n")], names=["w", "slot", "n"])
 
-        return self.rows.filter(chosen).select("w", "side", "other", "n").mapInArrow(run, "w long, slot int, n long")
+        return self.rows.mapInArrow(run, "w long, slot int, n long")
 
     def table(self, classes: np.ndarray) -> np.ndarray:
         """Class bigrams."""
@@ -266,20 +299,30 @@ class Neighbours:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, held = shipped.value, np.zeros(n_classes * n_classes)
-            for b in batches:
-                w, other, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("w", "other", "n"))
-                held += np.bincount(now[w].astype(np.int64) * n_classes + now[other], n, len(held))
+            for w, side, other, n in unpacked(batches):
+                after = side == 1
+                held += np.bincount(now[w[after]].astype(np.int64) * n_classes + now[other[after]], n[after], len(held))
             at = np.flatnonzero(held)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at].astype(np.int64))], names=["key", "n"])
 
-        got = self.rows.filter("side = 1").select("w", "other", "n").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+        got = self.rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
         out = np.zeros(n_classes * n_classes)
         out[got["key"].to_numpy()] = got["n"].to_numpy()
         shipped.destroy()
         return out.reshape(n_classes, n_classes)
 
-    def moves(self, classes: np.ndarray, table: np.ndarray, chosen: str) -> tuple[np.ndarray, np.ndarray]:
-        """Words of ``chosen`` that another class suits better, and these classes."""
+    def folded(self, seeded: int) -> DataFrame:
+        """(k, n) of :func:`packed` with all symbols from ``seeded`` on as the rest."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for w, side, other, n in unpacked(batches):
+                b = _summed([((2 * np.where(w < seeded, w, REST) + side) << 32) + np.where(other < seeded, other, REST)], [n])
+                yield pa.RecordBatch.from_arrays(b.columns, names=["k", "n"])
+
+        return self.rows.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+
+    def moves(self, classes: np.ndarray, table: np.ndarray, least: int, parts: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words (chosen as for :meth:`sums`) that another class suits better, and these classes."""
         shipped = self.context.broadcast((classes.astype(np.uint16), table))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +350,7 @@ class Neighbours:
             if rows:
                 yield out()
 
-        got = self.sums(classes, chosen).repartition("w").sortWithinPartitions("w").mapInArrow(run, "w long, class int").toArrow()
+        got = self.sums(classes, least, parts, part).repartition("w").sortWithinPartitions("w").mapInArrow(run, "w long, class int").toArrow()
         shipped.destroy()
         return got["w"].to_numpy(), got["class"].to_numpy()
 
@@ -331,13 +374,13 @@ def settled(neighbours: Neighbours, classes: np.ndarray, table: np.ndarray, roun
         outside[REST] = False
         if not outside.any():
             break
-        w, c = neighbours.moves(classes, table, f"w >= {SEEDED + 2} and w % {parts} = {turn}")
+        w, c = neighbours.moves(classes, table, SEEDED + 2, parts, turn)
         classes[w] = c
         table = neighbours.table(classes)
     value, part, moved, turns = likelihood(table), 0, 0, 2 * rounds
     while turns > 0:
         turns -= 1
-        w, c = neighbours.moves(classes, table, f"w > {REST} and w % {parts} = {part}")
+        w, c = neighbours.moves(classes, table, REST + 1, parts, part)
         trial = classes.copy()
         trial[w] = c
         cells = neighbours.table(trial)
@@ -386,13 +429,17 @@ def train(texts: DataFrame, classed: int | None = None, n_classes: int = CLASSES
         return np.concatenate([[END], out[:-1]]) * known.n_symbols + out
 
     size = lookup.n_symbols
-    bigrams = _counted(texts, pairs).select(F.expr(f"int(key div {size})").alias("i"), F.expr(f"int(key % {size})").alias("j"), "n")
-    sides = F.explode(F.array(F.struct(F.col("i").alias("w"), F.lit(1).alias("side"), F.col("j").alias("other")), F.struct(F.col("j").alias("w"), F.lit(0).alias("side"), F.col("i").alias("other"))))
+    bigrams = _counted(texts, pairs).select(F.expr(f"key div {size}").alias("i"), F.expr(f"key % {size}").alias("j"), "n")
     # Symbols are numbered by frequency: the first ones have neighbours enough for many tasks.
     seeded = min(size, SEEDED + 2)
-    dealt = F.when(F.col("w") < seeded, F.pmod(F.xxhash64("other"), F.lit(SPREAD))).otherwise(0)
-    rows = bigrams.select(sides.alias("s"), "n").select("s.*", "n").repartition("w", dealt).sortWithinPartitions("w", "side")
-    neighbours = Neighbours(stored(rows, "brown-neighbours"), n_classes)
+
+    def sided(w: str, side: int, other: str) -> Column:
+        return F.shiftleft((2 * F.col(w) + side).cast("long"), 32) + F.col(other)
+
+    word = F.shiftright("k", 33)
+    dealt = F.when(word < seeded, F.pmod(F.xxhash64("k"), F.lit(SPREAD))).otherwise(0)
+    rows = bigrams.select(F.explode(F.array(sided("i", 1, "j"), sided("j", 0, "i"))).alias("k"), "n")
+    neighbours = Neighbours(stored(packed(rows.repartition(word, dealt).sortWithinPartitions("k")), "brown-neighbours"), n_classes)
     # To begin with, seeded words of like frequency are dealt over all classes in turn, the others are in the rest.
     classes = np.full(size, REST, np.int64)
     classes[END] = END
@@ -400,11 +447,10 @@ def train(texts: DataFrame, classed: int | None = None, n_classes: int = CLASSES
 
     seeds = neighbours
     if size > seeded:
-        folded = (F.when(F.col(c) < seeded, F.col(c)).otherwise(REST).alias(c) for c in ("w", "other"))
-        few = neighbours.rows.select(*folded, "side", "n").groupBy("w", "side", "other").agg(F.sum("n").alias("n"))
-        seeds = Neighbours(stored(few.repartition("w"), "brown-seeds"), n_classes)
+        few = neighbours.folded(seeded).repartition(word, dealt).sortWithinPartitions("k")
+        seeds = Neighbours(stored(packed(few), "brown-seeds"), n_classes)
     for turn in range(rounds):
-        got = seeds.sums(classes, "true").groupBy("w", "slot").agg(F.sum("n").alias("n")).toArrow()
+        got = seeds.sums(classes).groupBy("w", "slot").agg(F.sum("n").alias("n")).toArrow()
         sums = np.zeros((seeded, 2 * n_classes + 1))
         sums[got["w"].to_numpy(), got["slot"].to_numpy()] = got["n"].to_numpy()
         before, after = sums[:, :n_classes], sums[:, n_classes:-1]

@@ -115,7 +115,7 @@ def op7_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document once repeated 400-byte strings are cut."""
     cut = suffix_dedup.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("text").alias("kept_text"))
 
 
 @query("op8_brown_lm")

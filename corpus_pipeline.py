@@ -15,6 +15,7 @@ from leakatlas.llm.registry import query, table
 from leakatlas.llm.shared import broadcast_if_small, stored
 
 DROPPED_BROADCAST_ROWS = 200_000
+PASSAGE_BYTES = 200  # 51 words of the shortest kind, prose of two-letter words with their blanks, fill about 150 to 200
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +45,8 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of 400 bytes and more that occur elsewhere."""
-    cut = suffix_dedup.cut_repeats(docs)
+    """All documents, without passages of PASSAGE_BYTES and more that occur elsewhere."""
+    cut = suffix_dedup.cut_repeats(docs, length=PASSAGE_BYTES)
     length = F.length("text").cast(docs.schema["n_chars"].dataType)
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars"))).select(*docs.columns)
 

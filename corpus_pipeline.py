@@ -8,7 +8,7 @@ until the last stage, which returns token ids in place of texts.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leakatlas.llm import bpe, decontaminate, minmax_dedup, quality, suffix_dedup
 from leakatlas.llm.registry import query, table
@@ -44,22 +44,37 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return left.join(repeated, same, "left_anti").unionByName(once)
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs`` plus a name for each id and text."""
+    parts = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text").cast("string")
+    return docs.withColumn("__name", F.concat_ws(":", *parts))
+
+
+def _leaked(spark: SparkSession, named: DataFrame, sf_dir: str) -> DataFrame:
+    """The names of documents with a passage of the benchmark."""
+    found = decontaminate.matches(named.select("__name", "text"), table(spark, sf_dir, "benchmark"), key="__name")
+    return broadcast_if_small(found.select("__name").distinct(), "stage-leaks", DROPPED_BROADCAST_ROWS)
+
+
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of PASSAGE_BYTES and more that occur elsewhere."""
-    cut = suffix_dedup.cut_repeats(docs, length=PASSAGE_BYTES)
+    """All documents, without passages of PASSAGE_BYTES and more that occur elsewhere.
+
+    Repeats are judged over all documents. Those with a passage of the benchmark
+    keep their text, as the next stage drops them whole: a leaked passage that
+    occurs in several documents must not be cut from its evidence.
+    """
+    named = _named(docs)
+    leaked = _leaked(spark, named, sf_dir)
+    cut = suffix_dedup.cut_repeats(named, length=PASSAGE_BYTES).join(leaked, "__name", "left_anti")
     length = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars"))).select(*docs.columns)
+    cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars")))
+    return cut.select(*docs.columns).unionByName(named.join(leaked, "__name", "left_semi").select(*docs.columns))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-
-    def name() -> Column:
-        return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text").cast("string"))
-
-    found = decontaminate.matches(docs.select(name().alias("__name"), "text"), table(spark, sf_dir, "benchmark"), key="__name")
-    leaked = broadcast_if_small(found.select("__name").distinct(), "stage-leaks", DROPPED_BROADCAST_ROWS)
-    return docs.withColumn("__name", name()).join(leaked, "__name", "left_anti").select(*docs.columns)
+    named = _named(docs)
+    return named.join(_leaked(spark, named, sf_dir), "__name", "left_anti").select(*docs.columns)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

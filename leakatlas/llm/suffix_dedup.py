@@ -1,4 +1,4 @@
-"""Repeated passages by bucket-pointer refinement of suffixes.
+"""Repeated passages by content-sampled anchors, refined by fingerprints (not by bucket pointers, see README).
 
 Every string of LENGTH bytes that occurs at two places or more, in one text or
 in two, is found; matches never cross texts.

@@ -14,8 +14,12 @@ None of these steps loses a match: recall is 1 at every length and share of edit
 up to MAX_EDITS (tested against brute force). CGK walks with bit sampling, of
 which any number of keys finds a share only, are not used.
 
-A to Z count as a to z; distances are over bytes. Items come in blocks of at most
-BLOCK_BYTES, each of which all documents pass. Items of less than 8 bytes match
+Places are gathered by text, item and a grid of the item's size, with the least and
+the greatest begin, so that repetitive texts and items need no more memory.
+
+A to Z count as a to z; distances are over bytes. Items come in blocks of about
+BLOCK_BYTES / 2, each of which all documents pass; the driver holds one block at a
+time, and beyond one block the matches are written block by block. Items of less than 8 bytes match
 nothing, items under 24 bytes only exactly. Null and empty texts hold nothing.
 Several places of one item are several rows: from the left, the first end of a
 match or a better one up to 2 k bytes on, then anew behind it. Rows are
@@ -24,17 +28,19 @@ independent: repeated rows give repeated matches.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from leakatlas.llm.shared import shared_folder, stored
 from leakatlas.llm.text import FIELD, chunks, mix, utf8
 
 GRAM = 8
 MAX_EDITS = 0.08  # pieces have GRAM bytes and more up to this share
 HELD_PLACES = 1 << 18  # looked at together
+MERGED_STEPS = 16
 BLOCK_BYTES = 8 << 20
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -107,6 +113,23 @@ def places(pattern: bytes, text: bytes, edits: int) -> Iterator[tuple[int, int,
         base = end
 
 
+def groups(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.any([np.diff(x) != 0 for x in columns], 0)]))
+
+
+def least_and_greatest(doc: np.ndarray, item: np.ndarray, cell: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One row a text, item and cell, ascending, with the least ``low`` and the greatest ``high``."""
+    if not len(doc):
+        return doc, item, cell, low, high
+    order = np.lexsort((cell, item, doc))
+    doc, item, cell = doc[order], item[order], cell[order]
+    new = groups(doc, item, cell)
+    return doc[new], item[new], cell[new], np.minimum.reduceat(low[order], new), np.maximum.reduceat(high[order], new)
+
+
 class Matcher:
     """All items of a block, ready for search."""
 
@@ -125,17 +148,24 @@ class Matcher:
         if not parts:
             parts = [(np.zeros(0, FIELD), np.zeros(0, FIELD), *[np.zeros(0, np.int64)] * 3)]
         head, tail, item, offset, length = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(head, kind="stable")
-        self.tail, self.item, self.offset, self.length = tail[order], item[order], offset[order], length[order]
-        self.heads, first = np.unique(head[order], return_index=True)
+        # Pieces of one item that read alike are one entry with the least and the greatest of their offsets.
+        columns = [x[np.lexsort((offset, tail, length, item, head))] for x in (head, tail, item, offset, length)]
+        new = groups(columns[0], columns[1], columns[2], columns[4])
+        last = np.append(new[1:], len(head)) - 1 if len(head) else new
+        head, self.tail, self.item, self.near, self.length = (x[new] for x in columns)
+        self.far = columns[3][last]
+        self.heads, first = np.unique(head, return_index=True)
         self.first = np.append(first, len(head)).astype(np.int64)
         bits = max(16, min(26, int(np.ceil(np.log2(64 * len(self.heads) + 1)))))
         self.shift = FIELD(64 - bits)
         self.marked = np.zeros(1 << bits, bool)
         self.marked[self.heads >> self.shift] = True
 
-    def pieces(self, strings: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
-        """(text, item, begin of the item by the offset of a piece) in columns, for each piece that a text holds."""
+    def pieces(self, strings: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(text, item, cell, least, greatest begin of the item by the offsets of a piece), for each piece that a text holds.
+
+        Cells are a grid of the item's size, so alike pieces reach two cells at most.
+        """
         place = np.flatnonzero(self.marked[strings >> self.shift])
         if not len(self.heads) or not len(place):
             return
@@ -155,25 +185,37 @@ class Matcher:
             whole = begin + self.length[entry] <= at[doc + 1]
             begin, doc, entry = begin[whole], doc[whole], entry[whole]
             alike = strings[begin + self.length[entry] - GRAM] == self.tail[entry]
-            entry = entry[alike]
-            yield np.stack([doc[alike], self.item[entry], begin[alike] - self.offset[entry]])
+            begin, doc, entry = begin[alike], doc[alike], entry[alike]
+            item, low, high = self.item[entry], begin - self.far[entry], begin - self.near[entry]
+            size = self.size[item]
+            one, two = low // size, high // size
+            over = two > one
+            yield least_and_greatest(
+                *(
+                    np.concatenate(x)
+                    for x in (
+                        (doc, doc[over]),
+                        (item, item[over]),
+                        (one, two[over]),
+                        (low, (two * size)[over]),
+                        (np.where(over, two * size - 1, high), high[over]),
+                    )
+                )
+            )
             done = stop
 
     def stretches(self, strings: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, low, high): parts of texts that can hold the item, ascending; those of an item do not overlap."""
-        found = list(self.pieces(strings, at))
-        if not found:
+        cells: list[tuple[np.ndarray, ...]] = []
+        for found in self.pieces(strings, at):
+            cells.append(found)
+            if len(cells) == MERGED_STEPS:
+                cells = [least_and_greatest(*(np.concatenate(x) for x in zip(*cells, strict=True)))]
+        if not cells:
             return
-        doc, item, start = np.concatenate(found, 1)
+        doc, item, _, start, last = least_and_greatest(*(np.concatenate(x) for x in zip(*cells, strict=True)))
         if not len(doc):
             return
-        order = np.lexsort((start, item, doc))
-        doc, item, start = doc[order], item[order], start[order]
-        # Begins of the same text and item in a grid of the item's size are looked at together.
-        cell = start // self.size[item]
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(cell) != 0)]))
-        last = start[np.append(new[1:], len(start)) - 1]
-        doc, item, start = doc[new], item[new], start[new]
         size, edits = self.size[item], self.edits[item]
         low, high = np.maximum(at[doc], start - edits), np.minimum(at[doc + 1], last + size + edits)
         need = size - GRAM + 1 - edits * GRAM
@@ -209,21 +251,33 @@ def matches(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     n_blocks = max(1, -(-2 * total // BLOCK_BYTES))
     source = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     schema = f"key {source.schema['key'].dataType.simpleString()}, item {items.schema['item'].dataType.simpleString()}, start int, `end` int, edits int"
-    out = None
-    for block in range(n_blocks):
-        own = items.filter(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == block).orderBy("item", "text").toArrow()
-        names, texts = own["item"].combine_chunks(), [t.encode() for t in own["text"].to_pylist()]
-
-        def run(batches: Iterator[pa.RecordBatch], names=names, texts=texts) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(texts)
-            for whole in batches:
-                for batch in chunks(whole):
-                    found = matcher.search(*utf8(batch.column("text")))
-                    if found:
-                        doc, which, start, end, edits = (np.array(x) for x in zip(*found, strict=True))
-                        ints = [pa.array(x.astype(np.int32)) for x in (start, end, edits)]
-                        yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(doc)), names.take(pa.array(which)), *ints], names=["key", "item", "start", "end", "edits"])
-
-        part = source.mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
+    if n_blocks == 1:
+        out = source.mapInArrow(_search(items.withColumn("n", F.lit(1))), schema)
+    else:
+        # Repeated rows are one with a number, so that ids spread the copies of a text over the blocks.
+        counted = stored(items.groupBy("item", "text").agg(F.count("*").cast("int").alias("n")), "items")
+        folder = shared_folder(documents.sparkSession, "matches")
+        for block in range(n_blocks):
+            own = counted.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block)
+            source.mapInArrow(_search(own), schema).write.parquet(f"{folder}/block={block}")
+        out = documents.sparkSession.read.schema(schema).parquet(*[f"{folder}/block={b}" for b in range(n_blocks)])
     return out.select(F.col("key").alias(key), F.col("item").alias(item), "start", "end", "edits")
+
+
+def _search(block: DataFrame) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The search for all items of a block, as many times as ``n`` says."""
+    own = block.orderBy("item", "text").toArrow()
+    names, texts, times = own["item"].combine_chunks(), [t.encode() for t in own["text"].to_pylist()], own["n"].to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(texts)
+        for whole in batches:
+            for batch in chunks(whole):
+                found = matcher.search(*utf8(batch.column("text")))
+                if found:
+                    rows = np.array(found, np.int64)
+                    doc, which, start, end, edits = np.repeat(rows, times[rows[:, 1]], 0).T
+                    ints = [pa.array(x.astype(np.int32)) for x in (start, end, edits)]
+                    yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(doc)), names.take(pa.array(which)), *ints], names=["key", "item", "start", "end", "edits"])
+
+    return run

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -264,6 +265,33 @@ def test_matches_are_those_of_brute_force():
         assert found_in(items, texts) == plain_matches(items, texts)
 
 
+def test_repetitive_texts_need_bounded_memory():
+    """A megabyte of one character, and of a short period, against items that read alike."""
+    for unit in (b"a", b"abcab ", b"0123456789abcdef-"):
+        item, text = (unit * 3000)[:3000], (unit * (1 << 20))[: 1 << 20]
+        data, at = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+        matcher = decontaminate.Matcher([item])
+        strings = decontaminate.grams(data)
+        tracemalloc.start()
+        stretches = list(matcher.stretches(strings, at))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 500 << 20
+        assert stretches == [(0, 0, 0, len(text))]
+    texts = [b"a" * 10_000, b"ab" * 3000, b"b" * 50]
+    assert found_in([b"a" * 3000], texts) == [(0, 0, 3000 * k, 3000 * (k + 1), 0) for k in range(3)] == found_in([b"a" * 3000], texts[:1])
+
+
+def test_blocks_repeat_rows_as_one_block_does(spark, monkeypatch):
+    text = prose(77, 40)
+    bench = spark.createDataFrame([(1, text), (1, text), (2, text), (3, None), (4, prose(78, 40))], "item_id long, text string")
+    docs = spark.createDataFrame([(10, "x " + text), (10, "x " + text), (11, None)], "doc_id long, text string")
+    one = sorted(map(tuple, decontaminate.matches(docs, bench).collect()))
+    assert len(one) == 6
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    assert sorted(map(tuple, decontaminate.matches(docs, bench).collect())) == one
+
+
 def test_matches_begin_inside_words():
     rng = random.Random(23)
     items = [prose(7500 + n, n).encode()[:n] for n in (24, 60, 100, 230, 390)]

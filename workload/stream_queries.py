@@ -19,10 +19,17 @@ STREAM_SQL = (
 )
 
 
-@query("scan_stream", STREAM_SQL)
-def scan_stream(spark, sf_dir):
-    """Documents read as a stream, findings appended to a table, each version of a file once."""
-    folder = new_folder(spark, "scan_stream")
+NEW_SQL = (
+    STREAM_SQL[: STREAM_SQL.rindex("SELECT f.repo_url")]
+    + "SELECT repo_url, value_sha256, path, line_no FROM ("
+    "SELECT repo_url, value_sha256, path, line_no, row_number() OVER (PARTITION BY repo_url, value_sha256 "
+    "ORDER BY CAST(path AS BIGINT), line_no) AS place FROM findings WHERE NOT is_env_reference) WHERE place = 1"
+)
+
+
+def _scanned(spark, sf_dir, name: str) -> str:
+    """The folder that a scan of the documents as a stream has filled."""
+    folder = new_folder(spark, name)
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     arriving = (
         spark.readStream.schema(schema)
@@ -36,4 +43,16 @@ def scan_stream(spark, sf_dir):
         )
     )
     start_scan(arriving, folder, include_disabled=True).awaitTermination()
-    return read_scan(spark, folder).select(*COLUMNS)
+    return folder
+
+
+@query("scan_stream", STREAM_SQL)
+def scan_stream(spark, sf_dir):
+    """Documents read as a stream, findings appended to a table, each version of a file once."""
+    return read_scan(spark, _scanned(spark, sf_dir, "scan_stream")).select(*COLUMNS)
+
+
+@query("scan_stream_new", NEW_SQL)
+def scan_stream_new(spark, sf_dir):
+    """The first finding of each value in a repository, from the same stream."""
+    return read_scan(spark, _scanned(spark, sf_dir, "scan_stream_new"), "alerts").select("repo_url", "value_sha256", "path", "line_no")

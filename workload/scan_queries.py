@@ -8,7 +8,7 @@ import os
 from pyspark.sql import functions as F
 
 from leakatlas.functions.display import finding_label, fmt_commit_date
-from leakatlas.operators import repos, scan, summaries
+from leakatlas.operators import distinct_scan, repos, scan, summaries
 from leakatlas.plans.modes import single_file_mode, whole_repo_mode
 from leakatlas.rules import load_rules, rules_table, shipped_rules
 from leakatlas.sources.sinks import to_json_lines
@@ -480,3 +480,9 @@ def scan_whole_repo_ext(spark, sf_dir):
     """Only files of two extensions, and only blobs that they name."""
     report = _whole_report(spark, sf_dir, include_ext=["env", ".YAML"], prune_blobs=True)
     return report.select(*REPORT_COLS, "label", "amount")
+
+
+@query("scan_secrets_distinct", DOC_FINDINGS + f"SELECT {ALL_COLS} FROM findings")
+def scan_secrets_distinct(spark, sf_dir):
+    """The findings of ``scan_secrets``, each text scanned once."""
+    return distinct_scan.scan_secrets_distinct(docs(spark, sf_dir), include_disabled=True).select(*FINDING_COLS)

@@ -76,5 +76,6 @@ def unique_repo_count_sketch(spark, sf_dir):
     """Repositories of all pages from one sketch a page."""
     hits = relation(spark, sf_dir, "hits")
     merged = hits.groupBy("page").agg(F.hll_sketch_agg("repo_url", sketches.LG).alias("s")).agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("near"))
-    exact = repos.unique_repo_count(hits)
-    return exact.join(F.broadcast(merged)).select("n_repos", sketches.within(F.col("near"), F.col("n_repos")).alias("estimate_within"))
+    both = repos.unique_repo_count(hits).select("n_repos", F.lit(None).cast("long").alias("near")).unionByName(merged.select(F.lit(None).cast("long").alias("n_repos"), "near"))
+    total = both.agg(F.max("n_repos").alias("n_repos"), F.max("near").alias("near"))
+    return total.select("n_repos", sketches.within(F.col("near"), F.col("n_repos")).alias("estimate_within"))

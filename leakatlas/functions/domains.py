@@ -8,7 +8,9 @@ from pyspark.sql import Column, functions as F
 
 from .urls import _col
 
+# What cleaning removes from a domain, and the form of a URL in front of one.
 DOMAIN_NOISE = ("www.", "http://", "https://")
+URL_FRONT = r"https?://(?:([0-9a-z\-\.]+)\.)?"
 
 
 def check_domain(domain: str) -> str:
@@ -43,7 +45,7 @@ def _escape_literal(text: str) -> str:
 
 def url_pattern(domain: str) -> str:
     """URLs of a domain or its sub-domains, case-sensitive, open to the right."""
-    return r"https?://(?:([0-9a-z\-\.]+)\.)?" + _escape_literal(domain)
+    return URL_FRONT + _escape_literal(domain)
 
 
 def all_urls(text: Column | str, domain: str) -> Column:

@@ -39,20 +39,19 @@ def first_skip_word(text: Column, match: str = "substring") -> Column:
     """First skip word, in list order, found in the text; NULL when none is.
 
     ``substring`` finds ``doc`` in ``docker`` and ``old`` in ``cold``;
-    ``token`` compares whole alphanumeric runs. The tests end at the first
-    hit.
+    ``token`` compares whole alphanumeric runs; the text is cut into them once
+    for all words. Substring tests end at the first hit.
     """
     low = F.lower(text)
-    if match == "substring":
-        words, test = _ROOTS, lambda w: F.contains(low, F.lit(w))
-    elif match == "token":
-        tokens = F.split(low, "[^a-z0-9]+")
-        words, test = SKIP_WORDS, lambda w: F.array_contains(tokens, w)
-    else:
+    if match == "token":
+        # The common words come in the order of the list.
+        words = F.array(*[F.lit(w) for w in SKIP_WORDS])
+        return F.get(F.array_intersect(words, F.split(low, "[^a-z0-9]+")), F.lit(0))
+    if match != "substring":
         raise ValueError(f"unknown match mode {match!r}")
     found = F.when(text.isNull(), F.lit(None).cast("string"))
-    for w in words:
-        found = found.when(test(w), w)
+    for w in _ROOTS:
+        found = found.when(F.contains(low, F.lit(w)), w)
     return found
 
 

@@ -206,6 +206,14 @@ def test_eligibility_goldens(spark):
         eligibility.should_scan_repo(df, "acme.com", match="regex")
 
 
+def test_token_words_are_cut_once(spark):
+    """Long texts without a skip word are cut into words once, not once for each of them."""
+    df = spark.createDataFrame([(None,), ("",), ("Demo of docs",), ("tmp, OLD-spec",), ("docker cold",)], "t string")
+    word = eligibility.first_skip_word(df.t, "token")
+    assert [r[0] for r in df.select(word).collect()] == [None, None, "docs", "spec", None]
+    assert str(word).count("split(") == 1
+
+
 def test_http_errors(spark):
     log = spark.createDataFrame([(s, "b") for s in (200, 401, 403, 403, 404, 418, 429, 500, 502, 503)], "status int, body string")
     got = {r.bucket: (r.label, r.n) for r in health.http_error_counts(log).collect()}

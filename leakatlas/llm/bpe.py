@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from leakatlas.llm.text import chunks, worker_cache
 
-CACHED_WORDS = 100_000  # a generation of a cache; there are two of each
+CACHED_WORDS = 200_000  # words and their pieces in a generation of the cache; there are two
+PLAIN_END = "\u0250"  # letters below are the same in every version of Unicode
 WORD_END = "</w>"
 # The white space of the tokenizer's normalizer and its split pattern.
 WHITE = "".join(map(chr, (*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 32)))
@@ -78,6 +79,7 @@ class Codec:
         marks = byte_characters()
         self.inner = [vocab[c] for c in marks]
         self.last = [vocab[c + WORD_END] for c in marks]
+        self.inner_marks = dict(enumerate(map(chr, self.inner)))
         spelling: list[str] = [""] * size  # of base symbols
         for i in (*self.inner, *self.last):
             spelling[i] = chr(i)
@@ -108,7 +110,7 @@ class Codec:
         self.offsets = [0]
         for name in names:
             self.offsets.append(self.offsets[-1] + len(name))
-        self.words, self.parts = Cache(CACHED_WORDS), Cache(CACHED_WORDS)
+        self.words = Cache(CACHED_WORDS)
         self.pieces = regex.compile(PIECES)
         self.marked = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -136,34 +138,41 @@ class Codec:
     def encode_word(self, word: str) -> list[int]:
         """Ids of one piece, its last byte closed by the word end."""
         raw = word.encode("utf-8")
-        n = len(raw)
-        symbols = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
-        longest = [-1] * n
-        for end, token in self.matcher.iter("".join(map(chr, reversed(symbols)))):
-            begin = n - 1 - end
-            if longest[begin] < 0 or self.length[token] > self.length[longest[begin]]:
-                longest[begin] = token
-        open_place = bytearray(b"\x01") * (n + 1)
+        backward = chr(self.last[raw[-1]]) + raw[-2::-1].decode("latin-1").translate(self.inner_marks)
+        # Places count from the end of the word. The matcher gives the longest token of a place first.
+        longest = dict(list(self.matcher.iter(backward))[::-1])
+        length, shorter, table = self.length, self.shorter, self.table
+        closed: set[int] = set()
         out: list[int] = []
-        place, token = 0, longest[0]
+        place = len(raw) - 1
+        token, before = longest[place], -1
         while True:
-            end = place + self.length[token]
-            if open_place[end] and (not out or self.compatible(out[-1], token)):
+            end = place - length[token]
+            if end in closed:
+                holds = False
+            elif before < 0:
+                holds = True
+            else:
+                holds = table.get((before, token))
+                if holds is None:
+                    holds = self.compatible(before, token)
+            if holds:
                 out.append(token)
-                place = end
-                if place == n:
+                if end < 0:
                     return out
-                token = longest[place]
-            elif self.shorter[token] >= 0:
-                token = self.shorter[token]
+                place, before, token = end, token, longest[end]
+            elif shorter[token] >= 0:
+                token = shorter[token]
             else:
-                open_place[place] = 0
+                closed.add(place)
                 token = out.pop()
-                place -= self.length[token]
+                before = out[-1] if out else -1
+                place += length[token]
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' texts, a space between them."""
-        return " ".join(self.blob[self.offsets[i] : self.offsets[i + 1]] for i in ids)
+        blob, at = self.blob, self.offsets
+        return " ".join([blob[at[i] : at[i + 1]] for i in ids])
 
     def segments(self, text: str) -> Iterator[tuple[str, int]]:
         """Stretches of ordinary text (with -1) and special tokens (with their id)."""
@@ -188,12 +197,17 @@ class Codec:
         return " ".join(map(str, ids)), self.decode(ids)
 
     def word(self, word: str) -> tuple[str, str]:
+        """Ids and texts of the pieces of ``word``. A piece by itself is a word of one piece, so both share the cache."""
+        if word.isalpha() and max(word) < PLAIN_END:
+            return self.piece(word)
         found = self.pieces.findall(word)
-        self.parts.turn()
+        if len(found) == 1:
+            return self.piece(word)
+        ids, texts = self.words.ids, self.words.texts
         for p in found:
-            if p not in self.parts.ids:
-                self.parts.put(p, self.piece)
-        return " ".join([self.parts.ids[p] for p in found]), " ".join([self.parts.texts[p] for p in found])
+            if p not in ids:
+                self.words.put(p, self.piece)
+        return " ".join([ids[p] for p in found]), " ".join([texts[p] for p in found])
 
     def encode_decode(self, text: str) -> tuple[str, str]:
         """Decimal ids joined by spaces, and the decoded text."""

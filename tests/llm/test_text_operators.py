@@ -105,6 +105,17 @@ def test_bpe_caches_may_turn_over(monkeypatch):
         assert small.encode_decode(text) == large.encode_decode(text)
 
 
+def test_bpe_words_and_pieces_share_a_cache():
+    """A piece that is also a word of its own is encoded and kept once."""
+    codec, encoded = bpe.Codec(bpe.load_vocabulary(public_tokenizers.path("word_bpe_49k.json"))), []
+    encode = codec.encode_word
+    codec.encode_word = lambda w: encoded.append(w) or encode(w)
+    codec.encode_decode("qzvx qzvx, éqz")
+    codec.encode_decode("qzvx; , ;")
+    assert set(codec.words.ids) == {"qzvx", "qzvx,", "éqz", "qzvx;", ",", ";"}
+    assert sorted(encoded) == [",", ";", "qzvx", "éqz"]
+
+
 def test_toxicity_learns_and_orders(spark):
     rng = random.Random(4)
     rows = []

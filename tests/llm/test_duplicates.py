@@ -7,6 +7,7 @@ import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,21 @@ def test_cut_repeats_random(spark):
         assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == plain_cut([(i, t.encode()) for i, t in rows], length)
 
 
+def test_cut_arrays_are_of_small_chunks():
+    """A batch of 16 MB is cut a chunk at a time; its numpy arrays took about 24 bytes for each byte of 8 MB."""
+    texts = ["ab" * 2000] * 4000
+    asked = pa.array([[{"start": 10, "end": 510}]] * len(texts), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), asked], names=["text", "asked"])
+    tracemalloc.start()
+    rows = 0
+    for out in suffix_dedup.cut_batches(iter([batch]), []):
+        rows += out.num_rows
+        assert set(out.column("n_removed").to_pylist()) == {500} and set(out.column("n_spans").to_pylist()) == {1}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and peak < 40 << 20
+
+
 def test_cut_repeats_empty(no_docs):
     assert suffix_dedup.cut_repeats(no_docs).count() == 0
 

@@ -2,7 +2,8 @@
 
 Each stage reads what the one before it has written to the shared folder, so a
 lost executor costs tasks, not stages. Rows keep the columns of ``documents``
-until the last stage, which returns token ids in place of texts.
+until the last stage, which returns token ids in place of texts. Each stage
+bounds the bytes of the Arrow batches that its tasks hold.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leakatlas.llm import bpe, decontaminate, minmax_dedup, quality, suffix_dedup
 from leakatlas.llm.registry import query, table
-from leakatlas.llm.shared import broadcast_if_small, stored
+from leakatlas.llm.shared import bounded_batches, broadcast_if_small, stored
 
 DROPPED_BROADCAST_ROWS = 200_000
 PASSAGE_BYTES = 200  # 51 words of the shortest kind, prose of two-letter words with their blanks, fill about 150 to 200
@@ -20,6 +21,7 @@ PASSAGE_BYTES = 200  # 51 words of the shortest kind, prose of two-letter words
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the risk-controlled cutoffs keep."""
+    bounded_batches(spark)
     counts = stored(quality.with_counts(docs.select("doc_id", "lang", "text"), keep_text=False), "stage-counts")
     cutoffs = quality.risk_cutoffs(counts, table(spark, sf_dir, "labels"))
     judged = quality.judge(quality.with_counts(docs), cutoffs)
@@ -32,6 +34,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Rows alike in id and text are one document; rows with equal ids and other
     texts stay or go together.
     """
+    bounded_batches(spark)
     found = stored(minmax_dedup.near_duplicates(docs), "stage-components")
     rows = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     dropped = broadcast_if_small(rows.filter("not kept").select("doc_id"), "stage-copies", DROPPED_BROADCAST_ROWS)
@@ -63,6 +66,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     keep their text, as the next stage drops them whole: a leaked passage that
     occurs in several documents must not be cut from its evidence.
     """
+    bounded_batches(spark)
     named = _named(docs)
     leaked = _leaked(spark, named, sf_dir)
     cut = suffix_dedup.cut_repeats(named, length=PASSAGE_BYTES).join(leaked, "__name", "left_anti")
@@ -73,12 +77,14 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    bounded_batches(spark)
     named = _named(docs)
     return named.join(_leaked(spark, named, sf_dir), "__name", "left_anti").select(*docs.columns)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of ids and of the decoded text."""
+    bounded_batches(spark)
     encoded = bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
     return encoded.drop("decoded")
 

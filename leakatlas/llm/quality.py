@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from leakatlas.llm.shared import broadcast_if_small, stored
 from leakatlas.llm.text import FIELD, Fingerprints, byte_values, chunks, mix, per_text, spaces, utf8, words
@@ -86,14 +87,17 @@ def count_texts(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 def with_counts(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``df`` plus the COUNTS as long columns (columns of these names are replaced)."""
     kept = [c for c in df.columns if c not in COUNTS and (keep_text or c != text)]
+    # A kept string is counted where it lies; only other texts need a column beside the kept ones.
+    own = text not in kept or df.schema[text].dataType != StringType()
+    read = "__text" if own else f"k{kept.index(text)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole, "__text"):
-                made = [pa.array(c, pa.int64()) for c in count_texts(*utf8(batch.column("__text")))]
+            for batch in chunks(whole, read):
+                made = [pa.array(c, pa.int64()) for c in count_texts(*utf8(batch.column(read)))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(f"k{i}") for i in range(len(kept))), *made], names=[*(f"k{i}" for i in range(len(kept))), *COUNTS])
 
-    source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").cast("string").alias("__text"))
+    source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], *[F.col(f"`{text}`").cast("string").alias("__text")] * own)
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name != "__text"), *(f"{c} long" for c in COUNTS)])
     return source.mapInArrow(run, schema).toDF(*kept, *COUNTS)
 

@@ -232,3 +232,28 @@ def test_every_word_above_the_least_count_is_clustered(spark, monkeypatch):
     at, found = model.lookup.find(keys)
     of_kind = [collections.Counter(own[at[part]][found[part]].tolist()).most_common(1)[0] for part in (slice(0, 150), slice(150, 300))]
     assert of_kind[0][0] != of_kind[1][0] and min(n for _, n in of_kind) > 140
+
+
+def test_pipeline_bounds_the_bytes_of_batches(spark):
+    """10,000 texts of 2 KB were one batch of 20 MB in the JVM and the worker; the kept text went there twice."""
+    import corpus_pipeline
+    from leakatlas.llm.shared import BATCH_BYTES
+
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(bound, None)
+    docs = spark.range(0, 10_000, 1, 1).selectExpr("id AS doc_id", "repeat('abcd', 500) AS text")
+    try:
+        spark.conf.unset(bound)
+        corpus_pipeline.bpe_encoding(spark, docs, "")
+
+        def sizes(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+        most = docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+        assert most < 1.5 * BATCH_BYTES
+    finally:
+        spark.conf.unset(bound) if before is None else spark.conf.set(bound, before)
+    assert "__text" not in quality.with_counts(docs)._jdf.queryExecution().optimizedPlan().toString()

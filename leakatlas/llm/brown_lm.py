@@ -29,14 +29,15 @@ Repeated rows count each time. Without training texts every word is unseen.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leakatlas.llm.shared import stored
-from leakatlas.llm.text import FIELD, Fingerprints, byte_values, chunks, utf8, words
+from leakatlas.llm.shared import bounded_batches, stored
+from leakatlas.llm.text import FIELD, Fingerprints, byte_values, chunks, mix, utf8, words
 
 LEAST = 5
 SEEDED = 4096
@@ -48,9 +49,15 @@ SPREAD = 64  # tasks over which the neighbours of each seeded word are dealt
 DELTA = 0.5
 HELD_ROWS, HELD_SUMS = 1 << 17, 1 << 14  # bigrams, and sums of words, that a task works on together
 HELD_TOKENS = 1 << 21  # counted in a task before it hands on
+BUCKET_ROWS = 1 << 20  # pairs of neighbours in a bucket, about, before equal ones are summed
 END, REST = 0, 1  # class numbers, and numbers of these two symbols
 
 
+def _spot(h: np.ndarray, shift: FIELD) -> np.ndarray:
+    """The leading bits, ascending with signed ``h``."""
+    return ((h.view(FIELD) ^ FIELD(1 << 63)) >> shift).astype(np.int64)
+
+
 @dataclass
 class Lookup:
     """Fingerprints (ascending) and counts of frequent words; symbol numbers of the clustered ones, else REST."""
@@ -64,9 +71,27 @@ class Lookup:
         """Where each word stands, and whether it does."""
         if not len(self.words):
             return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        shift, begins, closed = self.index
+        at = begins[_spot(h, shift)].astype(np.int64)
+        behind = np.flatnonzero(closed[at] < h)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[closed[at[behind]] < h[behind]]
+        at = np.minimum(at, len(self.words) - 1)
         return at, self.words[at] == h
 
+    @cached_property
+    def index(self) -> tuple[FIELD, np.ndarray, np.ndarray]:
+        """Where the words of each range of leading bits begin, two ranges a word and more; the words, closed by the greatest value."""
+        bits = (2 * len(self.words)).bit_length()
+        shift = FIELD(64 - bits)
+        begins = np.searchsorted(_spot(self.words, shift), np.arange(1 << bits)).astype(np.int32)
+        return shift, begins, np.append(self.words, np.iinfo(np.int64).max)
+
+    def plain(self) -> dict:
+        """The fields as they are shipped to tasks."""
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
 
 def word_keys(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprint (signed, so that Spark can hold it) and text number of every word."""
@@ -228,6 +253,13 @@ def _best_moves(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], classes:
 PACKED = "words binary, sides binary, starts binary, others binary, counts binary"
 
 
+def _packed_row(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    of = keys >> 32
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    arrays = [(of[first] >> 1).astype(np.int32), (of[first] & 1).astype(np.int8), first.astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32), n.astype(np.int32 if not len(n) or n.max() < 1 << 31 else np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], names=[c.split()[0] for c in PACKED.split(", ")])
+
+
 def packed(rows: DataFrame) -> DataFrame:
     """Rows (k, n), k = (2 w + side) * 2**32 + other, in partitions by w and in order of k, as few rows of flat arrays.
 
@@ -236,25 +268,103 @@ def packed(rows: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            of = keys >> 32
-            first = np.flatnonzero(np.diff(of, prepend=-1))
-            arrays = [(of[first] >> 1).astype(np.int32), (of[first] & 1).astype(np.int8), first.astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32), n.astype(np.int32 if not len(n) or n.max() < 1 << 31 else np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], names=[c.split()[0] for c in PACKED.split(", ")])
-
         held, size = [], 0
         for b in batches:
             held.append((b.column("k").to_numpy(), b.column("n").to_numpy()))
             size += b.num_rows
             if size > HELD_ROWS:
-                yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                yield _packed_row(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held, size = [], 0
         if size:
-            yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield _packed_row(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return rows.mapInArrow(run, PACKED)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit values by bytes: all first ones, all second ones, and so on; the last are mostly zero and shrink in a shuffle."""
+    return np.ascontiguousarray(x.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1).astype(np.int64)
+
+
+DEALT = "bucket int, side int, words binary, others binary, counts binary"
+
+
+def _dealt(before: np.ndarray, after: np.ndarray, size: int, seeded: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Counts of each pair of neighbours from both sides, a row of flat arrays for each bucket: steps of words, others, counts."""
+    for side, w, other in ((1, before, after), (0, after, before)):
+        keys = np.sort(w * size + other)
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        n = np.diff(np.append(first, len(keys)))
+        w, other = np.divmod(keys[first], size)
+        # The neighbours of seeded words are dealt over SPREAD buckets, those of another word stay together.
+        deal = np.where(w < seeded, (mix(other.view(FIELD)) % FIELD(SPREAD)).view(np.int64), 0)
+        bucket = (mix((w * SPREAD + deal).view(FIELD)) % FIELD(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, w, other, n = bucket[order], w[order], other[order], n[order]
+        begin = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
+        columns = [], [], []
+        for a, b in zip(begin, np.append(begin[1:], len(bucket)), strict=True):
+            columns[0].append(_planes(np.diff(w[a:b], prepend=0)))
+            columns[1].append(_planes(other[a:b]))
+            columns[2].append(n[a:b].astype(np.uint8 if n[a:b].max() < 256 else np.int64).tobytes())
+        made = [pa.array(bucket[begin].astype(np.int32)), pa.array(np.full(len(begin), side, np.int32)), *(pa.array(c, pa.binary()) for c in columns)]
+        yield pa.RecordBatch.from_arrays(made, names=[c.split()[0] for c in DEALT.split(", ")])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows of the rows of :func:`_dealt`, which come in order of their buckets; one bucket is held at a time."""
+
+    def out(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        k, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(k)
+        k = k[order]
+        first = np.flatnonzero(np.diff(k, prepend=-1))
+        n = np.add.reduceat(n[order], first)
+        k = k[first]
+        for a in range(0, len(k), HELD_ROWS):
+            yield _packed_row(k[a : a + HELD_ROWS], n[a : a + HELD_ROWS])
+
+    held, now = [], None
+    for b in batches:
+        for bucket, side, w, other, n in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            if held and bucket != now:
+                yield from out(held)
+                held = []
+            now = bucket
+            w, other = np.cumsum(_from_planes(w)), _from_planes(other)
+            n = np.frombuffer(n, np.uint8 if len(n) == len(other) else np.int64).astype(np.int64)
+            held.append((((2 * w + side) << 32) + other, n))
+    if held:
+        yield from out(held)
+
+
+def neighbour_rows(texts: DataFrame, lookup: Lookup, seeded: int, n_words: int) -> DataFrame:
+    """The rows of :func:`packed` of all texts; buckets are as many as the words ask for."""
+    shipped = texts.sparkSession.sparkContext.broadcast(lookup.plain())  # plain values: workers need no module
+    buckets = 1 + 2 * n_words // BUCKET_ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Lookup(**shipped.value)
+        held, size = [], 0
+        for whole in batches:
+            for batch in chunks(whole):
+                data, at = utf8(batch.column("text"))
+                rows, _ = symbol_rows(*word_keys(data, at), batch.num_rows, known)
+                held.append((np.concatenate([[END], rows[:-1]]), rows))
+                size += len(rows)
+                if size > HELD_TOKENS:
+                    yield from _dealt(*(np.concatenate(x) for x in zip(*held, strict=True)), known.n_symbols, seeded, buckets)
+                    held, size = [], 0
+        if held:
+            yield from _dealt(*(np.concatenate(x) for x in zip(*held, strict=True)), known.n_symbols, seeded, buckets)
+
+    return texts.mapInArrow(run, DEALT).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_gathered, PACKED)
+
+
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """w, side, other and n of the rows of :func:`packed`, one packed row at a time."""
     for b in batches:
@@ -421,25 +531,10 @@ def train(texts: DataFrame, classed: int | None = None, n_classes: int = CLASSES
     symbols = np.full(len(keys), REST, np.int64)
     symbols[rank[:limit]] = np.arange(limit) + 2
     lookup = Lookup(keys, n, symbols, limit + 2)
-    shipped = texts.sparkSession.sparkContext.broadcast(vars(lookup))  # plain values: workers need no module
-
-    def pairs(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        known = Lookup(**shipped.value)
-        out, _ = symbol_rows(*word_keys(data, at), len(at) - 1, known)
-        return np.concatenate([[END], out[:-1]]) * known.n_symbols + out
-
     size = lookup.n_symbols
-    bigrams = _counted(texts, pairs).select(F.expr(f"key div {size}").alias("i"), F.expr(f"key % {size}").alias("j"), "n")
     # Symbols are numbered by frequency: the first ones have neighbours enough for many tasks.
     seeded = min(size, SEEDED + 2)
-
-    def sided(w: str, side: int, other: str) -> Column:
-        return F.shiftleft((2 * F.col(w) + side).cast("long"), 32) + F.col(other)
-
-    word = F.shiftright("k", 33)
-    dealt = F.when(word < seeded, F.pmod(F.xxhash64("k"), F.lit(SPREAD))).otherwise(0)
-    rows = bigrams.select(F.explode(F.array(sided("i", 1, "j"), sided("j", 0, "i"))).alias("k"), "n")
-    neighbours = Neighbours(stored(packed(rows.repartition(word, dealt).sortWithinPartitions("k")), "brown-neighbours"), n_classes)
+    neighbours = Neighbours(stored(neighbour_rows(texts, lookup, seeded, n_words + n_texts), "brown-neighbours"), n_classes)
     # To begin with, seeded words of like frequency are dealt over all classes in turn, the others are in the rest.
     classes = np.full(size, REST, np.int64)
     classes[END] = END
@@ -447,6 +542,8 @@ def train(texts: DataFrame, classed: int | None = None, n_classes: int = CLASSES
 
     seeds = neighbours
     if size > seeded:
+        word = F.shiftright("k", 33)
+        dealt = F.when(word < seeded, F.pmod(F.xxhash64("k"), F.lit(SPREAD))).otherwise(0)
         few = neighbours.folded(seeded).repartition(word, dealt).sortWithinPartitions("k")
         seeds = Neighbours(stored(packed(few), "brown-seeds"), n_classes)
     for turn in range(rounds):
@@ -466,7 +563,7 @@ def train(texts: DataFrame, classed: int | None = None, n_classes: int = CLASSES
 
 def score(documents: DataFrame, model: Model, counts: DataFrame, n_end: int, key: str = "doc_id", held_out: str = "held_out", text: str = "text") -> DataFrame:
     """Key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    shipped = documents.sparkSession.sparkContext.broadcast({**vars(model), "lookup": vars(model.lookup)})
+    shipped = documents.sparkSession.sparkContext.broadcast({**vars(model), "lookup": model.lookup.plain()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -533,6 +630,7 @@ def score(documents: DataFrame, model: Model, counts: DataFrame, n_end: int, key
 
 def score_documents(documents: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Learn from the rows that are not held out, score all."""
+    bounded_batches(documents.sparkSession)
     marked = documents.select(F.col(key), F.col(text).cast("string").alias(text), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     training = marked.filter("not held_out").select(F.col(text).alias("text"))
     model, counts = train(training)

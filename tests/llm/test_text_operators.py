@@ -234,6 +234,30 @@ def test_every_word_above_the_least_count_is_clustered(spark, monkeypatch):
     assert of_kind[0][0] != of_kind[1][0] and min(n for _, n in of_kind) > 140
 
 
+def test_neighbours_are_counted_in_flat_rows(spark, docs, monkeypatch):
+    """Pairs of neighbours cross one shuffle, as arrays and not as a row each; the counts are those of brute force."""
+    monkeypatch.setattr(brown_lm, "BUCKET_ROWS", 500)
+    texts = docs.select("text")
+    keys = np.unique(np.concatenate([brown_lm.word_keys(np.frombuffer((r.text or "").encode(), np.uint8), np.array([0, len((r.text or "").encode())]))[0] for r in texts.collect()]))
+    symbols = np.where(np.arange(len(keys)) % 3 == 0, brown_lm.REST, np.arange(len(keys)) + 2)
+    lookup = brown_lm.Lookup(keys, np.ones(len(keys), np.int64), symbols, len(keys) + 2)
+    asked = np.concatenate([keys, keys + 1, keys - 1, [np.iinfo(np.int64).min, np.iinfo(np.int64).max]])
+    assert [list(x) for x in lookup.find(asked)] == [list(np.minimum(np.searchsorted(keys, asked), len(keys) - 1)), list(np.isin(asked, keys))]
+    want = collections.Counter()
+    for r in texts.collect():
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        row = [brown_lm.END, *brown_lm.symbol_rows(*brown_lm.word_keys(data, np.array([0, len(data)])), 1, lookup)[0]]
+        want.update(zip(row, row[1:], strict=False))
+    rows = brown_lm.neighbour_rows(texts, lookup, 20, sum(want.values()))
+    batches = rows.toArrow().to_batches()
+    got = collections.Counter()
+    for w, side, other, n in brown_lm.unpacked(batches):
+        for a, s, b, c in zip(w.tolist(), side.tolist(), other.tolist(), n.tolist(), strict=True):
+            got[(a, b, s)] += c
+    assert got == collections.Counter({**{(a, b, 1): c for (a, b), c in want.items()}, **{(b, a, 0): c for (a, b), c in want.items()}})
+    assert sum(b.num_rows for b in batches) < 1 + 2 * sum(want.values()) // 500 + 1
+
+
 def test_pipeline_bounds_the_bytes_of_batches(spark):
     """10,000 texts of 2 KB were one batch of 20 MB in the JVM and the worker; the kept text went there twice."""
     import corpus_pipeline

@@ -49,7 +49,8 @@ SPREAD = 64  # tasks over which the neighbours of each seeded word are dealt
 DELTA = 0.5
 HELD_ROWS, HELD_SUMS = 1 << 17, 1 << 14  # bigrams, and sums of words, that a task works on together
 HELD_TOKENS = 1 << 21  # counted in a task before it hands on
-BUCKET_ROWS = 1 << 20  # pairs of neighbours in a bucket, about, before equal ones are summed
+HELD_PAIRS = 1 << 18  # neighbours dealt together; their arrays take about 150 bytes a pair
+BUCKET_ROWS = 1 << 19  # pairs of neighbours in a bucket, about, before equal ones are summed
 END, REST = 0, 1  # class numbers, and numbers of these two symbols
 
 
@@ -356,7 +357,7 @@ def neighbour_rows(texts: DataFrame, lookup: Lookup, seeded: int, n_words: int)
                 rows, _ = symbol_rows(*word_keys(data, at), batch.num_rows, known)
                 held.append((np.concatenate([[END], rows[:-1]]), rows))
                 size += len(rows)
-                if size > HELD_TOKENS:
+                if size > HELD_PAIRS:
                     yield from _dealt(*(np.concatenate(x) for x in zip(*held, strict=True)), known.n_symbols, seeded, buckets)
                     held, size = [], 0
         if held:

@@ -222,7 +222,8 @@ class Codec:
             words = self.normal(part)
             self.words.turn()
             for w in set(words).difference(self.words.ids):
-                self.words.put(w, self.word)
+                if w not in self.words.ids:  # it may have come as a piece of another since
+                    self.words.put(w, self.word)
             if words:
                 ids.append(" ".join(map(self.words.ids.__getitem__, words)))
                 names.append(" ".join(map(self.words.texts.__getitem__, words)))
@@ -231,6 +232,11 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.encode_decode(text)[0].split()]
 
+    def forget(self) -> None:
+        """Gives back what was found for words and pairs; the vocabulary stays."""
+        self.words = Cache(self.words.size)
+        self.table.clear()
+
 
 def encode_texts(df: DataFrame, path: str, text: str = "text", with_ids: bool = False) -> DataFrame:
     """``df``'s rows with n_tokens, ids_sha256, decoded_sha256 and, on request, ids and decoded.
@@ -245,23 +251,26 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", with_ids: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_cache(key, lambda: Codec(shipped.value))
-        for whole in batches:
-            for batch in chunks(whole, "__text"):
-                n, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
-                for value in batch.column("__text").to_pylist():
-                    ids, decoded = codec.encode_decode(value or "")
-                    n.append(ids.count(" ") + 1 if ids else 0)
-                    ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
+        try:
+            for whole in batches:
+                for batch in chunks(whole, "__text"):
+                    n, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
+                    for value in batch.column("__text").to_pylist():
+                        ids, decoded = codec.encode_decode(value or "")
+                        n.append(ids.count(" ") + 1 if ids else 0)
+                        ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+                        text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
+                        if with_ids:
+                            all_ids.append(np.array(ids.split(), np.int32))
+                            texts.append(decoded)
+                    columns = [batch.column(c) for c in kept]
+                    made = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                     if with_ids:
-                        all_ids.append(np.array(ids.split(), np.int32))
-                        texts.append(decoded)
-                columns = [batch.column(c) for c in kept]
-                made = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-                if with_ids:
-                    ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                    made += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids))), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns + made, names=kept + names)
+                        ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                        made += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids))), pa.array(texts, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns + made, names=kept + names)
+        finally:
+            codec.forget()  # the worker goes on to other stages, beside the memory that those take
 
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
     head = source.drop("__text").schema

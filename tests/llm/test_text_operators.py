@@ -116,6 +116,25 @@ def test_bpe_words_and_pieces_share_a_cache():
     assert sorted(encoded) == [",", ";", "qzvx", "éqz"]
 
 
+def test_bpe_gives_caches_back(docs):
+    """A worker that has encoded goes on to other stages without the words and pairs that it found."""
+    bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+
+    def held(batches):
+        import sys
+
+        import pyarrow as pa
+
+        for _ in batches:
+            pass
+        codecs = [c for k, c in vars(sys.modules.get("_leakatlas_worker_cache", object)).items() if k.startswith("bpe_")]
+        kept = sum(len(c.words.ids) + len(c.words.old[0]) + len(c.table) for c in codecs)
+        yield pa.RecordBatch.from_arrays([pa.array([len(codecs)]), pa.array([kept])], names=["codecs", "kept"])
+
+    rows = docs.select("doc_id").mapInArrow(held, "codecs long, kept long").collect()
+    assert sum(r.codecs for r in rows) and not sum(r.kept for r in rows)
+
+
 def test_toxicity_learns_and_orders(spark):
     rng = random.Random(4)
     rows = []

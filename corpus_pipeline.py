@@ -60,19 +60,21 @@ def _leaked(spark: SparkSession, named: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of PASSAGE_BYTES and more that occur elsewhere.
+    """Documents without passages of PASSAGE_BYTES and more that occur elsewhere.
 
-    Repeats are judged over all documents. Those with a passage of the benchmark
-    keep their text, as the next stage drops them whole: a leaked passage that
-    occurs in several documents must not be cut from its evidence.
+    Repeats are judged over all documents and cut from all. The next stage drops
+    documents with a passage of the benchmark whole, but cannot see one that was
+    cut: a document that held such passages and has none left is dropped here.
     """
     bounded_batches(spark)
     named = _named(docs)
+    cut = suffix_dedup.cut_repeats(named, length=PASSAGE_BYTES)
     leaked = _leaked(spark, named, sf_dir)
-    cut = suffix_dedup.cut_repeats(named, length=PASSAGE_BYTES).join(leaked, "__name", "left_anti")
+    suspects = stored(cut.filter("n_removed > 0").join(leaked, "__name", "left_semi").select("__name", "text"), "stage-suspects")
+    hidden = suspects.join(_leaked(spark, suspects, sf_dir), "__name", "left_anti").select("__name").distinct()
+    cut = cut.join(broadcast_if_small(hidden, "stage-hidden", DROPPED_BROADCAST_ROWS), "__name", "left_anti")
     length = F.length("text").cast(docs.schema["n_chars"].dataType)
-    cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns).unionByName(named.join(leaked, "__name", "left_semi").select(*docs.columns))
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from leakatlas.llm import sharding, url_filter, warc
 from leakatlas.llm.all_queries import QUERIES
 from leakatlas.llm.queries import URL_RULES
 
-from .conftest import PAGES
+from .conftest import PAGES, prose
 
 
 def test_rules_and_parts(spark):
@@ -199,6 +199,31 @@ def test_pipeline_drops_and_keeps(spark, sf_dir):
     assert len(ids) > 0.6 * con.execute(f"select count(*) from '{files[0]}'").fetchone()[0]
 
 
+def test_repeats_are_cut_beside_passages_of_the_benchmark(spark):
+    """Repeats go from documents with such a passage too; without evidence left these are dropped at once, else by the next stage."""
+    import corpus_pipeline as p
+
+    item, short, shared = prose(700, 55), prose(701, 20), prose(702, 60)
+    assert len(item) > p.PASSAGE_BYTES > len(short) and len(shared) > p.PASSAGE_BYTES
+    texts = {
+        1: [prose(1, 80), item, prose(2, 80)],
+        2: [prose(3, 80), item, prose(4, 80)],
+        3: [prose(5, 80), short, prose(6, 80), shared],
+        4: [prose(7, 80), shared, prose(8, 80)],
+        5: [prose(9, 80)],
+    }
+    rows = [(i, "\n".join(parts), "en", "src0", len("\n".join(parts))) for i, parts in texts.items()]
+    folder = tempfile.mkdtemp(prefix="run-benchmark-")
+    spark.createDataFrame([(1, item), (2, short)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    cut = p.suffix_array_dedup(spark, frame, folder)
+    got = {r.doc_id: r for r in cut.collect()}
+    assert sorted(got) == [3, 4, 5]
+    assert not any(item in r.text or shared in r.text for r in got.values())
+    assert short in got[3].text and all(r.n_chars == len(r.text) for r in got.values())
+    assert sorted(r.doc_id for r in p.benchmark_decontamination(spark, cut, folder).collect()) == [4, 5]
+
+
 def test_contract_columns(spark, sf_dir):
     want = {
         "op2_url_filter": ["page_id", "host", "path", "rule", "verdict"],
